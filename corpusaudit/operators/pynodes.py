@@ -123,7 +123,6 @@ def _mark_used(source, imports):
                 fact["used"] = True
 
 
-@F.arrow_udf(NODE_TYPE)
 def _facts_of(sources: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in sources:
         yield pa.array([None if source is None else parse_facts(source) for source in batch.to_pylist()],
@@ -132,7 +131,7 @@ def _facts_of(sources: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def facts(language: Column, content: Column) -> Column:
     """Array of node facts of a Python file; null for other languages."""
-    return _facts_of(F.when(language == "python", content))
+    return F.arrow_udf(_facts_of, NODE_TYPE)(F.when(language == "python", content))
 
 
 def nodes(files: DataFrame) -> DataFrame:

@@ -22,3 +22,13 @@ def describe(files: DataFrame) -> DataFrame:
     path = F.col("path")
     return files.select("path", "content", F.octet_length("content").cast("bigint").alias("n_bytes"),
                         text.extension(path).alias("ext"), text.language(path).alias("language"))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Redistributes a table that is stored in fewer splits than the cluster has cores.
+
+    Text work is CPU-bound, so one small Parquet file would keep a single core busy. A table with
+    enough splits (any large one) is left as it is: its text is never shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
