@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------------------------
 
@@ -105,11 +104,3 @@ def dim_category(spark: SparkSession) -> DataFrame:
     return local_frame(spark, "category string, ord int",
                        [(name, i) for i, name in enumerate(CATEGORIES)])
 
-
-def by_value(column, groups: dict):
-    """CASE over a column: the key of the group whose list holds the column's value, else null."""
-    out = None
-    for key, values in groups.items():
-        test = column == values[0] if len(values) == 1 else column.isin(values)
-        out = F.when(test, key) if out is None else out.when(test, key)
-    return out

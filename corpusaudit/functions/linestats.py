@@ -1,10 +1,7 @@
-"""Line classes and definition counts of one file, as expressions on its row (no shuffle)."""
+"""Line classes and definition counts of one file, as SQL expressions on its row (no shuffle)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from corpusaudit import dims
 from corpusaudit.functions import text
 from corpusaudit.functions.patterns import compile_pattern
@@ -51,72 +48,50 @@ CLASS_PATTERNS = {
 # --- end of fixed values ----------------------------------------------------------------------
 
 
-def body(content: Column) -> Column:
+def body(content: str) -> str:
     """The text that statistics look at: without trailing newlines."""
-    return F.rtrim(content, F.lit("\n"))
-
-
-def line_classes(language: Column, content: Column) -> Column:
-    """Struct of blank, comment and code line counts."""
-    stripped = F.transform(text.split_lines(body(content)), text.strip)
-    start = F.struct(F.lit("").alias("state"), F.lit(0).alias("blank"), F.lit(0).alias("comment"),
-                     F.lit(0).alias("code"))
-    counted = F.when(language == "python", F.aggregate(stripped, start, _python_step)) \
-        .when(language.isin(dims.BLOCK_COMMENT_LANGUAGES), F.aggregate(stripped, start, _block_comment_step))
-    prefix = dims.by_value(language, dims.LINE_COMMENT_LANGUAGES)
-    return counted.otherwise(F.aggregate(stripped, start, lambda acc, line: _plain_step(acc, line, prefix)))
-
-
-def _add(acc: Column, state: Column, kind: Column) -> Column:
-    return F.struct(state.alias("state"),
-                    (acc.blank + (kind == "blank").cast("int")).alias("blank"),
-                    (acc.comment + (kind == "comment").cast("int")).alias("comment"),
-                    (acc.code + (kind == "code").cast("int")).alias("code"))
-
-
-def _python_step(acc: Column, line: Column) -> Column:
-    quote = F.substring(line, 1, 3)
-    opens = quote.isin('"""', "'''")
-    closed_at_once = F.contains(F.substring(line, 4, 2147483647), quote)
-    inside = acc.state != ""
-    passes = (line == "") | F.startswith(line, F.lit("#"))
-    state = F.when(passes, acc.state) \
-        .when(inside, F.when(F.contains(line, acc.state), "").otherwise(acc.state)) \
-        .when(opens & ~closed_at_once, quote).otherwise("")
-    kind = F.when(line == "", "blank").when(passes | inside | opens, "comment").otherwise("code")
-    return _add(acc, state, kind)
-
-
-def _block_comment_step(acc: Column, line: Column) -> Column:
-    inside = acc.state != ""
-    opens = F.startswith(line, F.lit("/*"))
-    closes = F.contains(line, F.lit("*/"))
-    closed_at_once = F.contains(F.substring(line, 3, 2147483647), F.lit("*/"))
-    state = F.when(line == "", acc.state) \
-        .when(inside, F.when(closes, "").otherwise(acc.state)) \
-        .when(opens & ~closed_at_once, "*").otherwise("")
-    kind = F.when(line == "", "blank") \
-        .when(inside | opens | F.startswith(line, F.lit("//")), "comment").otherwise("code")
-    return _add(acc, state, kind)
-
-
-def _plain_step(acc: Column, line: Column, prefix: Column) -> Column:
-    kind = F.when(line == "", "blank").when(F.startswith(line, prefix), "comment").otherwise("code")
-    return _add(acc, acc.state, kind)
-
-
-def _count(patterns: dict[str, str], language: Column, content: Column) -> Column:
-    out = None
-    for name, pattern in patterns.items():
-        count = F.regexp_count(content, F.lit(compile_pattern(pattern, multiline=True)))
-        out = F.when(language == name, count) if out is None else out.when(language == name, count)
-    return out.otherwise(0)
-
-
-def count_functions(language: Column, content: Column) -> Column:
+    return f"trim(TRAILING '\\n' FROM {content})"
+
+
+def line_classes(language: str, content: str) -> str:
+    """Struct (state, blank, comment, code) of line counts: a fold over the stripped lines."""
+    stripped = f"transform({text.split_lines(body(content))}, x -> {text.strip('x')})"
+    prefix = text.case_of(language, dims.LINE_COMMENT_LANGUAGES)
+
+    def fold(state, comment):
+        kind = f"CASE WHEN l = '' THEN 0 WHEN {comment} THEN 1 ELSE 2 END"
+        counts = ", ".join(f"'{name}', a.{name} + CAST({kind} = {i} AS INT)"
+                           for i, name in enumerate(("blank", "comment", "code")))
+        return (f"aggregate({stripped}, named_struct('state', '', 'blank', 0, 'comment', 0, 'code', 0), "
+                f"(a, l) -> named_struct('state', {state}, {counts}))")
+
+    quote = "substring(l, 1, 3)"
+    is_quote = f"""{quote} IN ('\"\"\"', "'''")"""
+    python_state = (
+        "CASE WHEN l = '' OR startswith(l, '#') THEN a.state "
+        "WHEN a.state <> '' THEN IF(contains(l, a.state), '', a.state) "
+        f"WHEN {is_quote} AND NOT contains(substring(l, 4), {quote}) THEN {quote} ELSE '' END")
+    python_comment = f"startswith(l, '#') OR a.state <> '' OR {is_quote}"
+    block_state = (
+        "CASE WHEN l = '' THEN a.state WHEN a.state <> '' THEN IF(contains(l, '*/'), '', a.state) "
+        "WHEN startswith(l, '/*') AND NOT contains(substring(l, 3), '*/') THEN '*' ELSE '' END")
+    block_comment = "a.state <> '' OR startswith(l, '/*') OR startswith(l, '//')"
+    return (f"CASE WHEN {language} = 'python' THEN {fold(python_state, python_comment)} "
+            f"WHEN {language} IN {text.in_list(dims.BLOCK_COMMENT_LANGUAGES)} THEN {fold(block_state, block_comment)} "
+            f"ELSE {fold('a.state', f'coalesce(startswith(l, {prefix}), false)')} END")
+
+
+def _count(patterns: dict[str, str], language: str, content: str) -> str:
+    branches = " ".join(
+        f"WHEN '{name}' THEN regexp_count({body(content)}, {text.lit(compile_pattern(pattern, multiline=True))})"
+        for name, pattern in patterns.items())
+    return f"CASE {language} {branches} ELSE 0 END"
+
+
+def count_functions(language: str, content: str) -> str:
     """Function headers of a non-Python file, by its language's pattern; 0 without one."""
-    return _count(FUNCTION_PATTERNS, language, body(content))
+    return _count(FUNCTION_PATTERNS, language, content)
 
 
-def count_classes(language: Column, content: Column) -> Column:
-    return _count(CLASS_PATTERNS, language, body(content))
+def count_classes(language: str, content: str) -> str:
+    return _count(CLASS_PATTERNS, language, content)

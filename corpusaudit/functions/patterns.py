@@ -15,8 +15,13 @@ WHITESPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-SPACE_IN_LINE = r"\x09\x0b-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The same as class members. Single Latin-1 characters become one table lookup in the JVM matcher, and the
+# rest sits behind one range test, so that a letter is rejected in two steps.
+_WIDE_SPACE = r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+_SPACE_BUT_BLANK = r"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0" + _WIDE_SPACE
+SPACE = r"\n\x20" + _SPACE_BUT_BLANK
+SPACE_IN_LINE = r"\x20" + _SPACE_BUT_BLANK
+OTHER_SPACE_IN_LINE = _SPACE_BUT_BLANK
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 

@@ -21,7 +21,7 @@ class Finding:
     # Literals (lower case) of which one must stand in the case-folded line for the pattern to match: a cheap
     # test before it. None holds the letter i, whose dotted capital folds to two characters.
     hints: tuple[str, ...] = ()
-    # Further characters that must all stand in the line.
+    # Further characters that must all stand in the line; q stands for either quote.
     needs: str = ""
 
 
@@ -52,34 +52,34 @@ _RULES = [
          "Move secrets to environment variables or a secure vault.", 0.9, (
              Finding("Hardcoded password detected", "critical",
                      r'(?i)(password|passwd|pwd)\s*[:=]\s*["\'][^"\']{4,}["\']',
-                     ("password", "passwd", "pwd")),
+                     ("password", "passwd", "pwd"), "q"),
              Finding("Hardcoded API key or token detected", "critical",
                      r'(?i)(api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token)\s*[:=]\s*["\'][A-Za-z0-9_\-]{8,}["\']',
-                     ("key", "token")),
+                     ("key", "token"), "q"),
              Finding("Hardcoded private key detected", "critical",
                      r'(?i)(private[_-]?key|secret)\s*[:=]\s*["\']-----BEGIN',
-                     ("-----beg",)),
+                     ("-----beg",), "q"),
              Finding("AWS access key ID detected", "critical", r'AKIA[0-9A-Z]{16}', ("akia",)),
              Finding("GitHub token detected", "critical", r'gh[pousr]_[A-Za-z0-9]{36}',
-                     ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-             Finding("API secret key detected", "critical", r'sk_[A-Za-z0-9]{20,}', ("sk_",)),
+                     ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "_"),
+             Finding("API secret key detected", "critical", r'sk_[A-Za-z0-9]{20,}', ("sk_",), "_"),
              Finding("Database connection string with credentials detected", "high",
                      r'(?i)(db[_-]?url|database[_-]?url|connection[_-]?string)\s*[:=]\s*["\'][^"\']*:[^"\']*@',
-                     ("url", "connect"), "@"),
+                     ("url", "connect"), "@q"),
              Finding("Hardcoded JWT token detected", "high",
                      r'(?i)(jwt|json[_-]web[_-]?token)\s*[:=]\s*["\']eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+["\']',
-                     ("eyj",)),
+                     ("eyj",), "q"),
          )),
     Rule("SEC002", "SQL Injection", "security", "high",
          "Detects potential SQL injection via string concatenation in queries.",
          "Use parameterized queries (e.g., execute('SELECT * WHERE id = ?', (id,))).", 0.7, (
              Finding("SQL query built with string concatenation — possible SQL injection", "high",
                      r'(?i)(execute|cursor\.execute|db\.query)\s*\(\s*["\'][^"\']*["\']\s*\+',
-                     ("execute", "db.query"), "(+"),
+                     ("execute", "db.query"), "(+q"),
              Finding("SQL query built with f-string — possible SQL injection", "high",
-                     r'(?i)(execute|cursor\.execute)\s*\(\s*f["\']', ("execute",), "("),
+                     r'(?i)(execute|cursor\.execute)\s*\(\s*f["\']', ("execute",), "(q"),
              Finding("SQL query built with % formatting — possible SQL injection", "high",
-                     r'(?i)(execute|cursor\.execute)\s*\(\s*["\'][^"\']*%\s*\(.*\)', ("execute",), "(%)"),
+                     r'(?i)(execute|cursor\.execute)\s*\(\s*["\'][^"\']*%\s*\(.*\)', ("execute",), "%()q"),
              Finding("Dynamic SQL with concatenation — possible SQL injection", "high",
                      r'(?i)SELECT.*FROM.*\+\s*\w+', ("select",), "+"),
          )),
@@ -126,7 +126,7 @@ _RULES = [
          "Move endpoints to configuration or environment variables.", 0.6, (
              Finding("Hardcoded IP address or URL — should be configurable", "low",
                      r'["\']https?://(?:\d{1,3}\.){3}\d{1,3}[:/]?[^"\']*["\']|["\'](?:\d{1,3}\.){3}\d{1,3}["\']',
-                     ('"', "'"), "."),
+                     (), ".q"),
          )),
     Rule("BUG001", "Bare Except", "bug", "medium",
          "Detects bare except clauses that swallow all exceptions.",

@@ -8,8 +8,6 @@ the heaviest keys spread over several reducers.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,27 +24,28 @@ HEAVY_KEYS = 10_000
 
 def windows(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """``(path, start_line, block)`` for every run of lines; files that are too short give none."""
-    rows = files.select("path", text.split_lines(text.normalize(F.col("content"))).alias("normal"))
-    rows = rows.where(F.size("normal") >= min_lines)
+    # Tested on the raw text, which has as many lines: on the normal one Spark would normalise twice.
+    rows = files.where(F.expr(f"size({text.split_lines('content')}) >= {min_lines}"))
+    rows = rows.selectExpr("path", f"{text.split_lines(text.normalize('content'))} AS normal")
     starts = F.explode(F.sequence(F.lit(1), F.size("normal") - (min_lines - 1)))
     rows = rows.select("path", "normal", starts.alias("start_line"))
     return rows.select("path", "start_line", F.slice("normal", F.col("start_line"), min_lines).alias("block"))
 
 
-def is_informative(block: Column, min_lines: int = MIN_LINES) -> Column:
+def is_informative(block: str, min_lines: int = MIN_LINES) -> Column:
     """At least ``min_lines // 2`` lines of the block say something."""
-    counted = [F.when(F.get(block, i).isin(NOISE_LINES), 0).otherwise(1) for i in range(min_lines)]
-    return reduce(Column.__add__, counted) >= min_lines // 2
+    counted = [f"CAST({block}[{i}] NOT IN {text.in_list(NOISE_LINES)} AS INT)" for i in range(min_lines)]
+    return F.expr(f"{' + '.join(counted)} >= {min_lines // 2}")
 
 
-def block_hash(block: Column) -> Column:
+def block_hash(block: str) -> Column:
     return F.md5(F.array_join(block, "\n"))
 
 
 def hashed_windows(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """``(path, start_line, hash)`` of the informative blocks."""
-    rows = windows(files, min_lines).where(is_informative(F.col("block"), min_lines))
-    return rows.select("path", "start_line", block_hash(F.col("block")).alias("hash"))
+    rows = windows(files, min_lines).where(is_informative("block", min_lines))
+    return rows.select("path", "start_line", block_hash("block").alias("hash"))
 
 
 def _keyed(files: DataFrame, min_lines: int) -> DataFrame:
@@ -88,8 +87,8 @@ def with_lines(files: DataFrame, top_groups: DataFrame) -> DataFrame:
     """Adds the normalised lines of the first place. For a limited ranking: the groups are broadcast."""
     places = F.broadcast(top_groups)
     rows = files.join(places, files["path"] == places["first_path"])
-    lines = F.slice(text.split_lines(text.normalize(F.col("content"))), F.col("first_line"), F.col("line_count"))
-    return rows.select("hash", lines.alias("lines"), "line_count", "n_occ", "first_path", "first_line")
+    lines = f"slice({text.split_lines(text.normalize('content'))}, first_line, line_count) AS lines"
+    return rows.selectExpr("hash", lines, "line_count", "n_occ", "first_path", "first_line")
 
 
 def occurrences(files: DataFrame, group_rows: DataFrame, min_lines: int = MIN_LINES,

@@ -5,144 +5,116 @@ Each gives an array of hits (``HIT_TYPE``) inside the file's row, so none of the
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from corpusaudit.functions import text
 from corpusaudit.functions.patterns import SPACE_IN_LINE
 from corpusaudit.operators import catalogue as c
-from corpusaudit.operators import pynodes
 from corpusaudit.operators.catalogue import RULES
 
-HIT_TYPE = "struct<code:int,line:int,snippet:string,message:string,suggestion:string>"
+HIT_TYPE = "STRUCT<code: INT, line: INT, snippet: STRING, message: STRING, suggestion: STRING>"
+NO_HITS = f"CAST(array() AS ARRAY<{HIT_TYPE}>)"
 
 NODE_RULES = ("BUG004", "CPX001", "CPX002", "CPX004", "STY004", "STY005")
 FILE_RULES = ("CPX003", "CPX005", "STY003")
 
+_LENGTH = "(n.end_lineno - n.lineno + 1)"
 
-def _hit(code: Column, line: Column, snippet: Column, message: Column | None = None,
-         suggestion: Column | None = None) -> Column:
-    null = F.lit(None).cast("string")
-    return F.struct(code.alias("code"), line.cast("int").alias("line"), snippet.alias("snippet"),
-                    (null if message is None else message).alias("message"),
-                    (null if suggestion is None else suggestion).alias("suggestion"))
-
-
-def _text(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
-def _either(rule_id: str, high: Column) -> Column:
-    return F.when(high, RULES[rule_id].code(1)).otherwise(RULES[rule_id].code(2))
-
-
-# --- rules on structure facts -----------------------------------------------------------------
 
-def unused_imports(nodes: Column, lines: Column) -> Column:
-    rule = RULES["BUG004"]
-    unused = F.filter(nodes, lambda n: (n.kind == "import") & n.last_of_name & ~n.used)
-    return F.transform(unused, lambda n: _hit(
-        F.lit(rule.code()), n.lineno, text.snippet(F.get(lines, n.lineno - 1)),
-        _text(rule.findings[0].message, n["name"])))
+def _hit(code, line, snippet, message=None, suggestion=None) -> str:
+    null = "CAST(NULL AS STRING)"
+    return (f"named_struct('code', {code}, 'line', {line}, 'snippet', {snippet}, 'message', {message or null}, "
+            f"'suggestion', {suggestion or null})")
 
 
-def high_complexity(nodes: Column, lines: Column) -> Column:
-    found = F.filter(pynodes.last_functions(nodes), lambda n: n.complexity > c.COMPLEXITY_THRESHOLD)
-    return F.transform(found, lambda n: _hit(
-        _either("CPX001", n.complexity > c.HIGH_COMPLEXITY), n.lineno,
-        _text("def ", n["name"], "(...):  # complexity=", n.complexity),
-        _text("Function '", n["name"], "' has cyclomatic complexity of ", n.complexity,
-              f" (threshold: {c.COMPLEXITY_THRESHOLD})")))
+def _text(*parts) -> str:
+    """Concatenation of literals and, in tuples of one, SQL expressions."""
+    return "concat(" + ", ".join(p[0] if isinstance(p, tuple) else text.lit(p) for p in parts) + ")"
 
 
-def long_functions(nodes: Column, lines: Column) -> Column:
-    def length(n):
-        return n.end_lineno - n.lineno + 1
+def _either(rule_id: str, high: str) -> str:
+    return f"IF({high}, {RULES[rule_id].code(1)}, {RULES[rule_id].code(2)})"
 
-    found = F.filter(pynodes.functions(nodes), lambda n: length(n) > c.FUNCTION_LINES_THRESHOLD)
-    return F.transform(found, lambda n: _hit(
-        _either("CPX002", length(n) > c.LONG_FUNCTION_LINES), n.lineno,
-        _text("def ", n["name"], "(...):  # ", length(n), " lines"),
-        _text("Function '", n["name"], "' is ", length(n), f" lines long (threshold: {c.FUNCTION_LINES_THRESHOLD})")))
 
+_NAME = ("n.name",)
+_IS_CLASS = "n.kind = 'class'"
 
-def many_arguments(nodes: Column, lines: Column) -> Column:
-    found = F.filter(pynodes.functions(nodes), lambda n: n.n_args > c.ARGUMENTS_THRESHOLD)
-    return F.transform(found, lambda n: _hit(
-        F.lit(RULES["CPX004"].code()), n.lineno, _text("def ", n["name"], "(...", n.n_args, " args...):"),
-        _text("Function '", n["name"], "' has ", n.n_args, f" parameters (threshold: {c.ARGUMENTS_THRESHOLD})")))
 
+def _node_rule(rule_id: str, lines: str) -> tuple[str, str]:
+    """Condition on a node ``n`` and the hit it gives."""
+    code = RULES[rule_id].code()
+    if rule_id == "BUG004":
+        return ("n.kind = 'import' AND n.last_of_name AND NOT n.used",
+                _hit(code, "n.lineno", text.snippet(f"get({lines}, n.lineno - 1)"),
+                     _text(RULES[rule_id].findings[0].message, _NAME)))
+    if rule_id == "CPX001":
+        return (f"n.kind = 'function' AND n.last_of_name AND n.complexity > {c.COMPLEXITY_THRESHOLD}",
+                _hit(_either(rule_id, f"n.complexity > {c.HIGH_COMPLEXITY}"), "n.lineno",
+                     _text("def ", _NAME, "(...):  # complexity=", ("n.complexity",)),
+                     _text("Function '", _NAME, "' has cyclomatic complexity of ", ("n.complexity",),
+                           f" (threshold: {c.COMPLEXITY_THRESHOLD})")))
+    if rule_id == "CPX002":
+        return (f"n.kind = 'function' AND {_LENGTH} > {c.FUNCTION_LINES_THRESHOLD}",
+                _hit(_either(rule_id, f"{_LENGTH} > {c.LONG_FUNCTION_LINES}"), "n.lineno",
+                     _text("def ", _NAME, "(...):  # ", (_LENGTH,), " lines"),
+                     _text("Function '", _NAME, "' is ", (_LENGTH,),
+                           f" lines long (threshold: {c.FUNCTION_LINES_THRESHOLD})")))
+    if rule_id == "CPX004":
+        return (f"n.kind = 'function' AND n.n_args > {c.ARGUMENTS_THRESHOLD}",
+                _hit(code, "n.lineno", _text("def ", _NAME, "(...", ("n.n_args",), " args...):"),
+                     _text("Function '", _NAME, "' has ", ("n.n_args",), f" parameters (threshold: {c.ARGUMENTS_THRESHOLD})")))
+    if rule_id == "STY004":
+        return ("n.kind IN ('function', 'class') AND NOT n.has_docstring AND n.name NOT RLIKE '^_(?!_)'",
+                _hit(code, "n.lineno", _text((f"IF({_IS_CLASS}, 'class ', 'def ')",), _NAME, "(...):"),
+                     _text((f"IF({_IS_CLASS}, 'Class ', 'Function ')",), "'", _NAME, "' has no docstring")))
+    return ("n.kind = 'function' AND n.name RLIKE '^[a-z]+[A-Z][a-zA-Z0-9]*$' AND NOT startswith(n.name, 'test')",
+            _hit(code, "n.lineno", _text("def ", _NAME, "(...):"),
+                 _text("Function name '", _NAME, "' should be snake_case"),
+                 _text("Rename to '", (text.snake_case("n.name"),), "'")))
 
-def missing_docstrings(nodes: Column, lines: Column) -> Column:
-    def private(n):
-        return F.startswith(n["name"], F.lit("_")) & ~F.startswith(n["name"], F.lit("__"))
 
-    found = F.filter(nodes, lambda n: n.kind.isin("function", "class") & ~n.has_docstring & ~private(n))
-    return F.transform(found, lambda n: _hit(
-        F.lit(RULES["STY004"].code()), n.lineno,
-        _text(F.when(n.kind == "class", "class ").otherwise("def "), n["name"], "(...):"),
-        _text(F.when(n.kind == "class", "Class '").otherwise("Function '"), n["name"], "' has no docstring")))
+def _node_hits(rule_id: str, nodes: str, lines: str) -> str:
+    condition, hit = _node_rule(rule_id, lines)
+    return f"coalesce(transform(filter({nodes}, n -> {condition}), n -> {hit}), {NO_HITS})"
 
 
-def camel_case_names(nodes: Column, lines: Column) -> Column:
-    found = F.filter(pynodes.functions(nodes), lambda n: n["name"].rlike("^[a-z]+[A-Z][a-zA-Z0-9]*$")
-                     & ~F.startswith(n["name"], F.lit("test")))
-    return F.transform(found, lambda n: _hit(
-        F.lit(RULES["STY005"].code()), n.lineno, _text("def ", n["name"], "(...):"),
-        _text("Function name '", n["name"], "' should be snake_case"),
-        _text("Rename to '", text.snake_case(n["name"]), "'")))
-
-
-# --- rules on the text of a file --------------------------------------------------------------
-
-def deep_nesting(language: Column, content: Column, lines: Column) -> Column:
+def deep_nesting(language: str, content: str, lines: str) -> str:
     """One hit at the first deepest line. Only texts that have a line indented deep enough are measured."""
     limit = 4 * (c.NESTING_THRESHOLD + 1)
+    rest = text.strip_left("l")
+    depth = f"CAST(floor((length(l) - length({rest})) / 4) AS INT)"
+    measured = (f"transform({lines}, (l, i) -> CASE WHEN {rest} <> '' AND NOT startswith({rest}, '#') "
+                f"THEN named_struct('depth', {depth}, 'before', -i) END)")
+    hit = _hit(RULES["CPX003"].code(), "1 - d.before", text.snippet(f"get({lines}, -d.before)"),
+               _text("Code nested ", ("d.depth",), f" levels deep (threshold: {c.NESTING_THRESHOLD})"))
+    deepest = f"filter(array(array_max({measured})), d -> d.depth > {c.NESTING_THRESHOLD})"
+    indented = text.lit(f"(?d)(?m)^[{SPACE_IN_LINE}]{{{limit}}}")
+    return f"CASE WHEN {language} = 'python' AND {content} RLIKE {indented} THEN transform({deepest}, d -> {hit}) ELSE {NO_HITS} END"
 
-    def measure(line, i):
-        rest = text.strip_left(line)
-        counts = (rest != "") & ~F.startswith(rest, F.lit("#"))
-        depth = F.floor((F.length(line) - F.length(rest)) / 4).cast("int")
-        return F.when(counts, F.struct(depth.alias("depth"), (-i).alias("before")))
 
-    deepest = F.array_max(F.transform(lines, measure))
-    at = F.get(lines, -deepest.before)
-    hit = _hit(F.lit(RULES["CPX003"].code()), 1 - deepest.before, text.snippet(at),
-               _text("Code nested ", deepest.depth, f" levels deep (threshold: {c.NESTING_THRESHOLD})"))
-    worth_measuring = (language == "python") & content.rlike(f"(?m)(?d)^[{SPACE_IN_LINE}]{{{limit}}}")
-    return F.when(worth_measuring, F.when(deepest.depth > c.NESTING_THRESHOLD, hit))
+def large_file(language: str, content: str, lines: str) -> str:
+    n = f"size({lines})"
+    hit = _hit(_either("CPX005", f"{n} > {c.LARGE_FILE_LINES}"), "1", _text("# ", (n,), " lines total"),
+               _text("File has ", (n,), f" lines (threshold: {c.FILE_LINES_THRESHOLD})"))
+    return f"CASE WHEN {n} > {c.FILE_LINES_THRESHOLD} THEN array({hit}) ELSE {NO_HITS} END"
 
 
-def large_file(language: Column, content: Column, lines: Column) -> Column:
-    n = F.size(lines)
-    return F.when(n > c.FILE_LINES_THRESHOLD, _hit(
-        _either("CPX005", n > c.LARGE_FILE_LINES), F.lit(1), _text("# ", n, " lines total"),
-        _text("File has ", n, f" lines (threshold: {c.FILE_LINES_THRESHOLD})")))
-
-
-def mixed_indentation(language: Column, content: Column, lines: Column) -> Column:
+def mixed_indentation(language: str, content: str, lines: str) -> str:
     """A hit at the first line that starts with a tab, when another starts with four blanks."""
+    tab, blanks = "\\t", "    "
+
     def starts(prefix):
-        return F.startswith(content, F.lit(prefix)) | F.contains(content, F.lit("\n" + prefix))
+        return f"(startswith({content}, '{prefix}') OR contains({content}, '\\n{prefix}'))"
 
-    before = F.substring(content, F.lit(1), F.instr(content, "\n\t"))
-    first = F.when(F.startswith(content, F.lit("\t")), 1).otherwise(F.size(text.split_lines(before)))
-    return F.when(starts("\t") & starts("    "), _hit(
-        F.lit(RULES["STY003"].code()), first, F.lit("Mixed indentation detected")))
+    before = f"substring({content}, 1, instr({content}, '\\n{tab}'))"
+    first = f"IF(startswith({content}, '{tab}'), 1, size({text.split_lines(before)}))"
+    hit = _hit(RULES["STY003"].code(), first, "'Mixed indentation detected'")
+    return f"CASE WHEN {starts(tab)} AND {starts(blanks)} THEN array({hit}) ELSE {NO_HITS} END"
 
 
-_NODE_FUNCTIONS = {"BUG004": unused_imports, "CPX001": high_complexity, "CPX002": long_functions,
-                   "CPX004": many_arguments, "STY004": missing_docstrings, "STY005": camel_case_names}
 _FILE_FUNCTIONS = {"CPX003": deep_nesting, "CPX005": large_file, "STY003": mixed_indentation}
 
 
-def file_hits(rule_ids, language: Column, content: Column, lines: Column, nodes: Column | None) -> Column:
+def file_hits(rule_ids, language: str, content: str, lines: str, nodes: str) -> str:
     """All hits of the given file and fact rules, as one array."""
-    single = [_FILE_FUNCTIONS[r](language, content, lines) for r in rule_ids if r in _FILE_FUNCTIONS]
-    parts = [F.array_compact(F.array(*single))] if single else []
-    for r in rule_ids:
-        if r in _NODE_FUNCTIONS:
-            parts.append(F.coalesce(_NODE_FUNCTIONS[r](nodes, lines), F.array().cast(f"array<{HIT_TYPE}>")))
-    if not parts:
-        return F.array().cast(f"array<{HIT_TYPE}>")
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    parts = [_FILE_FUNCTIONS[r](language, content, lines) for r in rule_ids if r in _FILE_FUNCTIONS]
+    parts += [_node_hits(r, nodes, lines) for r in rule_ids if r in NODE_RULES]
+    return f"concat({', '.join(parts)})" if parts else NO_HITS

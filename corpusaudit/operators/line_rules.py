@@ -2,59 +2,74 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from corpusaudit.functions import text
-from corpusaudit.functions.patterns import WHITESPACE_CHARS, compile_pattern
+from corpusaudit.functions.patterns import WHITESPACE_CHARS
 from corpusaudit.operators.catalogue import LINE_LENGTH_THRESHOLD, RULES, Finding, Rule
 
-LINE_RULES = tuple(r for r in RULES if RULES[r].findings and (RULES[r].findings[0].pattern or r in ("STY001", "STY002")))
+WHOLE_LINE_RULES = ("STY001", "STY002")
+LINE_RULES = tuple(r for r, rule in RULES.items()
+                   if r in WHOLE_LINE_RULES or any(finding.pattern for finding in rule.findings))
+
+
+def _bits(rule_ids) -> dict[tuple[str, int], int]:
+    keys = [(r, variant) for r in rule_ids if r in LINE_RULES and r not in WHOLE_LINE_RULES
+            for variant in range(1, len(RULES[r].findings) + 1)]
+    return {key: 1 << i for i, key in enumerate(keys)}
 
 
-def code(rule: Rule, language: Column, line: Column, folded: Column) -> Column:
+def candidates(rule_ids, language: str, content: str, folded: str) -> str:
+    """Bit mask of the findings that may occur somewhere in a file.
+
+    One look at the whole text for the literals a pattern cannot do without spares its lines the
+    test: most files hold few of them. The mask also says whether a rule applies to the language.
+    """
+    parts = []
+    for (rule_id, variant), bit in _bits(rule_ids).items():
+        rule = RULES[rule_id]
+        tests = _literals(rule.findings[variant - 1], content, folded)
+        if rule.languages:
+            tests.insert(0, f"{language} IN {text.in_list(rule.languages)}")
+        parts.append(f"IF({' AND '.join(tests)}, {bit}L, 0L)")
+    return " | ".join(parts) if parts else "0L"
+
+
+def code(rule: Rule, rule_ids, maybe: str, line: str, folded: str) -> str:
     """Code of the first finding of the rule that the line shows, else null."""
     if rule.rule_id == "STY001":
-        hit = F.when(F.length(line) > LINE_LENGTH_THRESHOLD, rule.code())
+        branches = f"WHEN length({line}) > {LINE_LENGTH_THRESHOLD} THEN {rule.code()}"
     elif rule.rule_id == "STY002":
-        last = F.substring(line, -1, 1)
-        hit = F.when((line != "") & F.contains(F.lit(WHITESPACE_CHARS), last) & (text.strip_right(line) != ""),
-                     rule.code())
+        ends_blank = f"contains({text.lit(WHITESPACE_CHARS)}, substring({line}, -1, 1))"
+        branches = f"WHEN {line} <> '' AND {ends_blank} AND {text.strip_right(line)} <> '' THEN {rule.code()}"
     else:
-        hit = None
-        for variant, finding in enumerate(rule.findings, 1):
-            test = _shows(finding, line, folded)
-            hit = F.when(test, rule.code(variant)) if hit is None else hit.when(test, rule.code(variant))
-    return _gated(rule, language, hit)
+        bits = {variant: bit for (rule_id, variant), bit in _bits(rule_ids).items() if rule_id == rule.rule_id}
+        inner = " ".join(
+            f"WHEN {' AND '.join([_has(maybe, bits[v]), *_literals(f, line, folded), text.matches(line, f.pattern)])} "
+            f"THEN {rule.code(v)}" for v, f in enumerate(rule.findings, 1))
+        branches = f"WHEN {_has(maybe, sum(bits.values()))} THEN CASE {inner} END"
+    return f"CASE {branches} END"
+
 
+def _has(maybe: str, bits: int) -> str:
+    return f"({maybe} & {bits}L) <> 0L"
 
-def _shows(finding: Finding, line: Column, folded: Column) -> Column:
-    tests = [F.contains(line, F.lit(c)) for c in finding.needs]
-    if finding.hints:
-        tests.append(reduce(Column.__or__, [F.contains(folded, F.lit(hint)) for hint in finding.hints]))
-    tests.append(line.rlike(compile_pattern(finding.pattern)))
-    return reduce(Column.__and__, tests)
 
+def _literals(finding: Finding, x: str, folded: str) -> list[str]:
+    """Cheap tests that hold whenever the finding's pattern matches in the text."""
+    def either(options, where):
+        return "(" + " OR ".join(f"contains({where}, {text.lit(o)})" for o in options) + ")"
 
-def _gated(rule: Rule, language: Column, hit: Column) -> Column:
-    if not rule.languages:
-        return hit
-    return F.when(language.isin([name.lower() for name in rule.languages]), hit)
+    tests = [either("\"'" if c == "q" else c, x) for c in finding.needs]
+    return [*tests, either(finding.hints, folded)] if finding.hints else tests
 
 
-def message(code_column: Column, line: Column) -> Column:
+def message(code_column: str, line: str) -> str:
     """Message of a line hit where it depends on the line; null where the catalogue's is used."""
     todo, long_line = RULES["BUG006"], RULES["STY001"]
-    return F.when(code_column == todo.code(),
-                  F.concat(F.lit(todo.findings[0].message), F.substring(text.strip(line), 1, 80))) \
-        .when(code_column == long_line.code(),
-              F.concat(F.lit("Line is "), F.length(line).cast("string"),
-                       F.lit(f" characters (threshold: {LINE_LENGTH_THRESHOLD})")))
+    return (f"CASE {code_column} "
+            f"WHEN {todo.code()} THEN concat({text.lit(todo.findings[0].message)}, substring({text.strip(line)}, 1, 80)) "
+            f"WHEN {long_line.code()} THEN concat('Line is ', length({line}), ' characters (threshold: {LINE_LENGTH_THRESHOLD})') END")
 
 
-def snippet(code_column: Column, line: Column) -> Column:
-    return F.when(code_column == RULES["STY001"].code(), F.concat(F.substring(line, 1, 120), F.lit("..."))) \
-        .when(code_column == RULES["STY002"].code(), F.substring(text.strip_right(line), 1, 120)) \
-        .otherwise(text.snippet(line))
+def snippet(code_column: str, line: str) -> str:
+    return (f"CASE {code_column} WHEN {RULES['STY001'].code()} THEN concat(substring({line}, 1, 120), '...') "
+            f"WHEN {RULES['STY002'].code()} THEN substring({text.strip_right(line)}, 1, 120) ELSE {text.snippet(line)} END")

@@ -31,6 +31,10 @@ _ARROW_TYPE = pa.list_(pa.struct([
     ("visit_seq", pa.int32()), ("last_of_name", pa.bool_()), ("used", pa.bool_()),
 ]))
 
+# Nodes without a branch, definition or import below them.
+_LEAVES = frozenset([ast.Name, ast.Constant, ast.alias, ast.Pass, ast.Break, ast.Continue, *ast.expr_context.__subclasses__(),
+                     *ast.boolop.__subclasses__(), *ast.operator.__subclasses__(), *ast.unaryop.__subclasses__(),
+                     *ast.cmpop.__subclasses__()])
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _ONE_BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.IfExp)
 
@@ -43,9 +47,14 @@ def parse_facts(source: str) -> list[dict]:
             tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
-    branches, finish = _branch_counts(tree)
+    children = {}
+    walk = [tree]
+    for node in walk:
+        children[node] = _children(node)
+        walk += children[node]
+    branches, finish = _branch_counts(tree, children)
     facts = []
-    for node in ast.walk(tree):
+    for node in walk:
         if isinstance(node, _FUNCTIONS):
             facts.append(_fact("function", node.name, node, n_args=len(node.args.args) + len(node.args.posonlyargs),
                                has_docstring=bool(ast.get_docstring(node)), complexity=branches[node],
@@ -70,7 +79,18 @@ def _fact(kind, name, node, n_args=0, has_docstring=False, complexity=0, visit_s
             "last_of_name": False, "used": False}
 
 
-def _branch_counts(tree):
+def _children(node):
+    out = []
+    for name in node._fields:
+        value = getattr(node, name, None)
+        if isinstance(value, list):
+            out += [child for child in value if isinstance(child, ast.AST) and child.__class__ not in _LEAVES]
+        elif isinstance(value, ast.AST) and value.__class__ not in _LEAVES:
+            out.append(value)
+    return out
+
+
+def _branch_counts(tree, children):
     """Branches per function, and the order in which functions end (inner before outer)."""
     branches, finish = {}, {}
     stack = [(tree, None, False)]
@@ -88,7 +108,7 @@ def _branch_counts(tree):
                 branches[owner] += 1
             elif isinstance(node, ast.BoolOp):
                 branches[owner] += len(node.values) - 1
-        stack.extend((child, owner, False) for child in reversed(list(ast.iter_child_nodes(node))))
+        stack.extend((child, owner, False) for child in reversed(children[node]))
     return branches, finish
 
 
@@ -140,16 +160,8 @@ def nodes(files: DataFrame) -> DataFrame:
     return found.select("path", F.inline("node"))
 
 
-def functions(node_array: Column) -> Column:
-    return F.filter(node_array, lambda n: n.kind == "function")
-
-
-def last_functions(node_array: Column) -> Column:
-    """Functions after equal names of a file have collapsed to the one that ends last."""
-    return F.filter(node_array, lambda n: (n.kind == "function") & n.last_of_name)
-
-
 def last_by_name(node_rows: DataFrame) -> DataFrame:
+    """Functions after equal names of a file have collapsed to the one that ends last."""
     return node_rows.where((F.col("kind") == "function") & F.col("last_of_name"))
 
 

@@ -89,12 +89,13 @@ def measures(total_row: DataFrame) -> DataFrame:
     """The totals with every derived debt and quality figure, flat."""
     minutes = reduce(Column.__add__, severity_minutes().values()) + F.col("complexity_minutes") \
         + F.col("duplicate_blocks") * DUPLICATE_MINUTES
-    row = total_row.withColumns({"total_debt_minutes": minutes.cast("bigint"), "score": quality_score()})
+    row = total_row.withColumns({"total_debt_minutes": minutes.cast("bigint"), "score": quality_score(), "kloc": issues_per_kloc()})
     m, score = F.col("total_debt_minutes"), F.col("score")
     return row.select(
-        "*", round_half_even(m / 60, 1).alias("total_debt_hours"), round_half_even(m / 480, 1).alias("total_debt_days"),
-        formatted(m).alias("formatted"), round_half_even(score, 1).alias("quality_score"), grade(score).alias("grade"),
-        risk_level(score).alias("risk_level"), round_half_even(issues_per_kloc(), 2).alias("issues_per_kloc"))
+        "*", F.expr(round_half_even("total_debt_minutes / 60", 1)).alias("total_debt_hours"),
+        F.expr(round_half_even("total_debt_minutes / 480", 1)).alias("total_debt_days"),
+        formatted(m).alias("formatted"), F.expr(round_half_even("score", 1)).alias("quality_score"), grade(score).alias("grade"),
+        risk_level(score).alias("risk_level"), F.expr(round_half_even("kloc", 2)).alias("issues_per_kloc"))
 
 
 def breakdown_columns() -> list[Column]:

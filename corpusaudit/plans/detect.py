@@ -18,6 +18,7 @@ from corpusaudit import dims
 from corpusaudit.functions import linestats, text
 from corpusaudit.operators import catalogue, custom, file_rules, line_rules, pynodes
 from corpusaudit.operators.catalogue import RULES
+from corpusaudit.sources import tables
 
 STATS = ["language", "lines", "blank_lines", "comment_lines", "code_lines", "functions", "classes",
          "max_complexity", "avg_complexity"]
@@ -28,10 +29,9 @@ ISSUE_COLUMNS = ["rule_id", "rule_name", "category", "severity", "message", "pat
 
 def line_table(files: DataFrame) -> DataFrame:
     """``(path, language, line_no, line, stripped)``, numbered from 1."""
-    rows = files.select("path", text.language(F.col("path")).alias("language"),
-                        F.posexplode(text.split_lines(F.col("content"))).alias("pos", "line"))
-    return rows.select("path", "language", (F.col("pos") + 1).alias("line_no"), "line",
-                       text.strip(F.col("line")).alias("stripped"))
+    rows = files.selectExpr("path", f"{text.language('path')} AS language",
+                            f"posexplode({text.split_lines('content')}) AS (pos, line)")
+    return rows.selectExpr("path", "language", "pos + 1 AS line_no", "line", f"{text.strip('line')} AS stripped")
 
 
 def file_statistics(files: DataFrame) -> DataFrame:
@@ -40,68 +40,56 @@ def file_statistics(files: DataFrame) -> DataFrame:
 
 
 def _with_nodes(files: DataFrame) -> DataFrame:
-    base = files.select("path", "content", text.language(F.col("path")).alias("language"))
-    return base.withColumn("nodes", pynodes.facts(F.col("language"), F.col("content")))
+    return tables.with_language(files).withColumn("nodes", pynodes.facts(F.col("language"), F.col("content")))
 
 
 def _with_statistics(base: DataFrame) -> DataFrame:
-    language, content, nodes = F.col("language"), F.col("content"), F.col("nodes")
-    python = language == "python"
-    complexities = F.transform(pynodes.last_functions(nodes), lambda n: n.complexity)
-    total = F.aggregate(F.col("complexities"), F.lit(0), lambda acc, x: acc + x)
-
-    def of_kind(kind):
-        return F.coalesce(F.size(F.filter(nodes, lambda n: n.kind == kind)), F.lit(0))
-
-    counted = base.select(
-        "*", linestats.line_classes(language, content).alias("kinds"),
-        F.size(text.split_lines(linestats.body(content))).alias("lines"),
-        F.when(python, of_kind("function")).otherwise(linestats.count_functions(language, content)).alias("functions"),
-        F.when(python, of_kind("class")).otherwise(linestats.count_classes(language, content)).alias("classes"),
-        F.coalesce(complexities, F.array().cast("array<int>")).alias("complexities"))
-    return counted.select(
-        *[c for c in base.columns], "lines", "functions", "classes",
-        F.col("kinds.blank").alias("blank_lines"), F.col("kinds.comment").alias("comment_lines"),
-        F.col("kinds.code").alias("code_lines"),
-        F.coalesce(F.array_max("complexities"), F.lit(0)).alias("max_complexity"),
-        F.when(F.size("complexities") > 0, total / F.size("complexities")).otherwise(0.0).alias("avg_complexity"))
+    def defined(kind, counted):
+        in_nodes = f"coalesce(size(filter(nodes, n -> n.kind = '{kind}')), 0)"
+        return f"IF(language = 'python', {in_nodes}, {counted})"
+
+    last = "transform(filter(nodes, n -> n.kind = 'function' AND n.last_of_name), n -> n.complexity)"
+    counted = base.selectExpr(
+        "*", f"{linestats.line_classes('language', 'content')} AS kinds",
+        f"size({text.split_lines(linestats.body('content'))}) AS lines",
+        f"{defined('function', linestats.count_functions('language', 'content'))} AS functions",
+        f"{defined('class', linestats.count_classes('language', 'content'))} AS classes",
+        f"coalesce({last}, CAST(array() AS ARRAY<INT>)) AS complexities")
+    return counted.selectExpr(
+        *base.columns, "lines", "functions", "classes", "kinds.blank AS blank_lines", "kinds.comment AS comment_lines",
+        "kinds.code AS code_lines", "coalesce(array_max(complexities), 0) AS max_complexity",
+        "IF(size(complexities) > 0, aggregate(complexities, 0, (a, x) -> a + x) / size(complexities), 0D) AS avg_complexity")
 
 
 def marks(files: DataFrame, rule_ids=None, statistics: bool = False, custom_lines=()) -> DataFrame:
     """The stream of marks described above, for the given rules (all by default).
 
-    Columns: path, [STATS], code, line, at (the line's text, null for file hits), hit (null for line hits).
+    Columns: path, language or STATS, code, line, at (the line's text), hit (null for line hits).
     """
     rule_ids = [r for r in RULES if rule_ids is None or r in rule_ids]
     needs_nodes = statistics or any(r in file_rules.NODE_RULES for r in rule_ids)
-    language, content = F.col("language"), F.col("content")
-    if needs_nodes:
-        base = _with_nodes(files)
-    else:
-        base = files.select("path", "content", text.language(F.col("path")).alias("language"))
+    base = _with_nodes(files) if needs_nodes else tables.with_language(files)
     if statistics:
         base = _with_statistics(base)
     carried = STATS if statistics else ["language"]
-    hits = file_rules.file_hits(rule_ids, language, content, text.split_lines(content),
-                                F.col("nodes") if needs_nodes else None)
-    base = base.select("path", "content", *carried, hits.alias("file_hits"))
-    none = F.array().cast("array<int>")
-    own = F.concat(F.array(F.lit(0)), F.when(F.size("file_hits") > 0, F.sequence(F.lit(-1), -F.size("file_hits"),
-                                                                                F.lit(-1))).otherwise(none))
-    lines = base.select("path", *carried, "file_hits", own.alias("own"),
-                        F.posexplode(text.split_lines(content)).alias("pos", "at"))
-    lines = lines.withColumn("folded", text.fold_case(F.col("at")))
-    codes = [line_rules.code(RULES[r], language, F.col("at"), F.col("folded"))
-             for r in rule_ids if r in line_rules.LINE_RULES]
-    codes += [custom.line_code(rule, entry, language, F.col("at")) for rule, entry in custom_lines]
-    found = F.array(*codes) if codes else none
-    found = F.concat(found, F.when(F.col("pos") == 0, F.col("own")).otherwise(none))
-    marked = lines.select("path", *carried, "file_hits", "pos", "at", F.explode(found).alias("mark")) \
-        .where(F.col("mark").isNotNull())
-    own_hit = F.when(F.col("mark") < 0, F.get("file_hits", -F.col("mark") - 1))
-    return marked.select("path", *carried, own_hit.alias("hit"), "mark", "pos", "at").select(
-        "path", *carried, F.coalesce(F.col("hit.code"), F.col("mark")).alias("code"),
-        F.coalesce(F.col("hit.line"), F.col("pos") + 1).alias("line"), "at", "hit")
+    hits = file_rules.file_hits(rule_ids, "language", "content", text.split_lines("content"), "nodes")
+    base = base.selectExpr("path", "content", *carried, f"{hits} AS file_hits", f"{text.fold_case('content')} AS folded_content")
+    maybe = line_rules.candidates(rule_ids, "language", "content", "folded_content")
+    base = base.selectExpr("path", "content", *carried, "file_hits", f"{maybe} AS maybe")
+    none = "CAST(array() AS ARRAY<INT>)"
+    own = f"concat(array(0), IF(size(file_hits) > 0, sequence(-1, -size(file_hits), -1), {none})) AS own"
+    lines = base.selectExpr("path", *carried, "file_hits", "maybe", own, f"posexplode({text.split_lines('content')}) AS (pos, at)")
+    lines = lines.selectExpr("*", f"{text.fold_case('at')} AS folded")
+    codes = [F.expr(line_rules.code(RULES[r], rule_ids, "maybe", "at", "folded")) for r in rule_ids if r in line_rules.LINE_RULES]
+    codes += [custom.line_code(rule, entry, F.col("language"), F.col("at")) for rule, entry in custom_lines]
+    # The lambda keeps this projection out of whole-stage code generation, where dozens of patterns would make
+    # one method too long for the JIT compiler; on its own the projection is generated in short methods.
+    tested = lines.select("path", *carried, "file_hits", "pos", "at", F.expr("filter(own, m -> pos = 0)").alias("mine"),
+                          (F.array(*codes) if codes else F.expr(none)).alias("codes"))
+    marked = tested.select("path", *carried, "file_hits", "pos", "at", F.explode(F.concat("codes", "mine")).alias("mark"))
+    marked = marked.where("mark IS NOT NULL")
+    marked = marked.selectExpr("path", *carried, "CASE WHEN mark < 0 THEN get(file_hits, -mark - 1) END AS hit", "mark", "pos", "at")
+    return marked.selectExpr("path", *carried, "coalesce(hit.code, mark) AS code", "coalesce(hit.line, pos + 1) AS line", "at", "hit")
 
 
 def issues(files: DataFrame, rule_ids=None, custom_lines=(), custom_files=()) -> DataFrame:
@@ -110,13 +98,11 @@ def issues(files: DataFrame, rule_ids=None, custom_lines=(), custom_files=()) ->
     marked = marks(files, rule_ids, custom_lines=custom_lines).where("code <> 0")
     kinds = catalogue.findings(spark, [entry for _, entry in custom_lines])
     joined = marked.join(F.broadcast(kinds), "code")
-    own = F.col("hit").isNotNull()
     code, at = F.col("code"), F.col("at")
-    text_of_line = F.coalesce(line_rules.message(code, at), F.col("message"))
     out = {
-        "message": F.when(own, F.coalesce(F.col("hit.message"), F.col("message"))).otherwise(text_of_line),
-        "snippet": F.when(own, F.col("hit.snippet")).otherwise(line_rules.snippet(code, at)),
-        "suggestion": F.coalesce(F.col("hit.suggestion"), F.col("suggestion")),
+        "message": F.expr(f"coalesce(hit.message, {line_rules.message('code', 'at')}, message)"),
+        "snippet": F.expr(f"CASE WHEN hit IS NOT NULL THEN hit.snippet ELSE {line_rules.snippet('code', 'at')} END"),
+        "suggestion": F.expr("coalesce(hit.suggestion, suggestion)"),
         "severity": F.col("severity"), "confidence": F.col("confidence"),
     }
     for rule, entry in custom_lines:
@@ -128,7 +114,7 @@ def issues(files: DataFrame, rule_ids=None, custom_lines=(), custom_files=()) ->
     rows = joined.select("path", "line", "rule_ord", "rule_id", "rule_name", "category", F.lit(0).alias("column"),
                          *[column.alias(name) for name, column in out.items()])
     for rule, entry in custom_files:
-        raw = custom.run_file_rule(files.withColumn("language", text.language(F.col("path"))), rule)
+        raw = custom.run_file_rule(tables.with_language(files), rule)
         rows = rows.unionByName(raw.select(
             "*", F.lit(entry.order).alias("rule_ord"), F.lit(entry.rule_id).alias("rule_id"),
             F.lit(entry.rule_name).alias("rule_name"), F.lit(entry.category).alias("category")))
@@ -136,7 +122,10 @@ def issues(files: DataFrame, rule_ids=None, custom_lines=(), custom_files=()) ->
 
 
 def weight(severity: Column) -> Column:
-    return dims.by_value(severity, {w: [name] for name, w in dims.SEVERITY_WEIGHT.items()})
+    out = None
+    for name, points in dims.SEVERITY_WEIGHT.items():
+        out = F.when(severity == name, points) if out is None else out.when(severity == name, points)
+    return out
 
 
 def _fields(spark, rule) -> set[str]:

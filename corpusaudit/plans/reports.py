@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit import dims
-from corpusaudit.functions.text import round_half_even
+from corpusaudit.functions.text import case_of, round_half_even
 from corpusaudit.plans import debt, rollups
 
 ISSUE_ORDER = ("path", "rule_ord", "line")
 
 
+def _average():
+    """Mean complexity with two digits."""
+    return F.expr(round_half_even("avg_complexity", 2)).alias("avg_complexity")
+
+
 def _severity_order():
-    return dims.by_value(F.col("severity"), {order: [name] for name, order in dims.SEVERITY_ORDER.items()})
+    return F.expr(case_of("severity", {str(order): [name] for name, order in dims.SEVERITY_ORDER.items()}))
 
 
 # --- scan command -----------------------------------------------------------------------------
@@ -133,7 +138,7 @@ def security_issues(issues: DataFrame, limit: int = 100) -> DataFrame:
 def file_list(profile: DataFrame) -> DataFrame:
     """Statistics of every file, most issues first."""
     return profile.select("path", "language", "lines", "code_lines", "comment_lines", "functions", "classes",
-                          "max_complexity", round_half_even(F.col("avg_complexity"), 2).alias("avg_complexity"),
+                          "max_complexity", _average(),
                           "issue_count").orderBy(F.desc("issue_count"), "path")
 
 
@@ -141,7 +146,7 @@ def file_detail(profile: DataFrame, issues: DataFrame, path: str) -> DataFrame:
     """One nested row with the statistics and issues of a file; no row when the path is unknown."""
     stats = profile.where(F.col("path") == path).select("path", F.struct(
         "language", "lines", "code_lines", "comment_lines", "functions", "classes", "max_complexity",
-        round_half_even(F.col("avg_complexity"), 2).alias("avg_complexity")).alias("stats"))
+        _average()).alias("stats"))
     row = F.struct("rule_ord", "line", "rule_id", "severity", "message", "snippet")
     found = issues.where(F.col("path") == path).groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("issues"))
     listed = F.transform(F.coalesce("issues", F.array().cast(found.schema["issues"].dataType)), lambda i: F.struct(
@@ -152,7 +157,7 @@ def file_detail(profile: DataFrame, issues: DataFrame, path: str) -> DataFrame:
 
 def top_risk_files(profile: DataFrame, limit: int = 20) -> DataFrame:
     rows = rollups.top_files(profile, limit)
-    return rows.withColumn("risk_score", round_half_even(F.col("risk_score"), 1))
+    return rows.withColumn("risk_score", F.expr(round_half_even("risk_score", 1)))
 
 
 def complexity_totals(profile: DataFrame) -> DataFrame:
@@ -166,7 +171,7 @@ def complexity_totals(profile: DataFrame) -> DataFrame:
 def complexity_files(profile: DataFrame, limit: int = 50) -> DataFrame:
     rows = profile.where("max_complexity > 0").orderBy(F.desc("max_complexity"), F.desc("issue_count"), "path").limit(limit)
     return rows.select("path", "functions", "max_complexity",
-                       round_half_even(F.col("avg_complexity"), 2).alias("avg_complexity"), "code_lines")
+                       _average(), "code_lines")
 
 
 def complexity_histogram(profile: DataFrame) -> DataFrame:

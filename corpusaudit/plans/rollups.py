@@ -33,7 +33,7 @@ def count_by_rule(issues: DataFrame) -> DataFrame:
 
 
 def count_by_language(files: DataFrame) -> DataFrame:
-    return files.groupBy(text.language(F.col("path")).alias("language")).agg(F.count("*").alias("files"))
+    return files.groupBy(F.expr(text.language("path")).alias("language")).agg(F.count("*").alias("files"))
 
 
 def scan_totals(profile: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def full_issues(issues: DataFrame) -> DataFrame:
 
 def full_files(profile: DataFrame) -> DataFrame:
     return profile.select("path", "language", "lines", "code_lines", "comment_lines", "blank_lines", "functions", "classes",
-                          "max_complexity", round_half_even(F.col("avg_complexity"), 2).alias("avg_complexity"), "issue_count")
+                          "max_complexity", F.expr(round_half_even("avg_complexity", 2)).alias("avg_complexity"), "issue_count")
 
 
 def write_json(tables: dict[str, DataFrame], folder: str) -> None:

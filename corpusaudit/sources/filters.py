@@ -11,21 +11,21 @@ from corpusaudit import dims
 from corpusaudit.functions import text
 
 
-def has_extension(path: Column, extensions: Iterable[str] = dims.SCAN_EXTENSIONS) -> Column:
-    return text.extension(path).isin(list(extensions))
+def has_extension(path: str, extensions: Iterable[str] = dims.SCAN_EXTENSIONS) -> Column:
+    return F.expr(f"{text.extension(path)} IN {text.in_list(extensions)}")
 
 
-def in_skipped_dir(relative_path: Column, skip_dirs: Iterable[str] = dims.SKIP_DIRS) -> Column:
+def in_skipped_dir(relative_path: str, skip_dirs: Iterable[str] = dims.SKIP_DIRS) -> Column:
     """True when a directory below the root is a skipped name or starts with a dot."""
     names = "|".join(_quote(name) for name in skip_dirs)
-    return relative_path.rlike(rf"(?:^|/)(?:\.[^/]*|{names})/")
+    return F.col(relative_path).rlike(rf"(?:^|/)(?:\.[^/]*|{names})/")
 
 
-def fits_size(content: Column, max_size: int = dims.MAX_FILE_SIZE) -> Column:
+def fits_size(content: str, max_size: int = dims.MAX_FILE_SIZE) -> Column:
     return F.octet_length(content) <= max_size
 
 
-def is_excluded(absolute_path: Column, patterns: Iterable[str]) -> Column:
+def is_excluded(absolute_path: Column | str, patterns: Iterable[str]) -> Column:
     """True when one of the given substrings occurs in the forward-slash absolute path."""
     slashed = F.replace(absolute_path, F.lit("\\"), F.lit("/"))
     out = F.lit(False)
@@ -37,12 +37,11 @@ def is_excluded(absolute_path: Column, patterns: Iterable[str]) -> Column:
 def scannable(files: DataFrame, extensions: Iterable[str] | None = None, skip_dirs: Iterable[str] | None = None,
               max_size: int = dims.MAX_FILE_SIZE, exclude_patterns: Iterable[str] = (), root: str = "") -> DataFrame:
     """The files of a ``(path, content)`` table that a scan takes in."""
-    path = F.col("path")
-    keep = has_extension(path, extensions or dims.SCAN_EXTENSIONS)
-    keep = keep & ~in_skipped_dir(path, skip_dirs or dims.SKIP_DIRS) & fits_size(F.col("content"), max_size)
+    keep = has_extension("path", extensions or dims.SCAN_EXTENSIONS)
+    keep = keep & ~in_skipped_dir("path", skip_dirs or dims.SKIP_DIRS) & fits_size("content", max_size)
     exclude_patterns = list(exclude_patterns)
     if exclude_patterns:
-        keep = keep & ~is_excluded(F.concat(F.lit(root), path), exclude_patterns)
+        keep = keep & ~is_excluded(F.concat(F.lit(root), "path"), exclude_patterns)
     return files.where(keep)
 
 

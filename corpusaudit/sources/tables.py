@@ -14,14 +14,13 @@ def corpus(table: DataFrame, path: Column, content: Column) -> DataFrame:
 
 
 def with_language(files: DataFrame) -> DataFrame:
-    return files.select("path", "content", text.language(F.col("path")).alias("language"))
+    return files.selectExpr("path", "content", f"{text.language('path')} AS language")
 
 
 def describe(files: DataFrame) -> DataFrame:
     """``(path, content, n_bytes, ext, language)``."""
-    path = F.col("path")
-    return files.select("path", "content", F.octet_length("content").cast("bigint").alias("n_bytes"),
-                        text.extension(path).alias("ext"), text.language(path).alias("language"))
+    return files.selectExpr("path", "content", "CAST(octet_length(content) AS BIGINT) AS n_bytes",
+                            f"{text.extension('path')} AS ext", f"{text.language('path')} AS language")
 
 
 def spread(table: DataFrame) -> DataFrame:

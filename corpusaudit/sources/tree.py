@@ -15,7 +15,6 @@ import sys
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpusaudit import dims
@@ -135,4 +134,4 @@ def read_tree(spark: SparkSession, path: str, extensions=None, skip_dirs=None, m
     if partition_bytes is not None:
         reader = reader.option("partitionBytes", partition_bytes)
     raw = reader.load(os.path.abspath(path))
-    return raw.select("path", text.decode(F.col("content")).alias("content"))
+    return raw.selectExpr("path", f"{text.decode('content')} AS content")

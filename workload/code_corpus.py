@@ -11,8 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from corpusaudit.functions import text
 from corpusaudit.sources import tables
 
 
@@ -190,37 +190,37 @@ C_EXTENSIONS = [".js", ".java", ".c", ".cpp", ".cs", ".go", ".rs", ".php", ".swi
 PYTHON_TEXTS = [chunk for chunk, _ in PYTHON]
 
 
-def _chunk_list(family: str) -> list[str]:
-    return {"p": PYTHON_TEXTS, "c": C_LIKE, "o": OTHER}[family]
-
-
 # --- Spark ------------------------------------------------------------------------------------
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, content)``, one file per part."""
-    part = tables.spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand"))
-    k = F.col("p_partkey")
-    extension = F.get(F.lit(EXTENSIONS), (k % len(EXTENSIONS)).cast("int"))
-    family = F.when(F.lower(extension) == ".py", "p").when(extension.isin(C_EXTENSIONS), "c").otherwise("o")
-    rows = part.select("*", extension.alias("ext"), family.alias("family"))
-    folder = F.when(k % 31 == 0, "node_modules/").when(k % 37 == 0, ".hidden/").when(k % 41 == 0, "tests/").otherwise("")
-    name = F.when(k % 43 == 0, F.concat(F.lit("pkg"), k, F.lit("/__init__"))).otherwise(F.concat(F.lit("f"), k))
-    path = F.concat(F.lit("src"), k % 20, F.lit("/"), folder, name, F.col("ext"))
-
-    def body(texts):
-        picks = F.transform(F.sequence(F.lit(0).cast("bigint"), 2 + k % 9),
-                            lambda i: F.get(F.lit(texts), ((k * 7 + i * 11) % len(texts)).cast("int")))
-        return F.array_join(picks, "\n")
-
-    chosen = F.when(F.col("family") == "p", body(PYTHON_TEXTS)).when(F.col("family") == "c", body(C_LIKE)) \
-        .otherwise(body(OTHER))
-    mark = F.when(F.col("family") == "p", "# ").when(F.col("family") == "c", "// ").otherwise("")
-    header = F.concat(mark, F.col("p_name"), F.lit(" "), F.col("p_brand"), F.lit("\nlabel = \""), F.col("p_name"), F.lit("\"\n"))
-    padding = F.when(k % 101 == 5, 470 + k % 60).when(k % 211 == 9, 960 + k % 90).otherwise(0)
-    broken = F.when((k % 29 == 0) & (F.col("family") == "p"), "\ndef broken(").otherwise("")
-    ending = F.when(k % 7 == 0, "\n\n\n").when(k % 3 == 0, "\n").otherwise("")
-    content = F.concat(header, chosen, F.repeat(F.lit("\nvalue = 1"), padding.cast("int")), broken, ending)
-    return rows.select(path.alias("path"), content.alias("content"))
+    part = spark.read.schema("p_partkey bigint, p_name string, p_brand string").parquet(f"{sf_dir}/part.parquet")
+    part = tables.spread(part)
+
+    def texts(values):
+        return "array(" + ", ".join(text.lit(v) for v in values) + ")"
+
+    def body(values):
+        n = len(values)
+        picks = f"transform(sequence(0L, 2 + k % 9), i -> get({texts(values)}, CAST((k * 7 + i * 11) % {n} AS INT)))"
+        return f"array_join({picks}, '\\n')"
+
+    rows = part.selectExpr("p_partkey AS k", "p_name", "p_brand",
+                           f"get({texts(EXTENSIONS)}, CAST(p_partkey % {len(EXTENSIONS)} AS INT)) AS ext")
+    rows = rows.selectExpr("*", f"CASE WHEN lower(ext) = '.py' THEN 'p' WHEN ext IN {text.in_list(C_EXTENSIONS)} THEN 'c' "
+                                "ELSE 'o' END AS family")
+    folder = ("CASE WHEN k % 31 = 0 THEN 'node_modules/' WHEN k % 37 = 0 THEN '.hidden/' WHEN k % 41 = 0 THEN 'tests/' "
+              "ELSE '' END")
+    name = "IF(k % 43 = 0, concat('pkg', k, '/__init__'), concat('f', k))"
+    mark = "CASE family WHEN 'p' THEN '# ' WHEN 'c' THEN '// ' ELSE '' END"
+    header = f"""concat({mark}, p_name, ' ', p_brand, '\\nlabel = "', p_name, '"\\n')"""
+    chosen = f"CASE family WHEN 'p' THEN {body(PYTHON_TEXTS)} WHEN 'c' THEN {body(C_LIKE)} ELSE {body(OTHER)} END"
+    padding = ("repeat('\\nvalue = 1', CAST(CASE WHEN k % 101 = 5 THEN 470 + k % 60 WHEN k % 211 = 9 THEN 960 + k % 90 "
+               "ELSE 0 END AS INT))")
+    broken = "IF(k % 29 = 0 AND family = 'p', '\\ndef broken(', '')"
+    ending = "CASE WHEN k % 7 = 0 THEN '\\n\\n\\n' WHEN k % 3 = 0 THEN '\\n' ELSE '' END"
+    return rows.selectExpr(f"concat('src', k % 20, '/', {folder}, {name}, ext) AS path",
+                           f"concat({header}, {chosen}, {padding}, {broken}, {ending}) AS content")
 
 
 # --- the same as SQL --------------------------------------------------------------------------

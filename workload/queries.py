@@ -24,22 +24,22 @@ ROOT = "/data/checkout/"
 DETAIL_PATH = "src2/f22.py"
 
 
-def read(spark, sf_dir, name, *columns) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+def read(spark, sf_dir, name, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    table = tables.spread(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    table = tables.spread(read(spark, sf_dir, "documents", "doc_id bigint, source string, text string"))
     return tables.corpus(table, F.concat("source", F.lit("/"), "doc_id", F.lit(".md")), F.col("text"))
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    table = tables.spread(read(spark, sf_dir, "pages", "page_id", "html"))
+    table = tables.spread(read(spark, sf_dir, "pages", "page_id bigint, html string"))
     return tables.corpus(table, F.concat(F.lit("pages/"), "page_id", F.lit(".html")), F.col("html"))
 
 
 def conversations(spark, sf_dir) -> DataFrame:
-    table = tables.spread(read(spark, sf_dir, "conversations", "conv_id", "turn", "text"))
+    table = tables.spread(read(spark, sf_dir, "conversations", "conv_id bigint, turn bigint, text string"))
     path = F.concat(F.lit("conversations/"), "conv_id", F.lit("/"), "turn", F.lit(".md"))
     return tables.corpus(table, path, F.col("text"))
 
@@ -99,16 +99,16 @@ def src_table(spark, sf_dir):
 
 
 def filter_extension(spark, sf_dir):
-    return raw_corpus(spark, sf_dir).where(filters.has_extension(F.col("path"))).select("path")
+    return raw_corpus(spark, sf_dir).where(filters.has_extension("path")).select("path")
 
 
 def filter_skip_dirs(spark, sf_dir):
-    return raw_corpus(spark, sf_dir).where(~filters.in_skipped_dir(F.col("path"))).select("path")
+    return raw_corpus(spark, sf_dir).where(~filters.in_skipped_dir("path")).select("path")
 
 
 def filter_max_size(spark, sf_dir):
     """With a limit of 4 KiB, as no text of the corpus reaches 1 MiB."""
-    return raw_corpus(spark, sf_dir).where(filters.fits_size(F.col("content"), 4096)).select("path")
+    return raw_corpus(spark, sf_dir).where(filters.fits_size("content", 4096)).select("path")
 
 
 def filter_exclude(spark, sf_dir):
@@ -118,20 +118,20 @@ def filter_exclude(spark, sf_dir):
 
 def decode_text(spark, sf_dir):
     """Texts as bytes, in UTF-8 or Latin-1 by key and with three kinds of line ends."""
-    rows = read(spark, sf_dir, "documents", "doc_id", "text")
+    rows = read(spark, sf_dir, "documents", "doc_id bigint, text string")
     k = F.col("doc_id")
     latin = F.regexp_replace("text", "[^\\x{0}-\\x{ff}]", "?")
     shown = F.when(k % 2 == 0, F.col("text")).otherwise(latin)
     ended = F.when(k % 3 == 0, F.replace(shown, F.lit("\n"), F.lit("\r\n"))).when(
         k % 3 == 1, F.replace(shown, F.lit("\n"), F.lit("\r"))).otherwise(shown)
     content = F.when(k % 2 == 0, F.encode(ended, "UTF-8")).otherwise(F.encode(ended, "ISO-8859-1"))
-    decoded = text.decode(content)
-    return rows.select("doc_id", F.length(decoded).alias("n_chars"), F.md5(decoded).alias("text_md5"))
+    decoded = rows.select("doc_id", content.alias("content")).selectExpr("doc_id", f"{text.decode('content')} AS text")
+    return decoded.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def rel_path(spark, sf_dir):
-    full = F.concat(F.lit(ROOT), F.translate("path", "/", "\\"))
-    return raw_corpus(spark, sf_dir).select(text.relative_path(full, ROOT).alias("path"))
+    full = raw_corpus(spark, sf_dir).select(F.concat(F.lit(ROOT), F.translate("path", "/", "\\")).alias("full"))
+    return full.selectExpr(f"{text.relative_path('full', ROOT)} AS path")
 
 
 # --- rows and scalars -------------------------------------------------------------------------
@@ -141,12 +141,12 @@ def explode_lines(spark, sf_dir):
 
 
 def detect_language(spark, sf_dir):
-    return raw_corpus(spark, sf_dir).select("path", text.language(F.col("path")).alias("language"))
+    return raw_corpus(spark, sf_dir).selectExpr("path", f"{text.language('path')} AS language")
 
 
 def strip_snippet(spark, sf_dir):
     rows = detect.line_table(corpus(spark, sf_dir))
-    return rows.select("path", "line_no", text.snippet(F.col("line")).alias("snippet"))
+    return rows.selectExpr("path", "line_no", f"{text.snippet('line')} AS snippet")
 
 
 def issue_score(spark, sf_dir):
@@ -161,13 +161,13 @@ def comment_ratio(spark, sf_dir):
 
 
 def normalize_line(spark, sf_dir):
-    rows = corpus(spark, sf_dir).select("path", F.posexplode(text.split_lines(text.normalize(F.col("content")))))
-    return rows.select("path", (F.col("pos") + 1).alias("line_no"), F.col("col").alias("normal"))
+    rows = corpus(spark, sf_dir).selectExpr("path", f"posexplode({text.split_lines(text.normalize('content'))}) AS (pos, normal)")
+    return rows.selectExpr("path", "pos + 1 AS line_no", "normal")
 
 
 def snake_case(spark, sf_dir):
     nodes = pynodes.nodes(_python(spark, sf_dir)).where("kind = 'function'")
-    return nodes.select("path", "lineno", "name", text.snake_case(F.col("name")).alias("snake"))
+    return nodes.selectExpr("path", "lineno", "name", f"{text.snake_case('name')} AS snake")
 
 
 # --- statistics -------------------------------------------------------------------------------
@@ -175,16 +175,14 @@ def snake_case(spark, sf_dir):
 def _line_classes(spark, sf_dir, python: bool):
     files = tables.with_language(corpus(spark, sf_dir))
     files = files.where((F.col("language") == "python") == F.lit(python))
-    kinds = linestats.line_classes(F.col("language"), F.col("content"))
-    lines = F.size(text.split_lines(linestats.body(F.col("content"))))
-    return files.select("path", lines.alias("lines"), kinds.alias("k")).select(
-        "path", "lines", F.col("k.blank").alias("blank_lines"), F.col("k.comment").alias("comment_lines"),
-        F.col("k.code").alias("code_lines"))
+    counted = files.selectExpr("path", f"size({text.split_lines(linestats.body('content'))}) AS lines",
+                               f"{linestats.line_classes('language', 'content')} AS k")
+    return counted.selectExpr("path", "lines", "k.blank AS blank_lines", "k.comment AS comment_lines", "k.code AS code_lines")
 
 
 def _counts(spark, sf_dir, count, name):
     files = tables.with_language(corpus(spark, sf_dir)).where("language <> 'python'")
-    return files.select("path", "language", count(F.col("language"), F.col("content")).alias(name))
+    return files.selectExpr("path", "language", f"{count('language', 'content')} AS {name}")
 
 
 def _python(spark, sf_dir):
@@ -249,7 +247,7 @@ def dup_windows(spark, sf_dir):
 
 
 def dup_low_info(spark, sf_dir):
-    rows = duplicates.windows(corpus(spark, sf_dir)).where(duplicates.is_informative(F.col("block")))
+    rows = duplicates.windows(corpus(spark, sf_dir)).where(duplicates.is_informative("block"))
     return rows.select("path", "start_line")
 
 
