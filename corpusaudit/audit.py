@@ -75,6 +75,8 @@ class Audit:
         sc = self.files.sparkSession.sparkContext
         if sc.getCheckpointDir() is None:
             folder = self.files.sparkSession.conf.get("spark.checkpoint.dir", "")
+            if not folder and not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusaudit-"))
         return self._with({n: t.checkpoint() for n, t in self.tables().items()})
 

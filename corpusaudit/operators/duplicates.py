@@ -24,11 +24,10 @@ HEAVY_KEYS = 10_000
 
 def windows(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """``(path, start_line, block)`` for every run of lines; files that are too short give none."""
-    # Tested on the raw text, which has as many lines: on the normal one Spark would normalise twice.
-    rows = files.where(F.expr(f"size({text.split_lines('content')}) >= {min_lines}"))
-    rows = rows.selectExpr("path", f"{text.split_lines(text.normalize('content'))} AS normal")
-    starts = F.explode(F.sequence(F.lit(1), F.size("normal") - (min_lines - 1)))
-    rows = rows.select("path", "normal", starts.alias("start_line"))
+    rows = files.selectExpr("path", f"{text.split_lines(text.normalize('content'))} AS normal")
+    # The length test stands inside the generator: as a filter it would be pushed down and normalise twice.
+    starts = f"IF(size(normal) >= {min_lines}, sequence(1, size(normal) - {min_lines - 1}), CAST(array() AS ARRAY<INT>))"
+    rows = rows.selectExpr("path", "normal", f"explode({starts}) AS start_line")
     return rows.select("path", "start_line", F.slice("normal", F.col("start_line"), min_lines).alias("block"))
 
 

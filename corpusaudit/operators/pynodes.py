@@ -151,7 +151,8 @@ def _facts_of(sources: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def facts(language: Column, content: Column) -> Column:
     """Array of node facts of a Python file; null for other languages."""
-    return F.arrow_udf(_facts_of, NODE_TYPE)(F.when(language == "python", content))
+    # Declared nondeterministic so that the optimizer neither copies the call into filters nor moves it.
+    return F.arrow_udf(_facts_of, NODE_TYPE).asNondeterministic()(F.when(language == "python", content))
 
 
 def nodes(files: DataFrame) -> DataFrame:

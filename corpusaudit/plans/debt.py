@@ -29,16 +29,24 @@ def totals(profile: DataFrame, duplicate_blocks: DataFrame | None = None, min_se
         return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
 
     counted = [SEVERITY_COUNTS[s] for s, order in dims.SEVERITY_ORDER.items() if order <= dims.SEVERITY_ORDER[min_severity]]
-    extra = F.greatest(F.col("max_complexity") - COMPLEXITY_LIMIT, F.lit(0)) * COMPLEXITY_MINUTES
     row = profile.agg(
         F.count("*").alias("files_scanned"), F.count_if(F.col("issue_count") > 0).alias("files_with_issues"),
         total(reduce(Column.__add__, [F.col(c) for c in counted])).alias("total_issues"),
-        total(F.col("code_lines")).alias("total_code_lines"), total(extra).alias("complexity_minutes"),
+        total(F.col("code_lines")).alias("total_code_lines"), total(_complexity_minutes()).alias("complexity_minutes"),
         *[total(F.col(c)).alias(c) for c in [*SEVERITY_COUNTS.values(), *CATEGORY_COUNTS.values()]])
     blocks = F.lit(0) if duplicate_blocks is None else F.coalesce(duplicate_blocks.scalar(), F.lit(0))
     return row.withColumn("duplicate_blocks", blocks.cast("bigint"))
 
 
+def _complexity_minutes() -> Column:
+    return F.greatest(F.col("max_complexity") - COMPLEXITY_LIMIT, F.lit(0)) * COMPLEXITY_MINUTES
+
+
+def complexity_debt(statistics: DataFrame) -> DataFrame:
+    """Minutes for files beyond the complexity limit; file statistics suffice, no rule has to run."""
+    return statistics.agg(F.coalesce(F.sum(_complexity_minutes()), F.lit(0)).alias("minutes"))
+
+
 def severity_minutes() -> dict[str, Column]:
     return {s: F.col(SEVERITY_COUNTS[s]) * minutes for s, minutes in dims.FIX_MINUTES.items()}
 

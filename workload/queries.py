@@ -297,6 +297,10 @@ def _of_profile(f, *args, **kwargs):
     return lambda spark, sf_dir: f(profile(spark, sf_dir), *args, **kwargs)
 
 
+def _of_statistics(f):
+    return lambda spark, sf_dir: f(detect.file_statistics(corpus(spark, sf_dir)))
+
+
 def _of_totals(f):
     return lambda spark, sf_dir: f(totals(spark, sf_dir))
 
@@ -312,7 +316,7 @@ def count_by_language(spark, sf_dir):
 # --- debt -------------------------------------------------------------------------------------
 
 def debt_complexity(spark, sf_dir):
-    return debt.totals(profile(spark, sf_dir)).select(F.col("complexity_minutes").alias("minutes"))
+    return debt.complexity_debt(detect.file_statistics(corpus(spark, sf_dir)))
 
 
 def debt_duplicates(spark, sf_dir):
@@ -465,9 +469,9 @@ QUERIES = {
     "q_security_view": _of_issues(reports.security_totals),
     "q_security_rules": _of_issues(reports.security_rules),
     "q_security_issues": lambda s, d: _listed(reports.security_issues(issues(s, d))),
-    "q_complexity_view": _of_profile(reports.complexity_totals),
+    "q_complexity_view": _of_statistics(reports.complexity_totals),
     "q_complexity_files": _of_profile(reports.complexity_files),
-    "q_complexity_hist": _of_profile(reports.complexity_histogram),
+    "q_complexity_hist": _of_statistics(reports.complexity_histogram),
     "q_lines_vs_functions": _of_profile(reports.lines_vs_functions),
     "q_issue_density": _of_profile(reports.issue_density),
     "q_top_issue_files": _of_profile(reports.top_issue_files),
