@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
@@ -72,13 +71,7 @@ class Audit:
     # storing
     def checkpoint(self) -> Audit:
         """Computes issues, profiles and duplicate groups once, in the cluster's checkpoint folder."""
-        sc = self.files.sparkSession.sparkContext
-        if sc.getCheckpointDir() is None:
-            folder = self.files.sparkSession.conf.get("spark.checkpoint.dir", "")
-            if not folder and not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusaudit-"))
-        return self._with({n: t.checkpoint() for n, t in self.tables().items()})
+        return self._with({name: writers.checkpointed(table) for name, table in self.tables().items()})
 
     def tables(self) -> dict[str, DataFrame]:
         return {"issues": self.issues, "profile": self.profile, "duplicates": self.duplicates}
@@ -120,7 +113,7 @@ def audit(files: DataFrame, line_rules: Iterable[custom.LineRule] = (), file_rul
     else:
         profile = detect.profile(files)
     return Audit(files, issues, profile, duplicates.corpus_groups(files, min_lines),
-                 duplicates.count_groups(files, min_lines),
+                 duplicates.count_groups(files, min_lines, check_files=False),
                  catalogue.rules_catalogue(files.sparkSession, extra=entries), min_severity, min_lines)
 
 

@@ -69,9 +69,13 @@ def corpus_groups(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return groups(files.where(has_two_files(files)), min_lines)
 
 
-def count_groups(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """One row with the number of duplicate blocks: only keys and counts are shuffled."""
-    rows = _keyed(files.where(has_two_files(files)), min_lines)
+def count_groups(files: DataFrame, min_lines: int = MIN_LINES, check_files: bool = True) -> DataFrame:
+    """One row with the number of duplicate blocks: only keys and counts are shuffled.
+
+    Without ``check_files`` a corpus of one file counts too; the debt totals, which know the number of
+    files, use that to save a look at the corpus.
+    """
+    rows = _keyed(files.where(has_two_files(files)) if check_files else files, min_lines)
     return rows.groupBy("key").agg(F.count("*").alias("n")).agg(
         F.count_if(F.col("n") >= 2).alias("duplicate_blocks"))
 

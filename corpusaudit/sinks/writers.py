@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,18 @@ def full_files(profile: DataFrame) -> DataFrame:
                           "max_complexity", F.expr(round_half_even("avg_complexity", 2)).alias("avg_complexity"), "issue_count")
 
 
+def checkpointed(table: DataFrame) -> DataFrame:
+    """Computes a result once and keeps it in the cluster's checkpoint folder, which outlives executors."""
+    spark = table.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusaudit-"))
+    return table.checkpoint()
+
+
 def write_json(tables: dict[str, DataFrame], folder: str) -> None:
     """One folder of JSON lines per table."""
     for name, table in tables.items():

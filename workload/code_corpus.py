@@ -219,8 +219,9 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                "ELSE 0 END AS INT))")
     broken = "IF(k % 29 = 0 AND family = 'p', '\\ndef broken(', '')"
     ending = "CASE WHEN k % 7 = 0 THEN '\\n\\n\\n' WHEN k % 3 = 0 THEN '\\n' ELSE '' END"
+    # Content comes out of a generator: filters on it stay above, so no text is built twice.
     return rows.selectExpr(f"concat('src', k % 20, '/', {folder}, {name}, ext) AS path",
-                           f"concat({header}, {chosen}, {padding}, {broken}, {ending}) AS content")
+                           f"explode(array(concat({header}, {chosen}, {padding}, {broken}, {ending}))) AS content")
 
 
 # --- the same as SQL --------------------------------------------------------------------------

@@ -63,7 +63,7 @@ def profile(spark, sf_dir) -> DataFrame:
 
 def totals(spark, sf_dir, min_severity="info") -> DataFrame:
     files = corpus(spark, sf_dir)
-    return debt.totals(detect.profile(files), duplicates.count_groups(files), min_severity)
+    return debt.totals(detect.profile(files), duplicates.count_groups(files, check_files=False), min_severity)
 
 
 def _scratch(spark) -> str:
@@ -271,20 +271,20 @@ def dup_corpus(spark, sf_dir):
 def dup_stats(spark, sf_dir):
     """Over all groups, not only the first 20."""
     files = corpus(spark, sf_dir)
-    found = duplicates.groups(files)
+    found = writers.checkpointed(duplicates.groups(files))
     return duplicates.statistics(found, duplicates.occurrences(files, found))
 
 
 def dup_top_stats(spark, sf_dir):
     """Over the 20 most frequent blocks."""
     files = corpus(spark, sf_dir)
-    top = duplicates.ranked(duplicates.groups(files), duplicates.TOP_GROUPS)
+    top = writers.checkpointed(duplicates.ranked(duplicates.groups(files), duplicates.TOP_GROUPS))
     return duplicates.statistics(top, duplicates.occurrences(files, top, limited=True))
 
 
 def dup_occurrences(spark, sf_dir):
     files = corpus(spark, sf_dir)
-    return duplicates.occurrences(files, duplicates.groups(files))
+    return duplicates.occurrences(files, writers.checkpointed(duplicates.groups(files)))
 
 
 # --- roll-ups ---------------------------------------------------------------------------------
@@ -367,7 +367,7 @@ def rules_catalogue(spark, sf_dir):
 
 def summary(spark, sf_dir):
     files = corpus(spark, sf_dir)
-    by_file = detect.profile(files)
+    by_file = writers.checkpointed(detect.profile(files))
     return reports.summary(debt.totals(by_file), by_file, detect.issues(files))
 
 
