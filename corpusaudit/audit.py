@@ -41,7 +41,7 @@ class Audit:
         return rollups.count_by_language(self.files)
 
     def totals(self) -> DataFrame:
-        return debt.totals(self.profile, self.duplicate_count, self.min_severity)
+        return debt.totals(self.profile, self.duplicate_count, self.min_severity, check_files=True)
 
     def tech_debt(self) -> DataFrame:
         return debt.tech_debt(self.totals())

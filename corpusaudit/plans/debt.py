@@ -19,12 +19,13 @@ LOWEST_GRADE = "F"
 # --- end of fixed values ----------------------------------------------------------------------
 
 
-def totals(profile: DataFrame, duplicate_blocks: DataFrame | None = None, min_severity: str = "info") -> DataFrame:
+def totals(profile: DataFrame, duplicate_blocks: DataFrame | None = None, min_severity: str = "info",
+           check_files: bool = False) -> DataFrame:
     """One row of sums over the corpus.
 
     ``min_severity`` narrows ``total_issues`` alone, the way a severity-filtered scan mixes filtered
     and unfiltered numbers; the counts per severity and category stay whole.
-    Duplicate blocks (a one-row count) are only charged to a corpus of at least two files.
+    ``check_files`` drops the duplicate blocks (a one-row count) of a corpus with fewer than two files.
     """
     def total(column):
         return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
@@ -36,7 +37,9 @@ def totals(profile: DataFrame, duplicate_blocks: DataFrame | None = None, min_se
         total(F.col("code_lines")).alias("total_code_lines"), total(_complexity_minutes()).alias("complexity_minutes"),
         *[total(F.col(c)).alias(c) for c in [*SEVERITY_COUNTS.values(), *CATEGORY_COUNTS.values()]])
     blocks = F.lit(0) if duplicate_blocks is None else F.coalesce(duplicate_blocks.scalar(), F.lit(0))
-    return row.withColumn("duplicate_blocks", F.when(F.col("files_scanned") >= 2, blocks).otherwise(0).cast("bigint"))
+    if check_files:
+        blocks = F.when(F.col("files_scanned") >= 2, blocks).otherwise(0)
+    return row.withColumn("duplicate_blocks", blocks.cast("bigint"))
 
 
 def _complexity_minutes() -> Column:

@@ -192,3 +192,9 @@ def test_sinks(result, spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json/tech_debt")).first()["grade"] == result.tech_debt().first()["grade"]
     result.write_issues_json(str(tmp_path / "slim"))
     assert set(spark.read.json(str(tmp_path / "slim/issues")).columns) == {"rule", "severity", "file", "line", "message"}
+
+
+def test_duplicate_debt_needs_two_files(corpus):
+    repeated = "a\nb\nc\nd\ne\n" * 3
+    assert audit(corpus({"a.py": repeated})).totals().first()["duplicate_blocks"] == 0
+    assert audit(corpus({"a.py": repeated, "b.py": "x"})).totals().first()["duplicate_blocks"] > 0

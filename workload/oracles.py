@@ -415,7 +415,7 @@ ORACLES = {
     "filter_max_size": q("SELECT path FROM raw WHERE strlen(content) <= 4096"),
     "filter_exclude": q("SELECT path FROM raw WHERE " + " AND ".join(
         f"NOT contains('{ROOT}' || path, '{p}')" for p in EXCLUDED)),
-    "decode_text": """SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (
+    "decode_text": """SELECT doc_id, length(t)::INTEGER AS n_chars, md5(t) AS text_md5 FROM (
         SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^\\x{0}-\\x{ff}]', '?', 'g') END AS t FROM documents)""",
     "rel_path": q("SELECT path FROM raw"),
     "explode_lines": q(f"SELECT path, language, line_no, line, trim(line, {WS}) AS stripped FROM lines"),

@@ -63,7 +63,7 @@ def profile(spark, sf_dir) -> DataFrame:
 
 def totals(spark, sf_dir, min_severity="info") -> DataFrame:
     files = corpus(spark, sf_dir)
-    return debt.totals(detect.profile(files), duplicates.count_groups(files, check_files=False), min_severity)
+    return debt.totals(detect.profile(files), duplicates.count_groups(files, check_files=False), min_severity, check_files=True)
 
 
 def _scratch(spark) -> str:
