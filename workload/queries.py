@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit import LineRule, FileRule, audit as run_audit, dims
@@ -68,17 +69,19 @@ def totals(spark, sf_dir, min_severity="info") -> DataFrame:
 
 def _scratch(spark) -> str:
     """A new folder next to the cluster's checkpoints, or a temporary one in a local session without any."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or None
-    if base is None:
-        return tempfile.mkdtemp(prefix="corpus-")
-    return os.path.join(base, "corpus-" + next(tempfile._get_candidate_names()))
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if base:
+        return os.path.join(base, f"corpus-{uuid.uuid4().hex}")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="corpus-")
 
 
 # --- sources and filters ----------------------------------------------------------------------
 
 def src_files(spark, sf_dir):
-    """Writes the code corpus as a tree of files, then reads the tree."""
-    root = _scratch(spark)
+    """Writes the code corpus as a tree of files on the shared mount, then reads the tree."""
+    root = _scratch(spark).removeprefix("file://")
 
     def write(batches):
         for batch in batches:
