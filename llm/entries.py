@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import mixing, secret_ledger
+from llm import chat, mixing, secret_ledger, token_counts, token_files
 from llm.common import fresh_path
 
 
@@ -29,15 +32,53 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_ledger.span_list(own), 256).alias("base_sha256"), secret_ledger.span_list(F.col("findings")).alias("spans"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations and conversation -7, read back from their formatted texts, offsets and masks."""
+    given = table(spark, sf_dir, "conversations")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    template = chat.Template()
+    formatted = chat.format_conversations(given.select("conv_id", "turn", "role", "text").unionByName(own), template)
+
+    def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, starts, ends, mask in zip(*(batch.column(c) for c in ("formatted", "starts", "ends", "mask")), strict=True):
+                text = text.as_py()
+                turns = template.read(text)
+                learnt = "".join(chat.masked_texts(text, *(x.values.to_numpy() for x in (starts, ends, mask))))
+                rows.append((len(turns), hashlib.sha256("".join(f"{role}\n{said}\n" for role, said in turns).encode()).hexdigest(),
+                             len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text), int(np.sum(mask.values.to_numpy()))))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "loss_tokens"])
+
+    kind = dict(formatted.dtypes)["conv_id"]
+    return formatted.mapInArrow(read_back, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, loss_tokens bigint")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, from the tables of prefix counts."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: words that it takes of each."""
     taken = mixing.copies(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, written to Arrow files and read back."""
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"))).drop("path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_chat_format": op3_chat_format,
+    "op6_token_counts": op6_token_counts,
     "op8_source_mix": op8_source_mix,
+    "op10_token_files": op10_token_files,
 }
 
 
