@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, mixing, secret_ledger, token_counts, token_files
+from llm import chat, mixing, near_dup, secret_ledger, token_counts, token_files
 from llm.common import fresh_path
 
 
@@ -62,6 +62,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, on two-word shingles."""
+    found = near_dup.groups(table(spark, sf_dir, "documents"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: words that it takes of each."""
     taken = mixing.copies(table(spark, sf_dir, "documents"))
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_chat_format": op3_chat_format,
     "op6_token_counts": op6_token_counts,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_source_mix": op8_source_mix,
     "op10_token_files": op10_token_files,
 }
