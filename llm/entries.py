@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, mixing, near_dup, secret_ledger, token_counts, token_files
+from llm import chat, mixing, near_dup, secret_ledger, suffix_dedup, token_counts, token_files
 from llm.common import fresh_path
 
 
@@ -57,6 +57,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.mapInArrow(read_back, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, loss_tokens bigint")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of strings of 400 bytes that repeat."""
+    found = suffix_dedup.remove(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from the tables of prefix counts."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
@@ -82,6 +88,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_chat_format": op3_chat_format,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_source_mix": op8_source_mix,
