@@ -10,6 +10,7 @@ import os
 import re
 import unicodedata
 from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -47,24 +48,21 @@ def load(name: str, marks: tuple[str, ...] = ()):
 
 
 class Kept(dict):
-    """A table of at most `most` entries and as many older ones: when it is full, its entries become the older ones, and
-    those of them that are asked for come back."""
+    """A table of at most `most` entries. The first ones stay, as frequent keys come early; when many were turned away since,
+    it begins anew."""
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.old = most, {}
-
-    def find(self, key):
-        """The entry or None, also among the older ones."""
-        if (found := self.get(key)) is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
+        self.most, self.refused = most, 0
 
     def put(self, key, value):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        if len(self) < self.most:
+            self[key] = value
+        else:
+            self.refused += 1
+            if self.refused > 8 * self.most:
+                self.clear()
+                self.refused = 0
         return value
 
 
@@ -73,7 +71,7 @@ class WordIds:
     white-space separated words, in order. Such a word's pieces, as the tokenizer's own pattern splits it, are encoded by the
     library once and kept."""
 
-    ENTRIES = 250_000
+    ENTRIES = 350_000
     #: Fixed value: the tokenizer's pattern.
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -82,17 +80,20 @@ class WordIds:
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.model, self.letters = self.tokenizer.model, {byte: letter for letter, byte in byte_letters().items()}
         self.words, self.pieces = Kept(self.ENTRIES), Kept(self.ENTRIES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text the bytes of its ids as `kind`."""
         lists = [words_of(text) for text in texts]
         found = [list(map(self.words.get, words)) for words in lists]
-        missing = {word for words, ids in zip(lists, found, strict=True) if None in ids for word, own in zip(words, ids, strict=True) if own is None}
-        learnt = self._learn(missing)
-        return [b"".join(ids) if None not in ids else b"".join([own if own is not None else learnt[word] for word, own in zip(words, ids, strict=True)])
-                for words, ids in zip(lists, found, strict=True)]
+        learnt: dict[str, bytes] = {}
+        for words, ids in zip(lists, found, strict=True):
+            for at in gaps(ids):
+                if (own := learnt.get(word := words[at])) is None:
+                    own = learnt[word] = self.words.put(word, self._learn(word))
+                ids[at] = own
+        return list(map(b"".join, found))
 
     def _split(self, word: str) -> list[str] | None:
         """Lower-case pieces; None where only the library should judge: special tokens, letters whose lower case depends on
@@ -108,32 +109,26 @@ class WordIds:
             return None
         return self.PIECES.findall(low)
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        split, learnt = {}, {}
-        for word in words:
-            if (own := self.words.find(word)) is not None:
-                learnt[word] = own
-            else:
-                split[word] = self._split(word)
-        ids = {piece: self.pieces.find(piece) for pieces in split.values() if pieces for piece in pieces}
-        new = [piece for piece, own in ids.items() if own is None]
-        for start in range(0, len(new), 2000):
-            for piece, own in self._learn_pieces(new[start : start + 2000]):
-                ids[piece] = self.pieces.put(piece, own)
-        for word, pieces in split.items():
-            learnt[word] = self.words.put(word, self._by_library(word) if pieces is None else b"".join([ids[piece] for piece in pieces]))
-        return learnt
-
-    def _by_library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn_pieces(self, pieces: list[str]) -> list[tuple[str, bytes]]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, self.kind)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(pieces):  # a piece that the library splits further
-            return [(piece, self._by_library(piece)) for piece in pieces]
-        raw, bounds = ids.tobytes(), [0, *(ends * self.kind.itemsize).tolist()]
-        return [(piece, raw[start:end]) for piece, start, end in zip(pieces, bounds, bounds[1:], strict=False)]
+    def _learn(self, word: str) -> bytes:
+        if (pieces := self._split(word)) is None:
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join([self.pieces.get(piece) or self._learn_piece(piece) for piece in pieces])
+
+    def _learn_piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
+        ids = [token.id for token in self.model.tokenize(letters)]
+        return self.pieces.put(piece, np.array(ids, self.kind).tobytes())
+
+
+def gaps(found: list) -> Iterator[int]:
+    """The places of None in a list that its reader fills."""
+    at = -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            yield at
+    except ValueError:
+        return
 
 
 def byte_letters() -> dict[str, int]:
@@ -151,7 +146,7 @@ class PrefixCounts:
     unit. A text is cut before white space that follows something else: no piece reaches over such a place and none looks
     beyond the white space after it, so that the counts of a text's parts add up."""
 
-    ENTRIES = 200_000
+    ENTRIES = 300_000
     #: The tokenizer's pattern and its short forms.
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
     SHORT = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
@@ -223,7 +218,7 @@ class PrefixCounts:
 
     def row(self, piece: str) -> bytes | tuple[int, ...]:
         """The count of every prefix of a piece, from 1 code point on."""
-        if (found := self.rows.find(piece)) is None:
+        if (found := self.rows.get(piece)) is None:
             counts = self.byte_row(piece.encode())
             if not piece.isascii():
                 counts = [0, *(counts[at] for at in accumulate(len(c.encode()) for c in piece))]
@@ -277,13 +272,13 @@ class PrefixCounts:
         words = text.replace("\n", " \n").split(" ")
         found = list(map(self.parts.get, words))
         found[0] = self._known(self.first, words[0], words[0])
-        for at in [i for i, row in enumerate(found) if row is None]:
+        for at in gaps(found):
             word = words[at]
             found[at] = self._known(self.parts, word, word if word[0] == "\n" else " " + word)
         return found
 
     def _known(self, table: Kept, key: str, part: str) -> bytes | tuple[int, ...]:
-        if (found := table.find(key)) is None:
+        if (found := table.get(key)) is None:
             found = self.part(part)
             if len(key) <= 100:
                 table.put(key, found)
