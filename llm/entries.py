@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, mixing, near_dup, secret_ledger, suffix_dedup, token_counts, token_files
+from llm import chat, decontam, mixing, near_dup, quality, secret_ledger, suffix_dedup, token_counts, token_files
 from llm.common import fresh_path
 
 
@@ -63,6 +63,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents overlap."""
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from the tables of prefix counts."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
@@ -80,6 +85,13 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return judged.select("row.doc_id", *quality.COUNTS, "base_failed", "kept", F.round("chance", 6).alias("chance"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token ids, written to Arrow files and read back."""
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"))).drop("path")
@@ -89,9 +101,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_chat_format": op3_chat_format,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_source_mix": op8_source_mix,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
 }
 
