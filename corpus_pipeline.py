@@ -1,19 +1,42 @@
-"""A training-data pipeline over documents: each stage is written and read again as the next one's input."""
+"""A training-data pipeline over documents: each stage is written as Parquet and read again as the next one's input.
+
+Rejected documents go, one document of each near-duplicate group stays, contaminated documents go, sources are mixed to their
+weights (a document may come twice), and the mix is written as token files, of which the last stage returns a row for each
+document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import mixing
-from llm.common import stored
+from llm import decontam, mixing, near_dup, quality, token_files
+from llm.common import fresh_path, stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """On shingles of five words, at a similarity of 0.8."""
+    return near_dup.deduplicate(docs)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    manifest = token_files.write(docs, fresh_path(spark, "tokens"))
+    return token_files.read(manifest, dict(docs.dtypes)["doc_id"]).drop("path")
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("source_mix", source_mix), ("token_output", token_output)]
+#: The first stage's trees have no SQL form.
 ORACLE_SQL = None
 
 
