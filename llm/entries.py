@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, decontam, mixing, near_dup, quality, secret_ledger, suffix_dedup, token_counts, token_files
+from llm import chat, decontam, html_template, mixing, near_dup, quality, secret_ledger, suffix_dedup, token_counts, token_files
 from llm.common import fresh_path
 
 
@@ -32,6 +32,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_ledger.span_list(own), 256).alias("base_sha256"), secret_ledger.span_list(F.col("findings")).alias("spans"))
 
 
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations and conversation -7, read back from their formatted texts, offsets and masks."""
     given = table(spark, sf_dir, "conversations")
@@ -99,6 +104,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_page_text": op2_page_text,
     "op3_chat_format": op3_chat_format,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontamination": op5_decontamination,
