@@ -59,10 +59,10 @@ class Audit:
         """The most frequent duplicate blocks with their normalised lines."""
         return duplicates.ranked(duplicates.with_lines(self.files, duplicates.ranked(self.duplicates, limit)))
 
-    def duplicate_places(self, limit: int | None = duplicates.TOP_GROUPS) -> DataFrame:
-        """Every place of the most frequent blocks, or of all blocks with ``limit=None``."""
+    def duplicate_places(self, limit: int | None = None) -> DataFrame:
+        """Every place of all blocks, or of the ``limit`` most frequent ones."""
         chosen = self.duplicates if limit is None else duplicates.ranked(self.duplicates, limit)
-        return duplicates.occurrences(self.files, chosen, self.min_lines, limited=limit is not None)
+        return duplicates.occurrences(self.files, chosen, self.min_lines)
 
     def listed_issues(self) -> DataFrame:
         """The issue list after the severity filter; counts and profiles stay unfiltered."""

@@ -64,7 +64,7 @@ _RULES = [
                      ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "_"),
              Finding("API secret key detected", "critical", r'sk_[A-Za-z0-9]{20,}', ("sk_",), "_"),
              Finding("Database connection string with credentials detected", "high",
-                     r'(?i)(db[_-]?url|database[_-]?url|connection[_-]?string)\s*[:=]\s*["\'][^"\']*:[^"\']*@',
+                     r'(?i)(db[_-]?url|database[_-]?url|connection[_-]?string)\s*+[:=]\s*+["\'][^"\':]*+:[^"\'@]*+@',
                      ("url", "connect"), "@q"),
              Finding("Hardcoded JWT token detected", "high",
                      r'(?i)(jwt|json[_-]web[_-]?token)\s*[:=]\s*["\']eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+["\']',
@@ -79,15 +79,16 @@ _RULES = [
              Finding("SQL query built with f-string — possible SQL injection", "high",
                      r'(?i)(execute|cursor\.execute)\s*\(\s*f["\']', ("execute",), "(q"),
              Finding("SQL query built with % formatting — possible SQL injection", "high",
-                     r'(?i)(execute|cursor\.execute)\s*\(\s*["\'][^"\']*%\s*\(.*\)', ("execute",), "%()q"),
+                     r'(?i)^(?>.*?execute\s*+\(\s*+["\'][^"\']*?%\s*+\().*\)', ("execute",), "%()q"),
              Finding("Dynamic SQL with concatenation — possible SQL injection", "high",
-                     r'(?i)SELECT.*FROM.*\+\s*\w+', ("select",), "+"),
+                     r'(?i)^(?>.*?SELECT)(?>.*?FROM).*?\+\s*+\w', ("select",), "+"),
          )),
     Rule("SEC003", "Command Injection", "security", "high",
          "Detects potential command injection via shell=True, eval, exec, and string-built commands.",
          "Use subprocess with argument lists and shell=False. Avoid eval/exec on untrusted input.", 0.8, (
              Finding("Shell command built with concatenation — possible command injection", "high",
-                     r'(?i)(os\.system|subprocess\.(call|run|Popen))\s*\(\s*["\']?[^"\']*["\']?\s*\+',
+                     r'(?i)(?:os\.system|subprocess\.(?:call|run|Popen))\s*+\((?:\s*+["\'])?+'
+                     r'(?:(?!(?:os\.system|subprocess\.(?:call|run|Popen))\s*+\()[^"\'+])*+(?:\+|["\']\s*+\+)',
                      ("os.system", "subprocess."), "(+"),
              Finding("Shell command built with f-string — possible command injection", "high",
                      r'(?i)(os\.system|subprocess\.(call|run))\s*\(\s*f["\']', ("os.system", "subprocess."), "("),
@@ -102,7 +103,8 @@ _RULES = [
              Finding("pickle.load(s) on untrusted data — arbitrary code execution risk", "high",
                      r'(?i)pickle\.loads?\s*\(', ("ckle.load",), "("),
              Finding("yaml.load without SafeLoader — arbitrary code execution risk", "high",
-                     r'(?i)yaml\.load\s*\([^)]*\)(?!.*Loader)', ("yaml.load",), "()"),
+                     r'(?i)yaml\.load\s*+\((?:(?!yaml\.load\s*+\()[^)])*+\)'
+                     r'(?:(?!Loader|yaml\.load\s*+\((?:(?!yaml\.load\s*+\()[^)])*+\)).)*+$', ("yaml.load",), "()"),
              Finding("marshal.load(s) — unsafe for untrusted data", "high",
                      r'(?i)marshal\.loads?\s*\(', ("marshal.load",), "("),
              Finding("shelve.open — unsafe for untrusted data", "high",

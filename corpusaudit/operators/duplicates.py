@@ -1,9 +1,10 @@
 """Duplicate blocks: every run of ``min_lines`` normalised lines, hashed and grouped.
 
-Blocks are hashed before the shuffle and never travel; a group is a 16-byte key with a count and its
-first place. A block that stands in a third of all files is one row per map task after the map-side
-aggregate. The places of a group are never collected: they stay rows, joined to the groups by key with
-the heaviest keys spread over several reducers.
+Blocks are hashed before the shuffle and never travel; a group is a 16-byte key with a count. A block
+that stands in a third of all files is one row per map task after the map-side aggregate. First places
+are sought for repeated keys only. The places of a group are never collected: they stay rows, joined to
+the groups by key; a key that holds a large share of the places is left to Spark's skew join, which
+splits it by map output.
 """
 
 from __future__ import annotations
@@ -18,8 +19,6 @@ MIN_LINES = 5
 NOISE_LINES = ["", "{", "}", "else:", "pass"]
 
 TOP_GROUPS = 20
-ROWS_PER_SALT = 1_000_000
-HEAVY_KEYS = 10_000
 
 
 def windows(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -56,17 +55,28 @@ def has_two_files(files: DataFrame) -> Column:
     return files.select(F.lit(1).alias("one")).limit(2).agg(F.count("one") >= 2).scalar()
 
 
-def groups(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``(hash, line_count, n_occ, first_path, first_line)`` of the blocks that occur at least twice."""
-    found = _keyed(files, min_lines).groupBy("key").agg(
-        F.count("*").alias("n_occ"), F.min(F.struct("path", "start_line")).alias("first")).where("n_occ >= 2")
+def _repeated(rows: DataFrame) -> DataFrame:
+    """``(key, n_occ)`` of the keys that occur at least twice: only keys and counts are shuffled."""
+    return rows.groupBy("key").agg(F.count("*").alias("n_occ")).where("n_occ >= 2")
+
+
+def _with_first(rows: DataFrame, repeated: DataFrame, min_lines: int) -> DataFrame:
+    """The groups with their first places: only places of repeated keys are compared."""
+    found = rows.join(repeated, "key").groupBy("key", "n_occ").agg(F.min(F.struct("path", "start_line")).alias("first"))
     return found.select(F.lower(F.hex("key")).alias("hash"), F.lit(min_lines).alias("line_count"), "n_occ",
                         F.col("first.path").alias("first_path"), F.col("first.start_line").alias("first_line"))
 
 
+def groups(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``(hash, line_count, n_occ, first_path, first_line)`` of the blocks that occur at least twice."""
+    rows = _keyed(files, min_lines)
+    return _with_first(rows, _repeated(rows), min_lines)
+
+
 def corpus_groups(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """The groups of a scan: none for a corpus of one file."""
-    return groups(files.where(has_two_files(files)), min_lines)
+    """The groups of a scan: none for a corpus of one file (tested behind the counts, once)."""
+    rows = _keyed(files, min_lines)
+    return _with_first(rows, _repeated(rows).where(has_two_files(files)), min_lines)
 
 
 def count_groups(files: DataFrame, min_lines: int = MIN_LINES, check_files: bool = True) -> DataFrame:
@@ -75,9 +85,10 @@ def count_groups(files: DataFrame, min_lines: int = MIN_LINES, check_files: bool
     Without ``check_files`` a corpus of one file counts too; the debt totals, which know the number of
     files, use that to save a look at the corpus.
     """
-    rows = _keyed(files.where(has_two_files(files)) if check_files else files, min_lines)
-    return rows.groupBy("key").agg(F.count("*").alias("n")).agg(
-        F.count_if(F.col("n") >= 2).alias("duplicate_blocks"))
+    repeated = _repeated(_keyed(files, min_lines))
+    if check_files:
+        repeated = repeated.where(has_two_files(files))
+    return repeated.agg(F.count("*").alias("duplicate_blocks"))
 
 
 def ranked(group_rows: DataFrame, limit: int | None = None) -> DataFrame:
@@ -86,36 +97,17 @@ def ranked(group_rows: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
-def with_lines(files: DataFrame, top_groups: DataFrame) -> DataFrame:
-    """Adds the normalised lines of the first place. For a limited ranking: the groups are broadcast."""
-    places = F.broadcast(top_groups)
-    rows = files.join(places, files["path"] == places["first_path"])
+def with_lines(files: DataFrame, group_rows: DataFrame) -> DataFrame:
+    """Adds the normalised lines of the first place, for any number of groups."""
+    rows = files.join(group_rows, files["path"] == group_rows["first_path"])
     lines = f"slice({text.split_lines(text.normalize('content'))}, first_line, line_count) AS lines"
     return rows.selectExpr("hash", lines, "line_count", "n_occ", "first_path", "first_line")
 
 
-def occurrences(files: DataFrame, group_rows: DataFrame, min_lines: int = MIN_LINES,
-                limited: bool = False) -> DataFrame:
-    """``(hash, path, start_line)`` for every place of the given groups.
-
-    ``limited`` says that the groups are a top-k (k rows at most) and can be broadcast. Otherwise the
-    join shuffles by key, and each of the ``HEAVY_KEYS`` most frequent keys is spread over one reducer
-    per ``ROWS_PER_SALT`` places; any other key holds less than 1/``HEAVY_KEYS`` of the places. Hand in
-    stored groups (a table or a checkpoint) when there are many, as they are read twice.
-    """
-    places = _keyed(files, min_lines)
-    wanted = group_rows.select(F.unhex("hash").alias("key"), "n_occ")
-    if limited:
-        found = places.join(F.broadcast(wanted.select("key")), "key")
-    else:
-        salts = F.ceil(F.col("n_occ") / ROWS_PER_SALT).cast("int")
-        heavy = wanted.where(F.col("n_occ") > ROWS_PER_SALT).orderBy(F.desc("n_occ")).limit(HEAVY_KEYS)
-        heavy = F.broadcast(heavy.select("key", salts.alias("salts")))
-        spread = F.coalesce(F.pmod(F.xxhash64("path", "start_line"), F.col("salts")), F.lit(0)).cast("int")
-        places = places.join(heavy, "key", "left").select("path", "start_line", "key", spread.alias("salt"))
-        wanted = wanted.join(heavy, "key", "left").select(
-            "key", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-        found = places.join(wanted, ["key", "salt"])
+def occurrences(files: DataFrame, group_rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``(hash, path, start_line)`` for every place of the given groups."""
+    wanted = group_rows.select(F.unhex("hash").alias("key"))
+    found = _keyed(files, min_lines).join(wanted, "key")
     return found.select(F.lower(F.hex("key")).alias("hash"), "path", "start_line")
 
 

@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from corpusaudit.functions import text
 
 
-def corpus(table: DataFrame, path: Column, content: Column) -> DataFrame:
-    """``(path, content)`` files from a table; ``path`` must name each file once. Null text is empty text."""
+def corpus(table: DataFrame, path: Column, content: Column, splits: int | None = None) -> DataFrame:
+    """``(path, content)`` files from a table; ``path`` must name each file once. Null text is empty text.
+
+    ``splits`` shuffles the table into that many parts first. It is for tables of few large row groups,
+    which would keep few cores busy; a table with enough of them is better read as it lies.
+    """
+    if splits:
+        table = table.repartition(splits)
     return table.select(path.alias("path"), F.coalesce(content, F.lit("")).alias("content"))
 
 
@@ -21,13 +27,3 @@ def describe(files: DataFrame) -> DataFrame:
     """``(path, content, n_bytes, ext, language)``."""
     return files.selectExpr("path", "content", "CAST(octet_length(content) AS BIGINT) AS n_bytes",
                             f"{text.extension('path')} AS ext", f"{text.language('path')} AS language")
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """Redistributes a table that is stored in fewer splits than the cluster has cores.
-
-    Text work is CPU-bound, so one small Parquet file would keep a single core busy. A table with
-    enough splits (any large one) is left as it is: its text is never shuffled.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -87,10 +87,9 @@ def test_duplicates_equal_brute_force(spark, corpus):
     assert tuple(row) == (len(want), sum(5 * len(p) for p in want.values()), len({p[0] for ps in want.values() for p in ps}))
 
 
-def test_heavy_keys_are_spread_and_kept_whole(corpus, monkeypatch):
-    monkeypatch.setattr(duplicates, "ROWS_PER_SALT", 3)
-    monkeypatch.setattr(duplicates, "HEAVY_KEYS", 1)
-    frame = corpus({f"f{i}.py": "a\nb\nc\nd\ne\nf" for i in range(20)} | {"g.py": "a\nb\nc\nd\ne"})
+def test_a_block_in_a_third_of_all_places_is_kept_whole(corpus):
+    frame = corpus({f"f{i}.py": "a\nb\nc\nd\ne\nf" for i in range(20)} | {"g.py": "a\nb\nc\nd\ne"}
+                   | {f"h{i}.py": f"v{i}\nw{i}\nx{i}\ny{i}\nz{i}" for i in range(20)})
     groups = duplicates.groups(frame)
     places = duplicates.occurrences(frame, groups)
     assert sorted(r["count"] for r in places.groupBy("hash").count().collect()) == [20, 21]

@@ -195,7 +195,9 @@ PYTHON_TEXTS = [chunk for chunk, _ in PYTHON]
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, content)``, one file per part."""
     part = spark.read.schema("p_partkey bigint, p_name string, p_brand string").parquet(f"{sf_dir}/part.parquet")
-    part = tables.spread(part)
+    wanted = spark.conf.get("workload.splits", "")
+    if wanted:
+        part = part.repartition(int(wanted))
 
     def texts(values):
         return "array(" + ", ".join(text.lit(v) for v in values) + ")"

@@ -447,8 +447,7 @@ ORACLES = {
     "dup_hash": q("SELECT path, start_line, hash FROM hashed", WINDOWS),
     "dup_groups": q("SELECT * FROM groups_flat", WINDOWS),
     "dup_ranked": q("SELECT * FROM groups_flat ORDER BY n_occ DESC, first_path, first_line, hash", WINDOWS),
-    "dup_corpus": q("SELECT * FROM groups_flat WHERE (SELECT count(*) FROM docs) >= 2",
-                    "docs AS (SELECT source || '/' || doc_id || '.md' AS path, text AS content FROM documents)", _windows("docs")),
+    "dup_corpus": q("SELECT * FROM groups_flat WHERE (SELECT count(DISTINCT path) FROM files) >= 2", WINDOWS),
     "dup_stats": q("SELECT (SELECT count(*) FROM groups) AS blocks, (SELECT sum(line_count * n_occ)::BIGINT FROM groups) AS duplicated_lines, "
                    "(SELECT count(DISTINCT path) FROM hashed SEMI JOIN groups USING (hash)) AS affected_files", WINDOWS),
     "dup_top_stats": q("SELECT (SELECT count(*) FROM top) AS blocks, (SELECT sum(line_count * n_occ)::BIGINT FROM top) AS duplicated_lines, "

@@ -29,20 +29,26 @@ def read(spark, sf_dir, name, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def splits(spark) -> int | None:
+    """The parts that the caller wants the tables in (setting ``workload.splits``); unset, they are read as they lie."""
+    wanted = spark.conf.get("workload.splits", "")
+    return int(wanted) if wanted else None
+
+
 def documents(spark, sf_dir) -> DataFrame:
-    table = tables.spread(read(spark, sf_dir, "documents", "doc_id bigint, source string, text string"))
-    return tables.corpus(table, F.concat("source", F.lit("/"), "doc_id", F.lit(".md")), F.col("text"))
+    table = read(spark, sf_dir, "documents", "doc_id bigint, source string, text string")
+    return tables.corpus(table, F.concat("source", F.lit("/"), "doc_id", F.lit(".md")), F.col("text"), splits(spark))
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    table = tables.spread(read(spark, sf_dir, "pages", "page_id bigint, html string"))
-    return tables.corpus(table, F.concat(F.lit("pages/"), "page_id", F.lit(".html")), F.col("html"))
+    table = read(spark, sf_dir, "pages", "page_id bigint, html string")
+    return tables.corpus(table, F.concat(F.lit("pages/"), "page_id", F.lit(".html")), F.col("html"), splits(spark))
 
 
 def conversations(spark, sf_dir) -> DataFrame:
-    table = tables.spread(read(spark, sf_dir, "conversations", "conv_id bigint, turn bigint, text string"))
+    table = read(spark, sf_dir, "conversations", "conv_id bigint, turn bigint, text string")
     path = F.concat(F.lit("conversations/"), "conv_id", F.lit("/"), "turn", F.lit(".md"))
-    return tables.corpus(table, path, F.col("text"))
+    return tables.corpus(table, path, F.col("text"), splits(spark))
 
 
 def raw_corpus(spark, sf_dir) -> DataFrame:
@@ -267,8 +273,8 @@ def dup_ranked(spark, sf_dir):
 
 
 def dup_corpus(spark, sf_dir):
-    """Groups of the documents alone, under the condition that there are two files."""
-    return duplicates.corpus_groups(documents(spark, sf_dir))
+    """Groups under the condition that there are two files."""
+    return duplicates.corpus_groups(corpus(spark, sf_dir))
 
 
 def dup_stats(spark, sf_dir):
@@ -282,7 +288,7 @@ def dup_top_stats(spark, sf_dir):
     """Over the 20 most frequent blocks."""
     files = corpus(spark, sf_dir)
     top = writers.checkpointed(duplicates.ranked(duplicates.groups(files), duplicates.TOP_GROUPS))
-    return duplicates.statistics(top, duplicates.occurrences(files, top, limited=True))
+    return duplicates.statistics(top, duplicates.occurrences(files, top))
 
 
 def dup_occurrences(spark, sf_dir):
