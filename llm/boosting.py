@@ -90,6 +90,14 @@ class _Trees:
         return build(np.arange(len(bins)), 0, -np.inf, np.inf)
 
 
+def _edges(values: np.ndarray) -> np.ndarray:
+    """At most BINS - 1 thresholds, each halfway between two values that occur."""
+    distinct = np.unique(values)
+    low = np.unique(np.searchsorted(distinct, np.quantile(values, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")))
+    low = low[low < len(distinct) - 1]
+    return (distinct[low] + distinct[low + 1]) / 2
+
+
 def fit(rows: np.ndarray, labels: np.ndarray, signs: list[int], trees: int = 60, depth: int = 3, rate: float = 0.2, least: float = 1.0, shrink: float = 1.0) -> Forest:
     """labels: 0 or 1. signs: for each feature 1 if the score must not fall with it, -1 if it must not rise, 0 if either may
     be. With labels of one kind only, or none, the forest has no trees and an even or one-sided base."""
@@ -98,7 +106,7 @@ def fit(rows: np.ndarray, labels: np.ndarray, signs: list[int], trees: int = 60,
     base = float(np.log(share / (1 - share)))
     made, roots = _Trees(depth, least, shrink, np.array(signs)), []
     if len(labels) and 0 < labels.mean() < 1:
-        edges = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in range(rows.shape[1])]
+        edges = [_edges(rows[:, f]) for f in range(rows.shape[1])]
         bins = np.stack([np.searchsorted(e, rows[:, f], side="left") for f, e in enumerate(edges)], axis=1)
         score = np.full(len(labels), base)
         for _ in range(trees):

@@ -1,13 +1,13 @@
 """Main text of web pages by template deduction over the pages of a host.
 
 Tokens of a page are its tags, each with the path of its ancestors, and its blocks of text, each with its path. Tokens of one
-host whose numbers of occurrences agree on every page form an equivalence class. A class that fills at least half of the
-host's pages is valid if it nests: all its tags stand directly inside tags of one other valid class. The valid classes, nested
-by their paths, are the host's template; a block of text in a valid class with tags is a constant of the template. What is
+host whose numbers of occurrences agree on every page form an equivalence class. Classes on at least half of the host's
+pages are parted where their tags stand inside tags of different classes, so that each lies in one other; thus nested, they
+are the host's template. A block of text with the vector of such a class is a constant of the template. What is
 left on a page are the slots, and its main text are those that belong to the article: inside the template's article (or the
 page's own, or, where neither names one, anywhere), and in no container of menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or reader comments. Constants count only outside an article: its text is kept whole even if
-all pages of the host share it.
+all pages of the host share it. A page of which nothing but constants is left keeps them.
 
 A host's vectors are kept as a count and a sum of hashes, so that classes come from two aggregations and no page is beside
 another; a template has at most twice as many tokens as a page has on average.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from llm.common import stored
 
 #: Text is a template's constant only where at least so many pages of a host were seen.
-LEAST_PAGES = 3
+LEAST_PAGES = 5
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.I)
@@ -193,29 +193,26 @@ class Template:
 
 def deduce(tokens: list[dict], n_pages: int) -> Template:
     """tokens: path, token, pages, vector of the tokens on at least half of a host's pages."""
-    classes: dict[tuple, list[dict]] = {}
-    for token in sorted(tokens, key=lambda t: (t["path"], t["token"])):
-        classes.setdefault((token["pages"], token["vector"]), []).append(token)
-    members = {k: [t["path"] for t in own if not t["token"]] for k, own in classes.items()}
-    class_at = {path: k for k, own in members.items() for path in own}
-    numbers = {k: n for n, k in enumerate(k for k in classes if members[k])}
-    parents, dropped = {}, set()
-    for k in sorted(numbers, key=lambda k: min(map(len, members[k]))):
-        around = set()
-        for path in members[k]:
-            above = path.rpartition("/")[0]
-            while above and (class_at.get(above) is None or class_at[above] in dropped):
-                above = above.rpartition("/")[0]
-            if class_at.get(above) != k:
-                around.add(class_at.get(above))
-        if len(around) > 1:
-            dropped.add(k)  # it doesn't nest: its tags belong to the pages
-        else:
-            parents[k] = next(iter(around), None)
-    valid = [k for k in numbers if k not in dropped]
-    paths = [(path, numbers[k], -1 if parents[k] is None else numbers.get(parents[k], -1)) for k in valid for path in members[k]]
-    constants = [t["token"] for k in valid for t in classes[k] if t["token"]] if n_pages >= LEAST_PAGES else []
-    return Template([p for p, _, _ in paths], [c for _, c, _ in paths], [p for _, _, p in paths], constants)
+    vectors = {t["path"]: (t["pages"], t["vector"]) for t in tokens if not t["token"]}
+    class_at: dict[str, int] = {}
+    numbers: dict[tuple, int] = {}
+    parents: list[int] = []
+    for path in sorted(vectors, key=lambda path: (path.count("/"), path)):
+        above = path.rpartition("/")[0]
+        while above and above not in vectors:
+            above = above.rpartition("/")[0]
+        around = class_at.get(above, -1)
+        if above and vectors[above] == vectors[path]:
+            class_at[path] = around
+            continue
+        key = (vectors[path], around)
+        if key not in numbers:
+            numbers[key] = len(parents)
+            parents.append(around)
+        class_at[path] = numbers[key]
+    shared = set(vectors.values())
+    constants = sorted(t["token"] for t in tokens if t["token"] and (t["pages"], t["vector"]) in shared) if n_pages >= LEAST_PAGES else []
+    return Template(list(class_at), list(class_at.values()), [parents[c] for c in class_at.values()], constants)
 
 
 TEMPLATE = "paths array<string>, classes array<int>, parents array<int>, constants array<bigint>"
@@ -243,16 +240,19 @@ def main_blocks(html: str, paths: list[str], constants: set[int]) -> tuple[list[
     blocks, _ = read(html)
     own = {article for _, _, other, article in blocks if article and not other}
     region = next((p for p in paths if p in own), None) if own else None
-    slots, found = 0, []
+    slots, found, fixed = 0, [], []
     for path, text, other, article in blocks:
         constant = token_of(path, text) in constants
         slots += not constant
-        if other or (own and not article) or constant and not own:
+        if other or (own and not article):
+            continue
+        if constant and not own:
+            fixed.append(text)
             continue
         if region and article != region and article.rpartition("/")[2] != region.rpartition("/")[2]:
             continue
         found.append(text)
-    return found, slots
+    return found or fixed, slots
 
 
 def extract(pages: DataFrame) -> DataFrame:
