@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusaudit.operators import catalogue, custom, duplicates
@@ -26,6 +26,9 @@ class Audit:
     rules: DataFrame
     min_severity: str = "info"
     min_lines: int = duplicates.MIN_LINES
+    line_rules: tuple = ()
+    file_rules: tuple = ()
+    target: str = ""
 
     # roll-ups
     def by_severity(self) -> DataFrame:
@@ -46,8 +49,8 @@ class Audit:
     def tech_debt(self) -> DataFrame:
         return debt.tech_debt(self.totals())
 
-    def headline(self) -> DataFrame:
-        return reports.headline(self.totals())
+    def headline(self, elapsed: float = 0.0) -> DataFrame:
+        return reports.headline(self.totals(), self.target, elapsed)
 
     def summary(self) -> DataFrame:
         return reports.summary(self.totals(), self.profile, self.issues)
@@ -68,26 +71,47 @@ class Audit:
         """The issue list after the severity filter; counts and profiles stay unfiltered."""
         return reports.min_severity(self.issues, self.min_severity)
 
+    def of_file(self, path: str) -> Audit:
+        """The audit of one file: only its text is read, parsed and matched, unless issues are stored."""
+        return self.narrowed(F.col("path") == path)
+
+    def narrowed(self, paths: Column) -> Audit:
+        """The audit of the files that a condition on ``path`` names, which is tested before detection."""
+        return audit(self.files.where(paths), self.line_rules, self.file_rules, self.min_severity, self.min_lines)
+
     # storing
     def checkpoint(self) -> Audit:
         """Computes issues, profiles and duplicate groups once, in the cluster's checkpoint folder."""
-        return self._with({name: writers.checkpointed(table) for name, table in self.tables().items()})
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {"issues": self.issues, "profile": self.profile, "duplicates": self.duplicates}
+        return self._stored(lambda name, table: writers.checkpointed(table))
 
     def write_tables(self, folder: str) -> Audit:
         """Stores the result tables as Parquet; the audit that comes back reads them. Call again to refresh."""
-        return self._with(writers.write_tables(self.tables(), folder))
-
-    def write_json(self, folder: str) -> None:
-        """The full report as one folder of JSON lines per part."""
+        return self._stored(lambda name, table: writers.write_table(table, folder, name))
+
+    def _stored(self, store: Callable[[str, DataFrame], DataFrame]) -> Audit:
+        """All rules look at the corpus once: issues and profiles come from the stored marks."""
+        lines, whole = _numbered(self.line_rules, self.file_rules)
+        marked = store("marks", detect.marks(self.files, statistics=True, custom_lines=lines))
+        found = detect.issues_of(marked, lines)
+        if whole:
+            found = found.unionByName(detect.own_file_issues(self.files, whole))
+        found = store("issues", found)
+        by_file = store("profile", detect.profile_of(detect.statistics_of(marked), found))
+        blocks = store("duplicates", self.duplicates)
+        count = blocks.agg(F.count("*").alias("duplicate_blocks"))
+        return replace(self, issues=found, profile=by_file, duplicates=blocks, duplicate_count=count)
+
+    def write_json(self, folder: str, elapsed: float = 0.0) -> None:
+        """The full report as one folder of JSON lines per part, from tables that are computed once."""
+        done = self.checkpoint()
+        summary = done.headline(elapsed).select("target", "files_scanned", "files_with_issues", "total_issues", "elapsed")
         writers.write_json({
-            "summary": self.totals().select("files_scanned", "files_with_issues", "total_issues"),
-            "issues_by_severity": self.by_severity(), "issues_by_category": self.by_category(),
-            "issues_by_rule": self.by_rule(), "tech_debt": self.tech_debt(), "languages": self.languages(),
-            "files": writers.full_files(self.profile), "issues": writers.full_issues(self.listed_issues()),
-            "duplicates": self.duplicates, "duplicate_places": self.duplicate_places(None),
+            "summary": summary,
+            "issues_by_severity": done.by_severity(), "issues_by_category": done.by_category(),
+            "issues_by_rule": done.by_rule(), "tech_debt": done.tech_debt(), "languages": done.languages(),
+            "files": writers.full_files(done.profile), "issues": writers.full_issues(done.listed_issues()),
+            "duplicates": duplicates.with_lines(done.files, done.duplicates),
+            "duplicate_places": done.duplicate_places(),
         }, folder)
 
     def write_issues_json(self, folder: str) -> None:
@@ -95,18 +119,19 @@ class Audit:
         writers.write_json({"summary": self.headline().select("files_scanned", "total_issues", "quality_score"),
                             "issues": writers.slim_issues(self.listed_issues())}, folder)
 
-    def _with(self, stored: dict[str, DataFrame]) -> Audit:
-        count = stored["duplicates"].agg(F.count("*").alias("duplicate_blocks"))
-        return replace(self, **stored, duplicate_count=count)
+
+def _numbered(line_rules, file_rules) -> tuple[list, list]:
+    """The rules of one's own with their catalogue entries."""
+    entries = custom.numbered([*line_rules, *file_rules])
+    return list(zip(line_rules, entries)), list(zip(file_rules, entries[len(line_rules):]))
 
 
 def audit(files: DataFrame, line_rules: Iterable[custom.LineRule] = (), file_rules: Iterable[custom.FileRule] = (),
           min_severity: str = "info", min_lines: int = duplicates.MIN_LINES) -> Audit:
     """Audits a ``(path, content)`` corpus with the built-in rules and any rules of your own."""
     line_rules, file_rules = list(line_rules), list(file_rules)
-    entries = custom.numbered([*line_rules, *file_rules])
-    lines = list(zip(line_rules, entries))
-    whole = list(zip(file_rules, entries[len(line_rules):]))
+    lines, whole = _numbered(line_rules, file_rules)
+    entries = [entry for _, entry in [*lines, *whole]]
     issues = detect.issues(files, custom_lines=lines, custom_files=whole)
     if entries:
         profile = detect.profile_of(detect.file_statistics(files), issues)
@@ -114,14 +139,15 @@ def audit(files: DataFrame, line_rules: Iterable[custom.LineRule] = (), file_rul
         profile = detect.profile(files)
     return Audit(files, issues, profile, duplicates.corpus_groups(files, min_lines),
                  duplicates.count_groups(files, min_lines, check_files=False),
-                 catalogue.rules_catalogue(files.sparkSession, extra=entries), min_severity, min_lines)
+                 catalogue.rules_catalogue(files.sparkSession, extra=entries), min_severity, min_lines,
+                 tuple(line_rules), tuple(file_rules))
 
 
 def scan_path(spark: SparkSession, path: str, extensions=None, skip_dirs=None, max_size: int | None = None,
               exclude_patterns=None, **options) -> Audit:
     """Audits a directory tree (or one file)."""
     files = tree.read_tree(spark, path, extensions, skip_dirs, max_size, exclude_patterns)
-    return audit(files, **options)
+    return replace(audit(files, **options), target=path)
 
 
 def scan_table(files: DataFrame, root: str = "", extensions=None, skip_dirs=None, max_size: int | None = None,

@@ -21,7 +21,7 @@ from corpusaudit import dims
 from corpusaudit.operators.catalogue import RULES, Finding, Rule
 
 RAW_SCHEMA = ("path string, line int, column int, severity string, message string, snippet string, "
-              "suggestion string, confidence double")
+              "suggestion string, confidence double, rule_ord int, rule_id string, rule_name string, category string")
 
 
 @dataclass(frozen=True)
@@ -66,23 +66,29 @@ def line_code(rule: LineRule, entry: Rule, language: Column, line: Column) -> Co
     return F.when(language.isin([n.lower() for n in rule.languages]), hit) if rule.languages else hit
 
 
-def run_file_rule(files: DataFrame, rule: FileRule) -> DataFrame:
-    """Raw hits of one file rule over ``(path, content, language)``."""
-    check, severity = rule.check, rule.severity
+def run_file_rules(files: DataFrame, rules: list[tuple[FileRule, Rule]]) -> DataFrame:
+    """Raw hits of file rules, with their catalogue entries, over ``(path, content, language)``: each text goes to
+    Python once, if one of the rules looks at its language."""
+    chosen = [({n.lower() for n in rule.languages}, rule.check, rule.severity, (entry.order, entry.rule_id, entry.rule_name, entry.category))
+              for rule, entry in rules]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "line", "column", "severity", "message", "snippet", "suggestion", "confidence"]
+        columns = ["path", "line", "column", "severity", "message", "snippet", "suggestion", "confidence",
+                   "rule_ord", "rule_id", "rule_name", "category"]
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    rows += [(path, int(h.get("line", 0)), int(h.get("column", 0)), h.get("severity") or severity,
-                              h["message"], h.get("snippet", ""), h.get("suggestion", ""),
-                              float(h.get("confidence", 1.0))) for h in check(path, content)]
-                except Exception:  # a failing rule is skipped for that file
-                    continue
+            for path, content, language in zip(batch["path"], batch["content"], batch["language"]):
+                for languages, check, severity, entry in chosen:
+                    if languages and language not in languages:
+                        continue
+                    try:
+                        rows += [(path, int(h.get("line", 0)), int(h.get("column", 0)), h.get("severity") or severity,
+                                  h["message"], h.get("snippet", ""), h.get("suggestion", ""),
+                                  float(h.get("confidence", 1.0)), *entry) for h in check(path, content)]
+                    except Exception:  # a failing rule is skipped for that file
+                        continue
             yield pd.DataFrame(rows, columns=columns)
 
-    if rule.languages:
-        files = files.where(F.col("language").isin([n.lower() for n in rule.languages]))
-    return files.select("path", "content").mapInPandas(run, RAW_SCHEMA)
+    if all(languages for languages, *_ in chosen):
+        files = files.where(F.col("language").isin(sorted(set().union(*(languages for languages, *_ in chosen)))))
+    return files.select("path", "content", "language").mapInPandas(run, RAW_SCHEMA)

@@ -94,8 +94,14 @@ def marks(files: DataFrame, rule_ids=None, statistics: bool = False, custom_line
 
 def issues(files: DataFrame, rule_ids=None, custom_lines=(), custom_files=()) -> DataFrame:
     """One row per issue (``ISSUE_COLUMNS``), in no particular order."""
-    spark = files.sparkSession
-    marked = marks(files, rule_ids, custom_lines=custom_lines).where("code <> 0")
+    rows = issues_of(marks(files, rule_ids, custom_lines=custom_lines), custom_lines)
+    return rows.unionByName(own_file_issues(files, custom_files)) if custom_files else rows
+
+
+def issues_of(marked: DataFrame, custom_lines=()) -> DataFrame:
+    """The issues of a stream of marks, stored or not; those of file rules of one's own are not among them."""
+    spark = marked.sparkSession
+    marked = marked.where("code <> 0").select("path", "code", "line", "at", "hit")
     kinds = catalogue.findings(spark, [entry for _, entry in custom_lines])
     joined = marked.join(F.broadcast(kinds), "code")
     code, at = F.col("code"), F.col("at")
@@ -113,14 +119,24 @@ def issues(files: DataFrame, rule_ids=None, custom_lines=(), custom_files=()) ->
             out[name] = F.when(code == entry.code(), F.coalesce(value, out[name])).otherwise(out[name])
     rows = joined.select("path", "line", "rule_ord", "rule_id", "rule_name", "category", F.lit(0).alias("column"),
                          *[column.alias(name) for name, column in out.items()])
-    for rule, entry in custom_files:
-        raw = custom.run_file_rule(tables.with_language(files), rule)
-        rows = rows.unionByName(raw.select(
-            "*", F.lit(entry.order).alias("rule_ord"), F.lit(entry.rule_id).alias("rule_id"),
-            F.lit(entry.rule_name).alias("rule_name"), F.lit(entry.category).alias("category")))
+    return _scored(rows)
+
+
+def own_file_issues(files: DataFrame, custom_files) -> DataFrame:
+    """The issues of all file rules of one's own, in one pass."""
+    raw = custom.run_file_rules(tables.with_language(files), custom_files)
+    return _scored(raw)
+
+
+def _scored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", weight(F.col("severity")) * F.col("confidence")).select(*ISSUE_COLUMNS)
 
 
+def statistics_of(marked: DataFrame) -> DataFrame:
+    """``(path, STATS)`` of a stored stream of marks: a file's mark 0 carries them."""
+    return marked.where("code = 0").select("path", *STATS)
+
+
 def weight(severity: Column) -> Column:
     out = None
     for name, points in dims.SEVERITY_WEIGHT.items():

@@ -42,12 +42,12 @@ def gate(issues: DataFrame, level: str = "info", no_fail: bool = False) -> DataF
     return counted.withColumn("failed", failed)
 
 
-def headline(total_row: DataFrame) -> DataFrame:
-    """The 11 figures of the statistics view (elapsed time is the caller's)."""
+def headline(total_row: DataFrame, target: str = "", elapsed: float = 0.0) -> DataFrame:
+    """The 12 figures of the statistics view; what was scanned and the seconds it took are the caller's."""
     return debt.measures(total_row).select(
         "files_scanned", "files_with_issues", "total_issues", "quality_score", "grade", "risk_level",
         F.col("formatted").alias("tech_debt"), F.col("total_debt_minutes").alias("tech_debt_minutes"),
-        "issues_per_kloc", "total_code_lines")
+        "issues_per_kloc", "total_code_lines", F.lit(target).alias("target"), F.lit(float(elapsed)).alias("elapsed"))
 
 
 def summary(total_row: DataFrame, profile: DataFrame, issues: DataFrame, top: int = 5) -> DataFrame:

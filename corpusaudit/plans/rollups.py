@@ -36,9 +36,11 @@ def count_by_language(files: DataFrame) -> DataFrame:
     return files.groupBy(F.expr(text.language("path")).alias("language")).agg(F.count("*").alias("files"))
 
 
-def scan_totals(profile: DataFrame) -> DataFrame:
+def scan_totals(profile: DataFrame, elapsed: float = 0.0) -> DataFrame:
+    """Files and issues of a scan that took ``elapsed`` seconds, by the caller's clock."""
     return profile.agg(F.count("*").alias("files_scanned"), F.count_if(F.col("issue_count") > 0).alias("files_with_issues"),
-                       F.coalesce(F.sum("issue_count"), F.lit(0)).alias("total_issues"))
+                       F.coalesce(F.sum("issue_count"), F.lit(0)).alias("total_issues"),
+                       F.lit(float(elapsed)).alias("elapsed"))
 
 
 def issues_for_file(issues: DataFrame, path: str) -> DataFrame:

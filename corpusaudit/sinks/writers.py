@@ -43,11 +43,8 @@ def write_json(tables: dict[str, DataFrame], folder: str) -> None:
         table.write.mode("overwrite").json(os.path.join(folder, name))
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
-    """Writes Parquet tables and gives them back as scans of what was written."""
-    out = {}
-    for name, table in tables.items():
-        target = os.path.join(folder, name)
-        table.write.mode("overwrite").parquet(target)
-        out[name] = table.sparkSession.read.schema(table.schema).parquet(target)
-    return out
+def write_table(table: DataFrame, folder: str, name: str) -> DataFrame:
+    """Writes a Parquet table and gives it back as a scan of what was written."""
+    target = os.path.join(folder, name)
+    table.write.mode("overwrite").parquet(target)
+    return table.sparkSession.read.schema(table.schema).parquet(target)

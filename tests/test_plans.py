@@ -24,3 +24,23 @@ def test_profile_shuffles_file_rows_only(spark, tmp_path):
     text = plan(detect.profile(spark.read.parquet(str(tmp_path / "c"))))
     exchange = next(line for line in text.splitlines() if "Exchange hashpartitioning" in line)
     assert text.count("FileScan") == 1 and "content" not in exchange and " at#" not in exchange
+
+
+def test_a_path_is_filtered_below_detection(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpusaudit import audit
+    spark.createDataFrame([("a.py", "x"), ("b.py", "eval(x)")], "path string, content string").write.parquet(str(tmp_path / "c"))
+    found = audit(spark.read.parquet(str(tmp_path / "c"))).of_file("b.py").issues
+    lines = plan(found).splitlines()
+    python = next(i for i, line in enumerate(lines) if "ArrowEvalPython" in line)
+    assert any("Filter" in line and "b.py" in line for line in lines[python:]) and "PushedFilters: [IsNotNull(path), EqualTo(path,b.py)]" in plan(found)
+    assert found.select(F.count_distinct("path")).first()[0] == 1
+
+
+def test_only_repeated_blocks_are_sorted(spark, tmp_path):
+    from corpusaudit.operators import duplicates
+    spark.createDataFrame([("a.py", "a\nb\nc\nd\ne\nf")], "path string, content string").write.parquet(str(tmp_path / "c"))
+    text = plan(duplicates.groups(spark.read.parquet(str(tmp_path / "c"))))
+    first_join = text.index("Join")
+    assert "SortAggregate" in text[:first_join] and "SortAggregate" not in text[first_join:] and "HashAggregate" in text[first_join:]

@@ -395,6 +395,7 @@ def on_debt(select, total="true"):
 FIELDS = "rule_id, path, line, severity, message, snippet, suggestion, confidence"
 SCAN_ORDER = "path, rule_ord, line, message"
 AVG2 = f"{_round('avg_complexity', 2)} AS avg_complexity"
+FILE_VALUE = "concat_ws('|', language, lines, code_lines, comment_lines, blank_lines, functions, classes, max_complexity, issue_count)"
 LEVEL = "CASE WHEN issue_count > 5 THEN 'high' WHEN issue_count > 2 THEN 'medium' WHEN issue_count > 1 THEN 'low' ELSE 'single' END"
 
 
@@ -459,7 +460,7 @@ ORACLES = {
     "count_by_rule": on_issues(f"{RULE_COUNT} GROUP BY rule"),
     "count_by_language": q("SELECT language, count(*) AS files FROM files GROUP BY language"),
     "scan_totals": on_issues("SELECT (SELECT count(*) FROM files) AS files_scanned, count(DISTINCT path) AS files_with_issues, "
-                             "count(*) AS total_issues FROM issues"),
+                             "count(*) AS total_issues, 0.0::DOUBLE AS elapsed FROM issues"),
     "issues_for_file": on_issues(f"SELECT {FIELDS} FROM issues WHERE path = '{DETAIL_PATH}'"),
     "top_files": on_issues("SELECT f.path, round(coalesce(sum(score), 0), 6)::DOUBLE AS risk_score, count(i.path) AS issue_count "
                            "FROM files f LEFT JOIN issues i ON i.path = f.path GROUP BY f.path ORDER BY risk_score DESC, f.path LIMIT 10"),
@@ -502,7 +503,7 @@ UNION ALL SELECT 'rule', (row_number() OVER (ORDER BY n DESC, rule))::INTEGER, r
   FROM (SELECT rule_id || ' ' || rule_name AS rule, count(*) AS n FROM issues GROUP BY rule ORDER BY n DESC, rule LIMIT 5)""",
                  NODES, ISSUES, STATS, PROFILE),
     "q_stats": on_debt("SELECT files_scanned, files_with_issues, total_issues, quality_score, grade, risk_level, formatted AS tech_debt, "
-                       "total_debt_minutes AS tech_debt_minutes, issues_per_kloc, total_code_lines FROM measures"),
+                       "total_debt_minutes AS tech_debt_minutes, issues_per_kloc, total_code_lines, 'corpus' AS target, 1.5::DOUBLE AS elapsed FROM measures"),
     "q_issues": on_issues(f"SELECT {FIELDS} FROM issues WHERE severity = 'high' AND contains(path, 'src1') ORDER BY {SCAN_ORDER} LIMIT 200"),
     "q_files": on_profile(f"SELECT path, language, lines, code_lines, comment_lines, functions, classes, max_complexity, {AVG2}, issue_count FROM profile"),
     "q_file_detail": on_profile(f"SELECT path, p.language, lines, code_lines, comment_lines, functions, classes, max_complexity, {AVG2}, "
@@ -534,12 +535,29 @@ UNION ALL SELECT 'rule', (row_number() OVER (ORDER BY n DESC, rule))::INTEGER, r
     "q_top_issue_files_30": on_profile(f"SELECT path, issue_count, {LEVEL} AS level FROM profile WHERE issue_count > 0 ORDER BY issue_count DESC, path LIMIT 30"),
     "q_sorted_issues": on_issues(f"SELECT {FIELDS} FROM issues ORDER BY path, line, rule_ord, message"),
     "q_severity_sorted_issues": on_issues(f"SELECT {FIELDS} FROM issues ORDER BY {SEVERITY_ORDER}, path, line, rule_ord, message"),
-    "sink_json": on_profile(f"SELECT path, language, lines, code_lines, comment_lines, blank_lines, functions, classes, max_complexity, {AVG2}, issue_count FROM profile"),
+    "sink_json": q(f"""
+SELECT 'summary' AS section, 'all' AS key, concat_ws('|', '', files_scanned, files_with_issues, total_issues, '1.5') AS value FROM measures
+UNION ALL SELECT 'severity', severity, issues::VARCHAR FROM ({_dim(SEVERITIES, "severity")})
+UNION ALL SELECT 'category', category, issues::VARCHAR FROM ({_dim(CATEGORIES, "category")})
+UNION ALL SELECT 'rule', rule, issues::VARCHAR FROM ({RULE_COUNT} GROUP BY rule)
+UNION ALL SELECT 'tech_debt', 'all', concat_ws('|', total_debt_minutes, formatted, grade, risk_level, total_code_lines) FROM measures
+UNION ALL SELECT 'language', language, count(*)::VARCHAR FROM files GROUP BY language
+UNION ALL SELECT 'file', path, {FILE_VALUE} || '|' || round({_round('avg_complexity', 2)} * 100)::BIGINT FROM profile
+UNION ALL SELECT 'issue', concat_ws('|', rule_id, path, line), md5(concat_ws('|', rule_name, category, severity, message, snippet, suggestion)) FROM issues
+UNION ALL SELECT 'duplicate', g.hash, concat_ws('|', line_count, n_occ, first_path, first_line, md5(array_to_string(h.block, chr(10))))
+  FROM groups_flat g JOIN hashed h ON h.path = g.first_path AND h.start_line = g.first_line
+UNION ALL SELECT 'place', concat_ws('|', hash, path, start_line), '' FROM hashed SEMI JOIN groups USING (hash)""",
+                   NODES, ISSUES, STATS, PROFILE, WINDOWS, _measures("true")),
     "sink_issues_json": on_issues("SELECT rule_id AS rule, severity, path AS file, line, message FROM issues"),
-    "sink_tables": on_issues(f"{RULE_COUNT} GROUP BY rule"),
+    "sink_tables": q(f"""
+SELECT 'rule' AS section, rule AS key, issues::VARCHAR AS value FROM ({RULE_COUNT} GROUP BY rule)
+UNION ALL SELECT 'file', path, {FILE_VALUE} FROM profile
+UNION ALL SELECT 'duplicate', hash, concat_ws('|', line_count, n_occ, first_path, first_line) FROM groups_flat""", NODES, ISSUES, STATS, PROFILE, WINDOWS),
     "custom_rule": q("""
 SELECT 'USR001' AS rule_id, 'Shouting' AS rule_name, path, line_no AS line, 'low' AS severity, 'shouts: ' || line[:4] AS message,
   1.0::DOUBLE AS confidence, 5.0::DOUBLE AS score FROM lines WHERE regexp_matches(line, '^[A-Z]{4,}')
 UNION ALL SELECT 'USR002', 'Sparse', path, 1, 'medium', (len(string_split(content, chr(10))) - 1) || ' newlines', 0.5, 10.0
-FROM files WHERE language IN ('markdown', 'python') AND len(string_split(content, chr(10) || chr(10))) >= 3"""),
+FROM files WHERE language IN ('markdown', 'python') AND len(string_split(content, chr(10) || chr(10))) >= 3
+UNION ALL SELECT 'USR003', 'Long', path, 2, 'low', len(string_split(content, chr(10))) || ' lines', 1.0, 5.0
+FROM files WHERE len(string_split(content, chr(10))) >= 41"""),
 }

@@ -64,6 +64,16 @@ def issues(spark, sf_dir, rule_ids=None) -> DataFrame:
     return detect.issues(corpus(spark, sf_dir), rule_ids)
 
 
+def stored_issues(spark, sf_dir) -> DataFrame:
+    """Computed once, for readers that look at them twice, as a range-partitioned sort does."""
+    return writers.checkpointed(issues(spark, sf_dir))
+
+
+def one_file(spark, sf_dir) -> DataFrame:
+    """The corpus cut down to one path before detection."""
+    return corpus(spark, sf_dir).where(F.col("path") == DETAIL_PATH)
+
+
 def profile(spark, sf_dir) -> DataFrame:
     return detect.profile(corpus(spark, sf_dir))
 
@@ -375,14 +385,12 @@ def rules_catalogue(spark, sf_dir):
 
 
 def summary(spark, sf_dir):
-    files = corpus(spark, sf_dir)
-    by_file = writers.checkpointed(detect.profile(files))
-    return reports.summary(debt.totals(by_file), by_file, detect.issues(files))
+    return run_audit(corpus(spark, sf_dir)).checkpoint().summary()
 
 
 def q_file_detail(spark, sf_dir):
-    """Statistics and issues of every path in one folder, each as one nested row turned to text."""
-    files = corpus(spark, sf_dir)
+    """Statistics and issues of one path, the nested row taken apart."""
+    files = one_file(spark, sf_dir)
     row = reports.file_detail(detect.profile(files), detect.issues(files), DETAIL_PATH)
     one = F.explode_outer("issues").alias("i")
     return row.select("path", "stats.*", one).select("path", "language", "lines", "code_lines", "comment_lines",
@@ -398,12 +406,39 @@ def q_duplicates(spark, sf_dir):
 
 # --- sinks and extension ----------------------------------------------------------------------
 
+def _part(rows, section, key, value) -> DataFrame:
+    return rows.select(F.lit(section).alias("section"), F.concat_ws("|", *key).alias("key"), F.concat_ws("|", *value).alias("value"))
+
+
+def _together(parts) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+FILE_FIELDS = ["language", "lines", "code_lines", "comment_lines", "blank_lines", "functions", "classes", "max_complexity", "issue_count"]
+
+
 def sink_json(spark, sf_dir):
-    """The file part of the full report, written as JSON and read back."""
-    rows = writers.full_files(profile(spark, sf_dir))
+    """The full report, written as JSON and read back: every part, as section, key and value."""
     folder = _scratch(spark)
-    writers.write_json({"files": rows}, folder)
-    return spark.read.schema(rows.schema).json(os.path.join(folder, "files"))
+    run_audit(corpus(spark, sf_dir)).write_json(folder, elapsed=1.5)
+
+    def part(name):
+        return spark.read.json(os.path.join(folder, name))
+
+    files = part("files").withColumn("hundredths", F.round(F.col("avg_complexity") * 100).cast("bigint"))
+    return _together([
+        _part(part("summary"), "summary", [F.lit("all")], ["target", "files_scanned", "files_with_issues", "total_issues", "elapsed"]),
+        *[_part(part(f"issues_by_{k}"), k, [k], ["issues"]) for k in ("severity", "category", "rule")],
+        _part(part("tech_debt"), "tech_debt", [F.lit("all")], ["total_debt_minutes", "formatted", "grade", "risk_level", "total_code_lines"]),
+        _part(part("languages"), "language", ["language"], ["files"]),
+        _part(files, "file", ["path"], [*FILE_FIELDS, "hundredths"]),
+        _part(part("issues"), "issue", ["rule_id", "file", "line"], [F.md5(F.concat_ws("|", "rule_name", "category", "severity", "message", "snippet", "suggestion"))]),
+        _part(part("duplicates"), "duplicate", ["hash"], ["line_count", "n_occ", "first_path", "first_line", F.md5(F.array_join("lines", "\n"))]),
+        _part(part("duplicate_places"), "place", ["hash", "path", "start_line"], [F.lit("")]),
+    ])
 
 
 def sink_issues_json(spark, sf_dir):
@@ -414,13 +449,22 @@ def sink_issues_json(spark, sf_dir):
 
 
 def sink_tables(spark, sf_dir):
-    """Stores the audit's tables and rolls the stored issues up."""
-    stored = run_audit(corpus(spark, sf_dir)).write_tables(_scratch(spark))
-    return stored.by_rule()
+    """Stores the audit's tables, and gives rows of each of them as section, key and value."""
+    folder = _scratch(spark)
+    run_audit(corpus(spark, sf_dir)).write_tables(folder)
+
+    def part(name):
+        return spark.read.parquet(os.path.join(folder, name))
+
+    return _together([
+        _part(rollups.count_by_rule(part("issues")), "rule", ["rule"], ["issues"]),
+        _part(part("profile"), "file", ["path"], FILE_FIELDS),
+        _part(part("duplicates"), "duplicate", ["hash"], ["line_count", "n_occ", "first_path", "first_line"]),
+    ])
 
 
 def custom_rule(spark, sf_dir):
-    """A column rule and a file rule of one's own next to the built-in ones."""
+    """A column rule and two file rules of one's own next to the built-in ones."""
     shouting = LineRule("USR001", "Shouting", "style", "low", "A line in capitals.", lambda line: F.when(
         line.rlike("^[A-Z]{4,}"), F.struct(F.concat(F.lit("shouts: "), F.substring(line, 1, 4)).alias("message"))))
 
@@ -429,7 +473,12 @@ def custom_rule(spark, sf_dir):
             yield {"message": f"{content.count(chr(10))} newlines", "line": 1, "severity": "medium", "confidence": 0.5}
 
     sparse = FileRule("USR002", "Sparse", "style", "info", "Empty lines.", many_blank, ("markdown", "python"))
-    found = run_audit(corpus(spark, sf_dir), [shouting], [sparse]).issues
+    def many_lines(path, content):
+        if content.count("\n") >= 40:
+            yield {"message": f"{content.count(chr(10)) + 1} lines", "line": 2}
+
+    long = FileRule("USR003", "Long", "complexity", "low", "Many lines.", many_lines)
+    found = run_audit(corpus(spark, sf_dir), [shouting], [sparse, long]).issues
     return found.where(F.col("rule_id").startswith("USR")).select(
         "rule_id", "rule_name", "path", "line", "severity", "message", "confidence", F.round("score", 6).alias("score"))
 
@@ -459,7 +508,7 @@ QUERIES = {
     "count_by_category": _of_issues(rollups.count_by_category),
     "count_by_rule": _of_issues(rollups.count_by_rule), "count_by_language": count_by_language,
     "scan_totals": _of_profile(rollups.scan_totals),
-    "issues_for_file": lambda s, d: _listed(rollups.issues_for_file(issues(s, d), DETAIL_PATH)),
+    "issues_for_file": lambda s, d: _listed(rollups.issues_for_file(detect.issues(one_file(s, d)), DETAIL_PATH)),
     "top_files": _of_profile(rollups.top_files), "top_rules": _of_issues(rollups.top_rules),
     "debt_by_severity": _of_totals(debt.debt_by_severity), "debt_complexity": debt_complexity,
     "debt_duplicates": debt_duplicates,
@@ -469,8 +518,9 @@ QUERIES = {
     "risk_level": _measures("risk_level"), "debt_breakdown": debt_breakdown, "tech_debt": tech_debt,
     "min_severity": min_severity, "min_severity_totals": min_severity_totals,
     "gate": _of_issues(reports.gate, "medium"), "rules_catalogue": rules_catalogue, "summary": summary,
-    "q_stats": _of_totals(reports.headline),
-    "q_issues": lambda s, d: _listed(reports.find_issues(issues(s, d), "high", "src1")),
+    "q_stats": lambda s, d: reports.headline(totals(s, d), "corpus", 1.5),
+    "q_issues": lambda s, d: _listed(reports.find_issues(
+        detect.issues(corpus(s, d).where(F.contains("path", F.lit("src1")))), "high", "src1")),
     "q_files": _of_profile(reports.file_list), "q_file_detail": q_file_detail, "q_duplicates": q_duplicates,
     "q_top_files": _of_profile(reports.top_risk_files),
     "q_search": lambda s, d: _listed(reports.search(issues(s, d), "medium", "sha1 ")),
@@ -485,8 +535,8 @@ QUERIES = {
     "q_issue_density": _of_profile(reports.issue_density),
     "q_top_issue_files": _of_profile(reports.top_issue_files),
     "q_top_issue_files_30": _of_profile(reports.top_issue_files, 30),
-    "q_sorted_issues": lambda s, d: _listed(reports.sorted_by_file(issues(s, d))),
-    "q_severity_sorted_issues": lambda s, d: _listed(reports.sorted_by_severity(issues(s, d))),
+    "q_sorted_issues": lambda s, d: _listed(reports.sorted_by_file(stored_issues(s, d))),
+    "q_severity_sorted_issues": lambda s, d: _listed(reports.sorted_by_severity(stored_issues(s, d))),
     "sink_json": sink_json, "sink_issues_json": sink_issues_json, "sink_tables": sink_tables,
     "custom_rule": custom_rule,
 }
