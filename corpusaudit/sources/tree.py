@@ -1,111 +1,49 @@
-"""Directory trees as corpora, through a Python data source.
+"""Directory trees as corpora, listed and read by the tasks.
 
 Spark's own file readers drop every file whose name starts with ``_`` or ``.``, which a source tree
-cannot do without (``__init__.py``). This source lists the tree, prunes directories, tests extension,
-size and excluded substrings on metadata alone, and packs the survivors into partitions of about
-``partitionBytes``; the bytes are read by the tasks. The tree must be on storage that every executor
-mounts.
+cannot do without (``__init__.py``). Here folders are rows: each level of the tree is one pass in which
+tasks list the folders of the level before, prune directories, and test extension, size and excluded
+substrings on metadata alone. The files stay rows as well, are dealt out to about one task per
+``partition_bytes``, and read there; the driver holds no path but the root. The tree must be on storage
+that every executor mounts.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import sys
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
 from corpusaudit import dims
 from corpusaudit.functions import text
+from corpusaudit.sinks import writers
 
-# The reader travels with the job, so executors need no installation of this package.
+# The functions travel with the job, so executors need no installation of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-EXTENSIONS, SKIP_DIRS, MAX_SIZE = dims.SCAN_EXTENSIONS, dims.SKIP_DIRS, dims.MAX_FILE_SIZE
 PARTITION_BYTES = 32 * 1024 * 1024
-PARTITION_FILES = 5_000
-
-
-class FileBatch(InputPartition):
-    def __init__(self, root: str, files: list[tuple[str, str]]):
-        super().__init__(files)
-        self.root = root
-        self.files = files
-
-
-class SourceTree(DataSource):
-    """``spark.read.format("source_tree").load(path)`` gives ``(path, content BINARY)``."""
-
-    @classmethod
-    def name(cls):
-        return "source_tree"
-
-    def schema(self):
-        return "path string, content binary"
-
-    def reader(self, schema):
-        return TreeReader(self.options)
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, options):
-        self.root = os.path.abspath(options["path"])
-        self.extensions = frozenset(_listed(options, "extensions", EXTENSIONS))
-        self.skip_dirs = frozenset(_listed(options, "skipDirs", SKIP_DIRS))
-        self.exclude = _listed(options, "exclude", [])
-        self.max_size = int(options.get("maxSize", MAX_SIZE))
-        self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
-
-    def partitions(self):
-        batches, batch, size = [], [], 0
-        for full, relative, n_bytes in self._candidates():
-            if batch and (size + n_bytes > self.partition_bytes or len(batch) >= PARTITION_FILES):
-                batches.append(FileBatch(self.root, batch))
-                batch, size = [], 0
-            batch.append((full, relative))
-            size += n_bytes
-        if batch or not batches:
-            batches.append(FileBatch(self.root, batch))
-        return batches
-
-    def read(self, partition):
-        for full, relative in partition.files:
-            try:
-                with open(full, "rb") as handle:
-                    content = handle.read()
-            except OSError:
-                continue
-            yield relative, content
-
-    def _candidates(self):
-        if os.path.isfile(self.root):
-            size = self._size_if_wanted(self.root)
-            if size is not None:
-                yield self.root, os.path.basename(self.root), size
-            return
-        pending = [self.root]
-        while pending:
-            folder = pending.pop()
-            try:
-                entries = sorted(os.scandir(folder), key=lambda e: e.name)
-            except OSError:
-                continue
-            for entry in entries:
-                if entry.is_dir():
-                    if entry.name not in self.skip_dirs and entry.name[0] != "." and not entry.is_symlink():
-                        pending.append(entry.path)
-                    continue
-                size = self._size_if_wanted(entry.path)
-                if size is not None:
-                    yield entry.path, os.path.relpath(entry.path, self.root).replace("\\", "/"), size
+BATCH_BYTES = 8 * 1024 * 1024
 
-    def _size_if_wanted(self, full: str):
-        if os.path.splitext(full)[1].lower() not in self.extensions:
-            return None
+
+@dataclass(frozen=True)
+class Wanted:
+    """What a scan takes of a tree."""
+
+    extensions: frozenset[str]
+    skip_dirs: frozenset[str]
+    exclude: tuple[str, ...]
+    max_size: int
+
+    def size(self, full: str) -> int | None:
+        """The size of a wanted file; None for others and for files that cannot be looked at."""
         slashed = full.replace("\\", "/")
-        if any(pattern in slashed for pattern in self.exclude):
+        if os.path.splitext(full)[1].lower() not in self.extensions or any(part in slashed for part in self.exclude):
             return None
         try:
             size = os.path.getsize(full)
@@ -113,25 +51,76 @@ class TreeReader(DataSourceReader):
             return None
         return size if size <= self.max_size else None
 
-
-def _listed(options, key, default):
-    return json.loads(options[key]) if key in options else default
+    def enters(self, entry: os.DirEntry) -> bool:
+        return entry.name not in self.skip_dirs and entry.name[0] != "." and not entry.is_symlink()
+
+
+def _listed(wanted: Wanted):
+    """Folders to their entries: ``(path, size)``, with no size for folders."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                paths, sizes = [], []
+                try:
+                    with os.scandir(folder) as entries:
+                        for entry in entries:
+                            is_folder = entry.is_dir()
+                            size = None if is_folder else wanted.size(entry.path)
+                            if wanted.enters(entry) if is_folder else size is not None:
+                                paths.append(entry.path)
+                                sizes.append(size)
+                except OSError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "size"])
+    return run
+
+
+def _contents(root: str):
+    """Files to ``(path relative to the root, content)``; those that cannot be read are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, contents, size = [], [], 0
+            for full in batch.column(0).to_pylist():
+                try:
+                    with open(full, "rb") as handle:
+                        contents.append(handle.read())
+                except OSError:
+                    continue
+                paths.append(os.path.relpath(full, root).replace("\\", "/"))
+                size += len(contents[-1])
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+                    paths, contents, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+    return run
+
+
+def list_tree(spark: SparkSession, root: str, wanted: Wanted) -> DataFrame:
+    """``(path, size)`` of the wanted files under a folder, level by level."""
+    level, files = spark.createDataFrame([(root,)], "path string"), None
+    while level.head(1):
+        entries = writers.checkpointed(level.mapInArrow(_listed(wanted), "path string, size bigint"))
+        found = entries.where("size IS NOT NULL")
+        files = found if files is None else files.unionByName(found)
+        level = entries.where("size IS NULL").select("path").repartition(spark.sparkContext.defaultParallelism)
+    return files
 
 
 def read_tree(spark: SparkSession, path: str, extensions=None, skip_dirs=None, max_size: int | None = None,
-              exclude_patterns=None, partition_bytes: int | None = None) -> DataFrame:
+              exclude_patterns=None, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """``(path, content)`` text files of a directory tree (or of one file)."""
-    if not os.path.exists(path):
-        raise FileNotFoundError(f"Path not found: {os.path.abspath(path)}")
-    spark.dataSource.register(SourceTree)
-    reader = spark.read.format("source_tree")
-    lists = {"extensions": extensions, "skipDirs": skip_dirs, "exclude": exclude_patterns}
-    for key, values in lists.items():
-        if values:
-            reader = reader.option(key, json.dumps(sorted(values)))
-    if max_size is not None:
-        reader = reader.option("maxSize", max_size)
-    if partition_bytes is not None:
-        reader = reader.option("partitionBytes", partition_bytes)
-    raw = reader.load(os.path.abspath(path))
+    root = os.path.abspath(path)
+    if not os.path.exists(root):
+        raise FileNotFoundError(f"Path not found: {root}")
+    wanted = Wanted(frozenset(extensions or dims.SCAN_EXTENSIONS), frozenset(skip_dirs or dims.SKIP_DIRS),
+                    tuple(exclude_patterns or ()), dims.MAX_FILE_SIZE if max_size is None else max_size)
+    if os.path.isfile(root):
+        size = wanted.size(root)
+        files = spark.createDataFrame([] if size is None else [(root, size)], "path string, size bigint")
+        root = os.path.dirname(root)
+    else:
+        files = list_tree(spark, root, wanted)
+    n_files, n_bytes = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = max(1, min(n_files, -(-n_bytes // partition_bytes)))
+    raw = files.select("path").repartition(parts).mapInArrow(_contents(root), "path string, content binary")
     return raw.selectExpr("path", f"{text.decode('content')} AS content")
