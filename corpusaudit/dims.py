@@ -32,37 +32,48 @@ SKIP_DIRS = [
 
 MAX_FILE_SIZE = 1024 * 1024
 
-LANGUAGE_EXTENSIONS = {
-    "python": [".py"],
-    "javascript": [".js", ".jsx", ".mjs"],
-    "typescript": [".ts", ".tsx"],
-    "java": [".java"],
-    "c": [".c", ".h"],
-    "cpp": [".cpp", ".cc", ".cxx", ".hpp"],
-    "csharp": [".cs"],
-    "go": [".go"],
-    "rust": [".rs"],
-    "ruby": [".rb"],
-    "php": [".php"],
-    "swift": [".swift"],
-    "kotlin": [".kt"],
-    "scala": [".scala"],
-    "shell": [".sh", ".bash"],
-    "sql": [".sql"],
-    "html": [".html", ".htm"],
-    "css": [".css"],
-    "sass": [".scss"],
-    "less": [".less"],
-    "json": [".json"],
-    "yaml": [".yaml", ".yml"],
-    "xml": [".xml"],
-    "markdown": [".md"],
-    "toml": [".toml"],
-    "ini": [".ini", ".cfg"],
-    "r": [".r"],
-    "lua": [".lua"],
-    "perl": [".pl"],
-    "dart": [".dart"],
+EXTENSION_LANGUAGE = {
+    ".py": "python",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".mjs": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".java": "java",
+    ".c": "c",
+    ".h": "c",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".hpp": "cpp",
+    ".cs": "csharp",
+    ".go": "go",
+    ".rs": "rust",
+    ".rb": "ruby",
+    ".php": "php",
+    ".swift": "swift",
+    ".kt": "kotlin",
+    ".scala": "scala",
+    ".sh": "shell",
+    ".bash": "shell",
+    ".sql": "sql",
+    ".html": "html",
+    ".htm": "html",
+    ".css": "css",
+    ".scss": "sass",
+    ".less": "less",
+    ".json": "json",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".xml": "xml",
+    ".md": "markdown",
+    ".toml": "toml",
+    ".ini": "ini",
+    ".cfg": "ini",
+    ".r": "r",
+    ".lua": "lua",
+    ".pl": "perl",
+    ".dart": "dart",
 }
 
 LINE_COMMENT_LANGUAGES = {

@@ -60,7 +60,7 @@ def language(path: str) -> str:
 
 
 def language_of_extension(ext: str) -> str:
-    pairs = ", ".join(f"{lit(e)}, {lit(name)}" for name, exts in dims.LANGUAGE_EXTENSIONS.items() for e in exts)
+    pairs = ", ".join(f"{lit(e)}, {lit(name)}" for e, name in dims.EXTENSION_LANGUAGE.items())
     return f"coalesce(try_element_at(map({pairs}), {ext}), 'unknown')"
 
 

@@ -19,17 +19,42 @@ WS = "'" + "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range
 # --- corpus -----------------------------------------------------------------------------------
 
 LANGUAGES = {
-    "python": ".py", "javascript": ".js .jsx .mjs", "typescript": ".ts .tsx", "java": ".java", "c": ".c .h",
-    "cpp": ".cpp .cc .cxx .hpp", "csharp": ".cs", "go": ".go", "rust": ".rs", "ruby": ".rb", "php": ".php",
-    "swift": ".swift", "kotlin": ".kt", "scala": ".scala", "shell": ".sh .bash", "sql": ".sql", "html": ".html .htm",
-    "css": ".css", "sass": ".scss", "less": ".less", "json": ".json", "yaml": ".yaml .yml", "xml": ".xml",
-    "markdown": ".md", "toml": ".toml", "ini": ".ini .cfg", "r": ".r", "lua": ".lua", "perl": ".pl", "dart": ".dart",
+    "python": [".py"],
+    "javascript": [".js", ".jsx", ".mjs"],
+    "typescript": [".ts", ".tsx"],
+    "java": [".java"],
+    "c": [".c", ".h"],
+    "cpp": [".cpp", ".cc", ".cxx", ".hpp"],
+    "csharp": [".cs"],
+    "go": [".go"],
+    "rust": [".rs"],
+    "ruby": [".rb"],
+    "php": [".php"],
+    "swift": [".swift"],
+    "kotlin": [".kt"],
+    "scala": [".scala"],
+    "shell": [".sh", ".bash"],
+    "sql": [".sql"],
+    "html": [".html", ".htm"],
+    "css": [".css"],
+    "sass": [".scss"],
+    "less": [".less"],
+    "json": [".json"],
+    "yaml": [".yaml", ".yml"],
+    "xml": [".xml"],
+    "markdown": [".md"],
+    "toml": [".toml"],
+    "ini": [".ini", ".cfg"],
+    "r": [".r"],
+    "lua": [".lua"],
+    "perl": [".pl"],
+    "dart": [".dart"],
 }
 NOT_SCANNED = [".mjs", ".cxx"]
 LANGUAGE_CASE = "CASE " + " ".join(
-    f"WHEN ext IN ({', '.join(sql_text(e) for e in exts.split())}) THEN '{name}'" for name, exts in LANGUAGES.items()
+    f"WHEN ext IN ({', '.join(sql_text(e) for e in exts)}) THEN '{name}'" for name, exts in LANGUAGES.items()
 ) + " ELSE 'unknown' END"
-SCANNED = ", ".join(sql_text(e) for exts in LANGUAGES.values() for e in exts.split() if e not in NOT_SCANNED)
+SCANNED = ", ".join(sql_text(e) for exts in LANGUAGES.values() for e in exts if e not in NOT_SCANNED)
 
 RAW = f"""
 code AS ({code_sql()}),
