@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest of itself and its neighbours."""
     both = edges.select("u", "v").union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -22,18 +22,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node without any."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))))
+    seen = ends.groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
+    return not seen.where("out > 1 or out = 1 and least = 0").head(1)
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: pairs a, b of long node numbers. Returns node, root for every node of a link that isn't the smallest of its
     component; root is the smallest. No links: no rows.
 
-    Large and small stars by turns, until a turn changes nothing; the rounds grow with the logarithm of the longest chain.
+    Large and small stars by turns, until all edges lead to roots; the rounds grow with the logarithm of the longest chain.
     Minima are taken before rows are dealt out, and only joins bring a node's neighbours together, which Spark can split."""
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = stored(edges, "edges"), None
-    while True:
-        now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")), F.lit(0))).first()
-        if now == before or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while not _settled(edges):
         following = stored(_small_star(_large_star(edges)), "edges")
         discard(edges)
-        edges, before = following, now
+        edges = following
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

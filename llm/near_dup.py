@@ -5,10 +5,13 @@ slot at place j of its permutation; a slot keeps the least offer. A text's steps
 the next step's. With BANDS bands of BAND_SLOTS slots, two sets of similarity 0.8 share no band with probability 3e-6.
 
 Texts with the same set form one node. Within a bucket (equal band) no pairs are made: every node is compared with one head,
-the bucket's least node; what is linked becomes one component. Buckets that still hold several components are compared with
-other heads in the same way, and in the end all pairs of different components that share a bucket and weren't compared yet
-are. So each candidate pair is either compared or already in one component, and a large group of copies costs about one
-comparison for each member. Of sets, sizes and 64-bit shingle hashes decide.
+the node that shares the most places with others, which is close to what copies were made from; what is linked becomes one
+component. In buckets that still hold several components, up to SMALL nodes, the pairs of different components are compared.
+The larger ones are put together by their head: there the nodes outside the largest component are the queries, compared with
+all nodes in blocks. So each candidate pair is either compared or already in one component, and a large group of copies costs
+about one comparison for each member. Before texts of pairs are fetched, they must agree in size and in the lowest two bits of most slots: of 256 slots a pair
+of similarity 0.8 agrees in 218 on average, with a deviation of 6 at most, and ALIKE_SLOTS is more than six deviations below.
+Then the full sets of 64-bit shingle hashes decide.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ PERCENT = 80
 SLOTS = 256
 BAND_SLOTS = 6
 BANDS = SLOTS // BAND_SLOTS
-HEADS = 3
+#: Slots whose lowest two bits agree, at least; for a similarity of PERCENT in a hundred.
+ALIKE_SLOTS = 180
+SMALL = 50
+BLOCK = 1000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,7 +51,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept up to a fixed number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) >= 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -102,6 +108,12 @@ def bands_of(signatures: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def low_bits(signatures: np.ndarray) -> np.ndarray:
+    """The lowest bit of each slot in four numbers, then the next bit in four more."""
+    bits = np.stack([(signatures >> np.uint64(k)) & np.uint64(1) for k in (0, 1)], axis=1).astype(np.uint8)
+    return np.packbits(bits, axis=2).view(np.int64).reshape(len(signatures), -1)
+
+
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, of sorted distinct arrays."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -113,48 +125,59 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_a and set_b (hash of the set; null for an empty one), bands, of each row of docs."""
-    own = docs.select("doc_id", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """doc_id, text_key, n (size of the set), set_a and set_b (hash of the set; null for an empty one), bands, bits, of each
+    row of docs."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select("doc_id", F.md5(text).alias("text_key"), text.alias("text"))
     kind = dict(own.dtypes)["doc_id"]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text, words) for text in batch.column(2).to_pylist()]
             full = [k for k, members in enumerate(sets) if len(members)]
-            keys = np.zeros((len(sets), 2), np.int64)
+            keys, empty = np.zeros((len(sets), 2), np.int64), np.ones(len(sets), bool)
+            bands, bits = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), SLOTS // 32), np.int64)
             for k in full:
                 keys[k] = np.frombuffer(xxhash.xxh3_128_digest(sets[k].tobytes()), np.int64)
-            bands = np.zeros((len(sets), BANDS), np.int64)
             if full:
-                bands[full] = bands_of(np.stack([signature(sets[k]) for k in full]))
-            empty = np.ones(len(sets), bool)
-            empty[full] = False
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(members) for members in sets], pa.int64()), pa.array(keys[:, 0], mask=empty), pa.array(keys[:, 1], mask=empty),
-                                              pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands"])
+                signatures = np.stack([signature(sets[k]) for k in full])
+                bands[full], bits[full], empty[full] = bands_of(signatures), low_bits(signatures), False
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (bands, bits)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(members) for members in sets], pa.int64()), pa.array(keys[:, 0], mask=empty), pa.array(keys[:, 1], mask=empty), *lists],
+                                             ["doc_id", "text_key", "n", "set_a", "set_b", "bands", "bits"])
+
+    return own.mapInArrow(sketched, f"doc_id {kind}, text_key string, n bigint, set_a bigint, set_b bigint, bands array<bigint>, bits array<bigint>")
+
+
+def _possible(percent: int) -> Column:
+    """Whether a pair with n, bits and other_n, other_bits may be alike."""
+    half = SLOTS // 64
+    differing = " + ".join(f"bit_count((bits[{k}] ^ other_bits[{k}]) | (bits[{half + k}] ^ other_bits[{half + k}]))" for k in range(half))
+    least = ALIKE_SLOTS if percent >= PERCENT else 0  # signatures say less of lower similarities
+    return F.expr(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n) and {SLOTS} - ({differing}) >= {least}")
+
 
-    return own.mapInArrow(sketched, f"doc_id {kind}, text_key string, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
+def _other(table: DataFrame, *kept: str) -> DataFrame:
+    return table.select(*kept, *(F.col(c).alias(f"other_{c}") for c in table.columns if c not in kept))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs a, b whose sets are alike, with `linked`; all compared pairs come back."""
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs a, b whose sets are alike. texts: node, n, bits, text."""
+    with_a = pairs.join(texts.withColumnRenamed("node", "a"), "a")
+    others = _other(texts)
+    with_b = with_a.join(others, (with_a["b"] == others["other_node"]) & _possible(percent)).select("a", "b", "text", "other_text")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members = None, None
         for batch in batches:
             linked = []
-            for b, text_a, text_b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for b, text, other in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if b != at:
-                    at, members = b, shingle_set(text_b.as_py(), words)
-                linked.append(alike(shingle_set(text_a.as_py(), words), members, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+                    at, members = b, shingle_set(other.as_py(), words)
+                linked.append(alike(shingle_set(text.as_py(), words), members, percent))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    return with_b.mapInArrow(compared, "a bigint, b bigint, linked boolean")
-
-
-def _similar_size(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return with_b.mapInArrow(compared, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -165,64 +188,105 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     shingles, linked with nothing. Repeated rows have one set and so one component. Rows without doc_id link like others; if a
     component has no other rows its component_id is null. An empty table gives no rows."""
     rows = stored(sketches(docs, words), "sketches")
-    sets = rows.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_id"), F.min(F.xxhash64("text_key")).alias("one"))
-    nodes = stored(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
     same_set = ["set_a", "set_b"]
-    chosen = rows.select(*same_set, F.xxhash64("text_key").alias("one"), "text_key", "n_shingles", "bands").join(nodes, [*same_set, "one"])
-    members = stored(chosen.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct(), "members")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("node").alias("head")).where("rows > 1")
-    members = stored(members.join(shared, "bucket").select("bucket", "node", "n", "head"), "shared")
-    heads = members.where("node = head").select("head", F.col("n").alias("head_n")).distinct()
-    # texts of nodes that share a bucket, one row for each node
-    needed = members.select("node").distinct().join(nodes.select("node", *same_set, "one"), "node")
-    keys = rows.select(*same_set, F.xxhash64("text_key").alias("one"), "text_key").join(needed, [*same_set, "one"]).select("node", "text_key").distinct()
-    as_text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(as_text.alias("text"), F.md5(as_text).alias("text_key")).join(keys, "text_key").dropDuplicates(["text_key"]).select("node", "text")
-    texts = stored(texts, "texts")
-
-    first = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"), "n").distinct()
-    first = first.join(heads, first["b"] == heads["head"]).where(_similar_size(F.col("n"), F.col("head_n"), percent)).select("a", "b")
-    compared = stored(_verified(first, texts, words, percent), "compared")
-    roots = components(compared.where("linked").select("a", "b"))
-    for number in range(1, HEADS + 1):
-        split = _split_buckets(members, roots)
-        pairs = _with_other_heads(split, number, percent) if number < HEADS else _all_pairs(split, percent)
-        pairs = pairs.join(compared, ["a", "b"], "left_anti").join(compared.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        more = stored(_verified(pairs, texts, words, percent), "compared")
-        compared = compared.union(more)
-        links = more.where("linked").select("a", "b").union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(links)
-        discard(split)
-    for table in (members, texts):
-        discard(table)
+    of_set = F.min_by(F.struct("text_key", "n", "bands", "bits"), "text_key").alias("of")
+    nodes = rows.where("set_a is not null").groupBy(*same_set).agg(F.min("doc_id").alias("first_id"), of_set)
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), *same_set, "first_id", "of.*"), "nodes")
+    each = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = each.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
+    placed = stored(each.join(shared, "bucket").select("bucket", "node", "rows"), "placed")
+    places = placed.groupBy("node").agg(F.sum("rows").alias("places"))
+    heads = placed.join(places, "node").groupBy("bucket").agg(F.max_by("node", "places").alias("head"))
+    members = stored(placed.join(heads, "bucket").select("bucket", "node", "rows", "head"), "members")
+    discard(placed)
+
+    # the texts of nodes that share a bucket, one row for each
+    needed = nodes.join(members.select("node").distinct(), "node").select("node", "text_key", "n", "bits")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(text.alias("text"), F.md5(text).alias("text_key")).join(needed, "text_key").dropDuplicates(["text_key"])
+    texts = stored(texts.select("node", "n", "bits", "text"), "texts")
+
+    pairs = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    links = stored(_linked(pairs, texts, words, percent), "links")
+    roots = components(links)
+    split = _split_buckets(members, nodes, roots)
+    if split.head(1):
+        more = _linked(_all_pairs(split.where(f"rows <= {SMALL}"), percent), texts, words, percent)
+        more = stored(more.union(_linked_in_blocks(split.where(f"rows > {SMALL}"), texts, words, percent)), "links")
+        if more.head(1):
+            roots = components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    discard(split)
+    discard(members)
+    discard(texts)
 
     root = nodes.join(roots, "node", "left").select("node", *same_set, "first_id", F.coalesce("root", "node").alias("root"))
     least = root.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = root.join(least, "root").select("node", *same_set, "component_id")
-    found = rows.select("doc_id", "text_key", "n_shingles", *same_set).join(known, same_set, "left")
+    found = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), *same_set).join(known, same_set, "left")
     return found.select("doc_id", "text_key", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _split_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """bucket, node, n, root of the buckets whose nodes are of several components."""
-    with_root = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    several = with_root.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return stored(with_root.join(several.select("bucket"), "bucket"), "split")
-
-
-def _with_other_heads(split: DataFrame, number: int, percent: int) -> DataFrame:
-    """Each node with the bucket's head of this round, if that is of another component."""
-    rank = F.xxhash64("node", F.lit(number))
-    heads = split.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "root")).alias("head"))
-    pairs = split.join(heads, "bucket").where((F.col("root") != F.col("head.root")) & _similar_size(F.col("n"), F.col("head.n"), percent))
-    return pairs.select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+def _split_buckets(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, node, rows, head, root, n, bits of the buckets whose nodes are of several components."""
+    with_root = members.join(roots, "node", "left").select("bucket", "node", "rows", "head", F.coalesce("root", "node").alias("root"))
+    several = with_root.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    return stored(with_root.join(several, "bucket").join(nodes.select("node", "n", "bits"), "node"), "split")
 
 
 def _all_pairs(split: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that share a bucket."""
-    other = split.select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-    pairs = split.join(other, (split["bucket"] == other["bucket"]) & (F.col("node") > F.col("b")) & (F.col("root") != F.col("b_root")) & _similar_size(F.col("n"), F.col("b_n"), percent))
-    return pairs.select(F.col("node").alias("a"), "b").distinct()
+    split = split.select("bucket", "node", "root", "n", "bits")
+    others = _other(split, "bucket")
+    pairs = split.join(others, (split["bucket"] == others["bucket"]) & (F.col("node") > F.col("other_node")) & (F.col("root") != F.col("other_root")) & _possible(percent))
+    return pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
+
+
+def _linked_in_blocks(split: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links a, b of different components among the nodes of each head: of the nodes outside its largest component, the
+    queries, with all of its nodes. Blocks of queries meet blocks of nodes; each query gives one link for each other component."""
+    own = split.select("head", "node", "root").distinct()
+    sizes = own.groupBy("head", "root").agg(F.count("*").alias("rows"))
+    sizes = sizes.groupBy("head").agg(F.max_by("root", "rows").alias("main"), F.sum("rows").alias("all"), F.max("rows").alias("most"))
+    own = own.join(sizes, "head").where("most < all")
+    blocks, query_blocks = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
+    place = F.xxhash64("node")
+    block, query_block = F.pmod(place, blocks).cast("int"), F.pmod(place, query_blocks).cast("int")
+    nodes = own.select("head", "node", "root", F.lit(False).alias("query"), block.alias("block"), F.explode(F.sequence(F.lit(0), query_blocks - 1)).alias("query_block"))
+    queries = own.where("root <> main").select("head", "node", "root", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), query_block.alias("query_block"))
+    key = ["head", "block", "query_block"]
+    rows = nodes.unionByName(queries).join(texts.select("node", "text"), "node").select(*key, "query", "node", "root", "text")
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "query")
+
+    def links(own_nodes: list, queries: list) -> pa.RecordBatch:
+        found: list[tuple[int, int]] = []
+        if own_nodes and queries:
+            sizes = np.array([len(members) for _, _, members in own_nodes])
+            members = np.concatenate([members for _, _, members in own_nodes])
+            order = np.argsort(members, kind="stable")
+            members, owner = members[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+            roots = np.array([root for _, root, _ in own_nodes])
+            for node, root, query in queries:
+                low, high = np.searchsorted(members, query), np.searchsorted(members, query, side="right")
+                times = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                both = np.bincount(owner[at], minlength=len(sizes))
+                linked = np.flatnonzero((100 * both >= percent * (sizes + len(query) - both)) & (roots != root))
+                found += [(node, own_nodes[k][0]) for k in linked[np.unique(roots[linked], return_index=True)[1]].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own_nodes, queries = None, [], []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for k, text in enumerate(batch.column(6)):
+                here = tuple(column[k] for column in columns[:3])
+                if here != at:
+                    yield links(own_nodes, queries)
+                    at, own_nodes, queries = here, [], []
+                (queries if columns[3][k] else own_nodes).append((columns[4][k], columns[5][k], shingle_set(text.as_py(), words)))
+        yield links(own_nodes, queries)
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
