@@ -71,7 +71,7 @@ class WordIds:
     white-space separated words, in order. Such a word's pieces, as the tokenizer's own pattern splits it, are encoded by the
     library once and kept."""
 
-    ENTRIES = 350_000
+    ENTRIES = 250_000
     #: Fixed value: the tokenizer's pattern.
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
