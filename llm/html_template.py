@@ -4,10 +4,14 @@ Tokens of a page are its tags, each with the path of its ancestors, and its bloc
 host whose numbers of occurrences agree on every page form an equivalence class. Classes on at least half of the host's
 pages are parted where their tags stand inside tags of different classes, so that each lies in one other; thus nested, they
 are the host's template. A block of text with the vector of such a class is a constant of the template. What is
-left on a page are the slots, and its main text are those that belong to the article: inside the template's article (or the
-page's own, or, where neither names one, anywhere), and in no container of menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or reader comments. Constants count only outside an article: its text is kept whole even if
-all pages of the host share it. A page of which nothing but constants is left keeps them.
+left on a page are the slots. A step of a path is a tag with its class, id and role, without digits.
+
+The article's slot is found in the template (of LEAST_PAGES pages or more): from the outside in, the container of a class with
+one occurrence on a page that holds more than half of the slots' text, until the title stands beside it. An <article> or <main>
+with a quarter of the text goes before it, and is not entered further. The main text is what the page has in that slot, without
+its constants. Where the template shows no such slot, or the page lacks it, the tags decide: the page's article, or, without one,
+anything. Elements of menus, footers, sidebars, forms, scripts and styles never count. Containers whose names say so don't
+either. A page of which nothing but constants is left keeps them.
 
 A host's vectors are kept as a count and a sum of hashes, so that classes come from two aggregations and no page is beside
 another; a template has at most twice as many tokens as a page has on average.
@@ -19,7 +23,7 @@ import html as html_module
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
@@ -49,6 +53,10 @@ widget widgets footer header masthead comment comments commentlist disqus replie
 login signup search toolbar contentinfo complementary""".split())
 CLOSES_P = frozenset("""address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol
 p pre section table ul""".split())
+#: Names of reader comments, which may be longer than the article.
+READERS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Elements that a template's article slot can be.
+CONTAINERS = frozenset("html body div section article main table tbody tr td center".split())
 CLOSES_SAME = frozenset("li dt dd tr td th option".split())
 
 
@@ -58,32 +66,57 @@ class Open:
     path: str
     other: bool
     article: str | None
+    marks: tuple[str, ...]
 
 
-def _other(name: str, attributes: str, inside: str | None) -> bool:
-    """Whether an element holds no article text. Headers inside an article are its own."""
+def _other(name: str, attributes: str, inside: str | None) -> tuple[bool, list[str]]:
+    """Whether an element holds no article text by its tag or as it is hidden, and its class, id and role. Headers inside an
+    article are its own."""
     if name in OTHER or name == "header" and not inside:
-        return True
+        return True, []
+    names: set[str] = set()
     if not attributes or name in ("html", "body"):
-        return False
-    parts: set[str] = set()
+        return False, []
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
         if key in ("class", "id", "role"):
-            parts.update(NAME_PARTS.findall(value))
-    found = parts & OTHER_NAMES
-    if inside:
-        found -= {"header"}
+            names.update("-".join(NAME_PARTS.findall(one)) for one in value.split())
+    return False, sorted(names - {""})
+
+
+def _marked(name: str, names: list[str], inside: str | None) -> bool:
+    """Whether its names say that an element holds no article text."""
     if name in ARTICLE and not inside:
-        found = set()  # an article's own names may say that it has comments or adverts
-    return bool(found)
+        return False  # an article's own names may say that it has comments or adverts
+    found = {part for one in names for part in one.split("-")} & OTHER_NAMES
+    return bool(found - {"header"} if inside else found)
+
+
+def below(path: str, outer: str) -> bool:
+    return path == outer or path.startswith(outer + "/")
+
 
+def _step(path: str) -> tuple[str, list[str]]:
+    """Tag and names of a path's last step."""
+    name, *names = path.rpartition("/")[2].split(".")
+    return name, names
 
-def read(html: str) -> tuple[list[tuple[str, str, bool, str | None]], Counter]:
-    """Blocks of text as (path, text, inside another container, path of the article it is in), and the counts of tag paths."""
-    blocks, tags, stack = [], Counter(), [Open("", "", False, None)]
+
+def _readers(path: str) -> bool:
+    return not READERS.isdisjoint(_step(path)[1])
+
+
+def _plainly(path: str) -> bool:
+    """Whether a whole name, as in class="sidebar", not a part, as in class="has-sidebar", says that it holds no article text."""
+    return not OTHER_NAMES.isdisjoint(_step(path)[1])
+
+
+def read(html: str) -> tuple[list[tuple[str, str, bool, str | None, tuple[str, ...]]], Counter]:
+    """Blocks of text as (path, text, inside another container, path of the article it is in, paths of the containers around
+    it that names mark), and the counts of tag paths."""
+    blocks, tags, stack = [], Counter(), [Open("", "", False, None, ())]
     text: list[str] = []
 
     def flush() -> None:
@@ -92,11 +125,11 @@ def read(html: str) -> tuple[list[tuple[str, str, bool, str | None]], Counter]:
             if words:
                 top = stack[-1]
                 at = next((o for o in reversed(stack) if o.name not in INLINE), top)
-                blocks.append((at.path, words, top.other, top.article))
+                blocks.append((at.path, words, top.other, top.article, top.marks))
             text.clear()
 
     def close(to: int) -> None:
-        if any(o.name not in INLINE for o in stack[to:]) or any(o.other != stack[to - 1].other for o in stack[to:]):
+        if any(o.name not in INLINE for o in stack[to:]) or any((o.other, o.marks) != (stack[to - 1].other, stack[to - 1].marks) for o in stack[to:]):
             flush()
         del stack[to:]
 
@@ -131,10 +164,12 @@ def read(html: str) -> tuple[list[tuple[str, str, bool, str | None]], Counter]:
                 if open_name not in INLINE and open_name != "p" and open_name not in CLOSES_SAME:
                     break
         top = stack[-1]
-        other = top.other or _other(name, match.group(3), top.article)
-        if name not in INLINE or other != top.other:
+        own_other, names = _other(name, match.group(3), top.article)
+        other = top.other or own_other
+        path = f"{top.path}/{'.'.join((name, *names))}"
+        marks = (*top.marks, path) if _marked(name, names, top.article) else top.marks
+        if name not in INLINE or other != top.other or marks != top.marks:
             flush()
-        path = f"{top.path}/{name}"
         if name not in INLINE:
             tags[path] += 1
         if name in VOID or match.group(3).rstrip().endswith("/") and name in ("svg", "path"):
@@ -146,7 +181,7 @@ def read(html: str) -> tuple[list[tuple[str, str, bool, str | None]], Counter]:
             at = close_tag + 1 if end and close_tag >= 0 else size
             continue
         article = top.article or (path if name in ARTICLE else None)
-        stack.append(Open(name, path, other, article))
+        stack.append(Open(name, path, other, article, marks))
     flush()
     return blocks, tags
 
@@ -160,39 +195,104 @@ def host_of(url: Column) -> Column:
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
-    """host, path, token (0 for tags), count of each page's tokens, and page, a hash of its row."""
+    """host, path, token (0 for tags), count of each page's tokens, chars of text in them, and page, a hash of its row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                rows, paths, tokens, counts = [], [], [], []
+                rows, paths, tokens, counts, chars = [], [], [], [], []
                 for row, html in enumerate(batch.column(2).slice(start, 500), start):
                     blocks, tags = read(html.as_py())
                     found = Counter((path, token_of(path, text)) for path, text, *_ in blocks)
                     found.update({(path, 0): n for path, n in tags.items()})
+                    sizes: Counter = Counter()
+                    for path, text, other, *_ in blocks:
+                        if other:
+                            continue
+                        sizes[path, token_of(path, text)] += len(text)
+                        while path:
+                            sizes[path, 0] += len(text)
+                            path = path.rpartition("/")[0]
                     for (path, token), n in found.items():
                         rows.append(row)
                         paths.append(path)
                         tokens.append(token)
                         counts.append(n)
+                        chars.append(sizes[path, token])
                 at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(paths, pa.string()), pa.array(tokens, pa.int64()), pa.array(counts, pa.int64())], ["host", "page", "path", "token", "count"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(paths, pa.string()), pa.array(tokens, pa.int64()), pa.array(counts, pa.int64()), pa.array(chars, pa.int64())], ["host", "page", "path", "token", "count", "chars"])
 
-    return pages.select("host", "page", "html").mapInArrow(each, "host string, page bigint, path string, token bigint, count bigint")
+    return pages.select("host", "page", "html").mapInArrow(each, "host string, page bigint, path string, token bigint, count bigint, chars bigint")
 
 
 @dataclass(frozen=True)
 class Template:
-    """Tag paths with the number of their class and of the class around it (-1: none), and hashes of constant blocks."""
+    """Tag paths with the number of their class and of the class around it (-1: none), hashes of constant blocks, the path of
+    the article's slot (null: not found), and paths in it that count though their names say otherwise."""
 
     paths: list[str]
     classes: list[int]
     parents: list[int]
     constants: list[int]
+    slot: str | None = None
+    lifted: list[str] = field(default_factory=list)
+
+
+def _slot(tokens: list[dict], constants: set[int], class_at: dict[str, int], parents: list[int]) -> tuple[str | None, list[str]]:
+    """The container that holds the article on the host's pages, from the classes and the text that varies; and the containers
+    in it whose mark by name the template refutes."""
+    fixed = [t for t in tokens if t["token"] in constants]
+    tags = {t["path"]: t for t in tokens if not t["token"]}
+    chars = Counter({path: t["chars"] for path, t in tags.items()})
+    for t in fixed:
+        chars.subtract(dict.fromkeys(_outer(t["path"]), t["chars"]))
+
+    def above(path: str) -> str:
+        path = path.rpartition("/")[0]
+        while path and path not in tags:
+            path = path.rpartition("/")[0]
+        return path
+
+    #: classes of which a page has one occurrence, as have all classes around them
+    once: dict[int, bool] = {}
+    for path, number in class_at.items():
+        once.setdefault(number, tags[path]["n"] == tags[path]["pages"] and (parents[number] < 0 or once[parents[number]]))
+    single = {path: None for path in class_at if once[class_at[path]] and _step(path)[0] in CONTAINERS and chars[path] > 0}
+    inner: dict[str, list[str]] = {}
+    for path in class_at:
+        inner.setdefault(above(path), []).append(path)
+
+    def marked(path: str) -> bool:
+        return any(_marked(*_step(outer), None) for outer in _outer(path))
+
+    total = max((chars[path] for path in inner.get("", ())), default=0)
+    articles = [path for path in single if _step(path)[0] in ARTICLE and not any(_step(o)[0] in ARTICLE for o in _outer(path)[1:]) and not any(map(_readers, _outer(path)))]
+    plain = [path for path in articles if not marked(path)]
+    named = [path for path in plain or articles if 4 * chars[path] >= total]
+    at = max(named, key=lambda path: (chars[path], path)) if named else ""
+    while not named:
+        here = chars[at] if at else total
+        child = next((path for path in inner.get(at, ()) if path in single and 2 * chars[path] > here), None)
+        title = any(_step(path)[0] == "h1" and chars[path] > 0 for path in inner.get(at, ()))
+        if child is None or title or _plainly(child) or plain and not any(below(a, child) for a in plain) and marked(child):
+            break
+        at = child
+    if not at or _step(at)[0] in ("html", "body"):
+        return None, []
+    return at, []
+
+
+def _outer(path: str) -> list[str]:
+    """The path and those around it, from the inside."""
+    found = []
+    while path:
+        found.append(path)
+        path = path.rpartition("/")[0]
+    return found
 
 
 def deduce(tokens: list[dict], n_pages: int) -> Template:
-    """tokens: path, token, pages, vector of the tokens on at least half of a host's pages."""
+    """tokens: path, token, pages, vector, and n and chars (in all pages) of the tokens on at least half of a host's pages."""
     vectors = {t["path"]: (t["pages"], t["vector"]) for t in tokens if not t["token"]}
     class_at: dict[str, int] = {}
     numbers: dict[tuple, int] = {}
@@ -212,46 +312,50 @@ def deduce(tokens: list[dict], n_pages: int) -> Template:
         class_at[path] = numbers[key]
     shared = set(vectors.values())
     constants = sorted(t["token"] for t in tokens if t["token"] and (t["pages"], t["vector"]) in shared) if n_pages >= LEAST_PAGES else []
-    return Template(list(class_at), list(class_at.values()), [parents[c] for c in class_at.values()], constants)
+    slot, lifted = _slot(tokens, set(constants), class_at, parents) if n_pages >= LEAST_PAGES else (None, [])
+    return Template(list(class_at), list(class_at.values()), [parents[c] for c in class_at.values()], constants, slot, lifted)
 
 
-TEMPLATE = "paths array<string>, classes array<int>, parents array<int>, constants array<bigint>"
+TEMPLATE = "paths array<string>, classes array<int>, parents array<int>, constants array<bigint>, lifted array<string>, slot string"
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """pages: host, page, html. Returns a row for each host: host, n_pages, and the template's columns."""
     vector = F.sum(F.xxhash64("page", "count").cast("decimal(20,0)")).alias("vector")
-    tokens = _tokens(pages).groupBy("host", "path", "token").agg(F.count("*").alias("pages"), vector)
+    tokens = _tokens(pages).groupBy("host", "path", "token").agg(F.count("*").alias("pages"), vector, F.sum("count").alias("n"), F.sum("chars").alias("chars"))
     hosts = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
     often = tokens.join(hosts, "host").where(2 * F.col("pages") >= F.col("n_pages"))
-    listed = often.groupBy("host", "n_pages").agg(F.collect_list(F.struct("path", "token", "pages", F.col("vector").cast("string").alias("vector"))).alias("tokens"))
+    listed = often.groupBy("host", "n_pages").agg(F.collect_list(F.struct("path", "token", "pages", "n", "chars", F.col("vector").cast("string").alias("vector"))).alias("tokens"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [deduce(tokens, n) for n, tokens in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            lists = ((pa.string(), "paths"), (pa.int32(), "classes"), (pa.int32(), "parents"), (pa.int64(), "constants"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([getattr(t, name) for t in found], pa.list_(kind)) for kind, name in lists)], ["host", "n_pages", *(name for _, name in lists)])
+            lists = ((pa.string(), "paths"), (pa.int32(), "classes"), (pa.int32(), "parents"), (pa.int64(), "constants"), (pa.string(), "lifted"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([getattr(t, name) for t in found], pa.list_(kind)) for kind, name in lists), pa.array([t.slot for t in found], pa.string())],
+                                             ["host", "n_pages", *(name for _, name in lists), "slot"])
 
     return listed.mapInArrow(solve, f"host string, n_pages bigint, {TEMPLATE}")
 
 
-def main_blocks(html: str, paths: list[str], constants: set[int]) -> tuple[list[str], int]:
+def main_blocks(html: str, paths: list[str], constants: set[int], slot: str | None = None, lifted_inside: frozenset[str] = frozenset()) -> tuple[list[str], int]:
     """The main text's blocks in page order, and the number of the page's slots."""
     blocks, _ = read(html)
+    slots = sum(token_of(path, text) not in constants for path, text, *_ in blocks)
+    if slot and any(below(path, slot) and not other for path, _, other, *_ in blocks):
+        own = [(token_of(path, text) in constants, text) for path, text, other, _, marks in blocks
+               if below(path, slot) and not other and all(below(slot, mark) or mark in lifted_inside for mark in marks)]
+        if own:
+            return [text for constant, text in own if not constant] or [text for _, text in own], slots
+    blocks = [(path, text, other or bool(marks), article) for path, text, other, article, marks in blocks]
     own = {article for _, _, other, article in blocks if article and not other}
     region = next((p for p in paths if p in own), None) if own else None
-    slots, found, fixed = 0, [], []
+    found, fixed = [], []
     for path, text, other, article in blocks:
-        constant = token_of(path, text) in constants
-        slots += not constant
         if other or (own and not article):
             continue
-        if constant and not own:
-            fixed.append(text)
-            continue
-        if region and article != region and article.rpartition("/")[2] != region.rpartition("/")[2]:
+        if region and article != region and _step(article)[0] != _step(region)[0]:
             continue
-        found.append(text)
+        (fixed if token_of(path, text) in constants else found).append(text)
     return found or fixed, slots
 
 
@@ -268,14 +372,15 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, slots = [], []
-            last, constants, paths = None, set(), []
-            for html, own_paths, own_constants, host in zip(batch.column(2), batch.column(3), batch.column(4), batch.column(5), strict=True):
+            last, constants, paths, slot, lifted = None, set(), [], None, frozenset()
+            for html, own_paths, own_constants, own_slot, own_lifted, host in zip(*(batch.column(k) for k in range(2, 8)), strict=True):
                 if host != last:
-                    last, constants, paths = host, set(own_constants.as_py() or ()), own_paths.as_py() or []
-                blocks, n = main_blocks(html.as_py(), paths, constants)
+                    last, constants, paths, slot = host, set(own_constants.as_py() or ()), own_paths.as_py() or [], own_slot.as_py()
+                    lifted = frozenset(own_lifted.as_py() or ())
+                blocks, n = main_blocks(html.as_py(), paths, constants, slot, lifted)
                 texts.append("\n".join(blocks))
                 slots.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(slots, pa.int64())], ["page_id", "url", "text", "n_chars", "n_slots"])
 
-    joined = own.join(found, "host", "left").select("page_id", "url", "html", "paths", "constants", "host")
+    joined = own.join(found, "host", "left").select("page_id", "url", "html", "paths", "constants", "slot", "lifted", "host")
     return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint, n_slots bigint")

@@ -40,6 +40,19 @@ def test_an_article_shared_by_all_pages_stays(spark):
     assert {r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()} == {"The same text"}
 
 
+def texts_of(spark, pages):
+    rows = [(k, f"http://h.example/{k}", html) for k, html in enumerate(pages)]
+    return [r["text"] for r in sorted(html_template.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())]
+
+
+def test_template_finds_the_slot(spark):
+    teasers = "<html><body><div class='top'>Site</div><div class='story'><h1>{0}</h1><div class='text'><p>{1}</p><p>{2}</p></div></div><div class='more'><article>{3}</article><article>{4}</article></div></body></html>"
+    each = [[words(10 * k + j, n) for j, n in enumerate((4, 60, 50, 5, 6))] for k in range(6)]
+    assert texts_of(spark, [teasers.format(*w) for w in each]) == ["\n".join(w[:3]) for w in each]
+    fixed = "<html><body><div>{3}</div><article><h1>{0}</h1><p>Written by our staff</p><p>{1}</p></article></body></html>"
+    assert texts_of(spark, [fixed.format(*w) for w in each]) == ["\n".join(w[:2]) for w in each]
+
+
 def test_odd_pages(spark):
     schema = "page_id bigint, url string, html string, host string, page int, text string, paths string"
     rows = [(1, None, "<p>x</p>", "a", 1, "t", "p"), (1, None, "<p>x</p>", "a", 1, "t", "p"), (2, "nonsense", None, None, None, None, None), (None, "http://a/", "", None, None, None, None),
