@@ -11,7 +11,8 @@ one occurrence on a page that holds more than half of the slots' text, until the
 with a quarter of the text goes before it, and is not entered further. The main text is what the page has in that slot, without
 its constants. Where the template shows no such slot, or the page lacks it, the tags decide: the page's article, or, without one,
 anything. Elements of menus, footers, sidebars, forms, scripts and styles never count. Containers whose names say so don't
-either. A page of which nothing but constants is left keeps them.
+either, unless the template (in the slot) or the page (where no article is outside them) refutes it: they hold more than half of
+the slots' text (all of it, for a whole name as in class="sidebar"), or the page's one article; reader comments never count. A page of which nothing but constants is left keeps them.
 
 A host's vectors are kept as a count and a sum of hashes, so that classes come from two aggregations and no page is beside
 another; a template has at most twice as many tokens as a page has on average.
@@ -279,7 +280,7 @@ def _slot(tokens: list[dict], constants: set[int], class_at: dict[str, int], par
         at = child
     if not at or _step(at)[0] in ("html", "body"):
         return None, []
-    return at, []
+    return at, [path for path in class_at if path != at and below(path, at) and 2 * chars[path] > chars[at] and _marked(*_step(path), at) and not _plainly(path)]
 
 
 def _outer(path: str) -> list[str]:
@@ -337,16 +338,35 @@ def templates(pages: DataFrame) -> DataFrame:
     return listed.mapInArrow(solve, f"host string, n_pages bigint, {TEMPLATE}")
 
 
+def _lifted(blocks: list[tuple], tags: Counter, constants: set[int]) -> set[str]:
+    """The containers on a page whose mark by name the page itself refutes."""
+    if any(article and not other and not marks for _, _, other, article, marks in blocks):
+        return set()
+    held, articles, total = Counter(), {}, 0
+    for path, text, other, article, marks in blocks:
+        if other or token_of(path, text) in constants:
+            continue
+        total += len(text)
+        for mark in marks:
+            held[mark] += len(text)
+            if article and below(article, mark):
+                articles.setdefault(mark, set()).add(article)
+    ones = {mark for mark, found in articles.items() if len(found) == 1 and tags[next(iter(found))] == 1}
+    most = {mark for mark, size in held.items() if size == total or 2 * size > total and not _plainly(mark)}
+    return {mark for mark in most | ones if not any(map(_readers, _outer(mark)))}
+
+
 def main_blocks(html: str, paths: list[str], constants: set[int], slot: str | None = None, lifted_inside: frozenset[str] = frozenset()) -> tuple[list[str], int]:
     """The main text's blocks in page order, and the number of the page's slots."""
-    blocks, _ = read(html)
+    blocks, tags = read(html)
     slots = sum(token_of(path, text) not in constants for path, text, *_ in blocks)
     if slot and any(below(path, slot) and not other for path, _, other, *_ in blocks):
         own = [(token_of(path, text) in constants, text) for path, text, other, _, marks in blocks
                if below(path, slot) and not other and all(below(slot, mark) or mark in lifted_inside for mark in marks)]
         if own:
             return [text for constant, text in own if not constant] or [text for _, text in own], slots
-    blocks = [(path, text, other or bool(marks), article) for path, text, other, article, marks in blocks]
+    lifted = _lifted(blocks, tags, constants)
+    blocks = [(path, text, other or not lifted.issuperset(marks), article) for path, text, other, article, marks in blocks]
     own = {article for _, _, other, article in blocks if article and not other}
     region = next((p for p in paths if p in own), None) if own else None
     found, fixed = [], []

@@ -53,6 +53,23 @@ def test_template_finds_the_slot(spark):
     assert texts_of(spark, [fixed.format(*w) for w in each]) == ["\n".join(w[:2]) for w in each]
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-comments", "with-banner", "search-page", "related-work", "widget"])
+def test_names_around_an_article_do_not_drop_it(spark, name):
+    outer = f"<body><nav>Menu</nav><div class='{name}'><div id='{name}-2'><article><h1>Title</h1><p>{{}}</p><div class='ad'>Buy</div></article></div></div><div class='ad'>{{}}</div><p>&copy;</p></body>"
+    assert html_template.main_blocks(outer.format("Text", words(1, 50)), [], set())[0] == ["Title", "Text"]
+    plain = f"<body><nav>Menu</nav><div class='has-{name}'><p>{{}}</p><div class='ad'>Buy</div></div></body>"
+    assert html_template.main_blocks(plain.format("A longer text"), [], set())[0] == ["A longer text"]
+    inside = f"<body><article><h1>{{}}</h1><div class='has-{name}'><p>{{}}</p></div><div class='ad'>{{}}</div></article></body>"
+    each = [[words(10 * k + j, n) for j, n in enumerate((4, 60, 9))] for k in range(6)]
+    assert texts_of(spark, [inside.format(*w) for w in each]) == ["\n".join(w[:2]) for w in each]
+
+
+def test_longer_comments_and_sidebars_stay_out():
+    for name in ("comments", "sidebar"):
+        page = f"<body><div class='content'>Short</div><div class='{name}'><p>{words(1, 90)}</p></div></body>"
+        assert html_template.main_blocks(page, [], set())[0] == ["Short"]
+
+
 def test_odd_pages(spark):
     schema = "page_id bigint, url string, html string, host string, page int, text string, paths string"
     rows = [(1, None, "<p>x</p>", "a", 1, "t", "p"), (1, None, "<p>x</p>", "a", 1, "t", "p"), (2, "nonsense", None, None, None, None, None), (None, "http://a/", "", None, None, None, None),
