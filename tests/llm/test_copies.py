@@ -183,6 +183,33 @@ def test_overlaps_equal_brute_force(spark):
     assert found > 5 and not missed
 
 
+def most_equal_without_seed(n):
+    """The most words of n that can be equal where no mask fits."""
+    masks = [(m[-1] + 1, sum(1 << (m[-1] - p) for p in m)) for m in decontam.MASKS]
+    states = {(0, 0): 0}
+    for _ in range(n):
+        after = {}
+        for (length, last), equal in states.items():
+            for word in (0, 1):
+                key = (min(length + 1, 8), (last << 1 | word) & 255)
+                if not any(key[0] >= size and key[1] & mask == mask for size, mask in masks):
+                    after[key] = max(after.get(key, 0), equal + word)
+        states = after
+    return max(states.values())
+
+
+def test_every_contaminated_stretch_has_a_seed():
+    assert not [n for n in range(8, 121) if 100 * most_equal_without_seed(n) >= decontam.PERCENT * n]
+
+
+def test_every_fourth_word_substituted(spark):
+    bench = [(n, words(800 + n, n)) for n in (10, 11, 15)]
+    changed = [" ".join("other" if p % 4 == 3 else w for p, w in enumerate(text.split())) for _, text in bench]
+    docs = spark.createDataFrame([(n, f"before it {text} behind it") for (n, _), text in zip(bench, changed, strict=True)], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in decontam.report(docs, spark.createDataFrame(bench, "item_id int, text string")).collect()}
+    assert {k: (r["item_ids"], r["n_words"], r["kept"]) for k, r in got.items()} == {n: ([n], n, False) for n in (10, 11, 15)}
+
+
 def test_contaminated_odd_rows_go(spark, odd, none):
     bench = spark.createDataFrame([(1, words(1, 40)), (2, "One"), (None, None)], "item_id bigint, text string")
     kept = decontam.decontaminate(odd, bench)
