@@ -28,15 +28,15 @@ WORDS = 13
 PERCENT = 80
 #: Words on either side of a hit that belong to its cluster.
 REACH = 64
-#: Items of fewer words match by chance and are not looked for.
+#: Items of fewer words match by chance; they are looked for only if asked for, and then word for word.
 LEAST = 8
 FILTER_BITS = 1 << 24
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def seeds_of(words: np.ndarray, number: int) -> np.ndarray:
-    """The hash of each place where the mask fits."""
-    mask = MASKS[number]
+    """The hash of each place where the mask fits; from number len(MASKS) on, of each run of 1, 2, ... words."""
+    mask = MASKS[number] if number < len(MASKS) else range(number - len(MASKS) + 1)
     size = len(words) - mask[-1]
     if size <= 0:
         return np.zeros(0, np.uint64)
@@ -47,7 +47,12 @@ def seeds_of(words: np.ndarray, number: int) -> np.ndarray:
     return mixed(hashes)
 
 
-def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _numbers(n_words: int) -> list[int]:
+    """The kinds of seeds of an item: the masks, or, for a short one, the run of all its words."""
+    return list(range(len(MASKS))) if n_words >= LEAST else [len(MASKS) + n_words - 1] if n_words else []
+
+
+def _items(benchmark: DataFrame, short: bool) -> tuple[DataFrame, DataFrame]:
     """item (a number for each row), item_id, words (hashes); and seed, item, at."""
     own = benchmark.select(F.col("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = dict(own.dtypes)["item_id"]
@@ -57,13 +62,13 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
             words = [word_hashes().of(words_lower(text)) for text in batch.column(1).to_pylist()]
             seeds, places = [], []
             for own_words in words:
-                each = [seeds_of(own_words, n) for n in range(len(MASKS))]
+                each = [np.zeros(0, np.uint64), *(seeds_of(own_words, n) for n in _numbers(len(own_words)))]
                 seeds.append(np.concatenate(each).view(np.int64))
                 places.append(np.concatenate([np.arange(len(s)) for s in each]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in ([w.view(np.int64) for w in words], seeds, places))], ["item_id", "words", "seeds", "places"])
 
     made = own.mapInArrow(hashed, f"item_id {kind}, words array<bigint>, seeds array<bigint>, places array<bigint>")
-    items = stored(made.where(F.size("words") >= LEAST).withColumn("item", F.monotonically_increasing_id()), "items")
+    items = stored(made.where(F.size("words") >= (1 if short else LEAST)).withColumn("item", F.monotonically_increasing_id()), "items")
     each = items.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(F.col("s.seeds").alias("seed"), "item", F.col("s.places").alias("at"))
     return items.select("item", "item_id", "words"), each.distinct()
 
@@ -87,8 +92,8 @@ def _passes(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return at[((bits[high >> 3] >> (high & 7).astype(np.uint8)) & 1).astype(bool)]
 
 
-def _clusters(texts: DataFrame, bits: np.ndarray) -> DataFrame:
-    """texts: key, text. Returns key, words (hashes of the cluster), start (its first word), seeds, places (in the cluster)."""
+def _clusters(texts: DataFrame, bits: np.ndarray, numbers: list[int]) -> DataFrame:
+    """texts: key, text; numbers: kinds of seeds. Returns key, words (hashes of the cluster), start (its first word), seeds, places (in the cluster)."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +102,7 @@ def _clusters(texts: DataFrame, bits: np.ndarray) -> DataFrame:
             for row, text in enumerate(batch.column(1)):
                 own = word_hashes().of(words_lower(text.as_py()))
                 found = []
-                for number in range(len(MASKS)):
+                for number in numbers:
                     hashes = seeds_of(own, number)
                     at = _passes(hashes, shared.value)
                     found.append((at, hashes[at]))
@@ -143,7 +148,7 @@ def _compared(beside: DataFrame, words: int, percent: int) -> DataFrame:
                 if high <= low:
                     continue
                 first, last, equal = longest_alike(own[low:high] == item[low - shift : high - shift], percent)
-                if last - first >= min(words, len(item)):
+                if last - first >= min(words, len(item)) and (len(item) >= LEAST or equal == len(item)):
                     rows.append(row)
                     for column, value in zip(columns, (start + low + first, last - first, equal), strict=True):
                         column.append(value)
@@ -153,17 +158,20 @@ def _compared(beside: DataFrame, words: int, percent: int) -> DataFrame:
     return beside.mapInArrow(run, f"key string, item_id {kind}, first_word bigint, n_words bigint, n_equal bigint")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT, short: bool = False) -> DataFrame:
     """docs: text; benchmark: item_id, text; other columns are left aside. Returns key (MD5 of the text), item_id, first_word,
-    n_words, n_equal: stretches that contaminate, the longest for each offset of an item.
+    n_words, n_equal: stretches that contaminate, the longest for each offset of an item. short: items of 1 to LEAST - 1 words
+    count too, where a document holds them word for word.
 
     Words as in near-duplicates: A-Z as a-z, other white space than the six ASCII characters belongs to words. Null texts are
     empty: nothing overlaps. Repeated items and documents give their own rows; a null item_id stays null. Empty tables give
     no rows."""
-    items, seeds = _items(benchmark)
+    items, seeds = _items(benchmark, short)
     seeds = stored(seeds, "seeds")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    clusters = _clusters(docs.select(F.md5(text).alias("key"), text.alias("text")), _filter(seeds))
+    short_sizes = [r["n"] for r in items.select(F.size("words").alias("n")).where(F.col("n") < LEAST).distinct().collect()] if short else []
+    numbers = [*range(len(MASKS)), *(number for n in sorted(short_sizes) for number in _numbers(n))]
+    clusters = _clusters(docs.select(F.md5(text).alias("key"), text.alias("text")), _filter(seeds), numbers)
     clusters = stored(clusters.withColumn("cluster", F.monotonically_increasing_id()), "clusters")
     hits = clusters.select("cluster", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("cluster", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"))
     shifts = hits.join(seeds, "seed").select("cluster", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()

@@ -70,7 +70,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents overlap."""
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,6 +210,16 @@ def test_every_fourth_word_substituted(spark):
     assert {k: (r["item_ids"], r["n_words"], r["kept"]) for k, r in got.items()} == {n: ([n], n, False) for n in (10, 11, 15)}
 
 
+def test_short_items_are_found_word_for_word(spark):
+    bench = [(n, words(900 + n, n)) for n in range(1, 9)]
+    docs = [(n, f"{words(950, 90)} {text.upper()} {words(951, 90)}") for n, text in bench]
+    docs += [(20 + n, f"{words(950, 90)} {' '.join([*text.split()[:-1], 'other'])} {words(951, 90)}") for n, text in bench[:7]] + [(40, bench[2][1]), (41, None)]
+    frames = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([*bench, (60, ""), (61, None)], "item_id int, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["n_words"]) for r in decontam.report(*frames, short=True).collect()}
+    assert got == {n: ([n], n) for n in range(1, 9)} | {20 + n: ([], 0) for n in range(1, 8)} | {40: ([3], 3), 41: ([], 0)}
+    assert {r["doc_id"] for r in decontam.decontaminate(*frames, short=True).collect()} == {*range(21, 28), 41}
+
+
 def test_contaminated_odd_rows_go(spark, odd, none):
     bench = spark.createDataFrame([(1, words(1, 40)), (2, "One"), (None, None)], "item_id bigint, text string")
     kept = decontam.decontaminate(odd, bench)
