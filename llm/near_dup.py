@@ -33,6 +33,8 @@ PERCENT = 80
 SLOTS = 256
 BAND_SLOTS = 6
 BANDS = SLOTS // BAND_SLOTS
+#: Pairs exactly at the limit that share no band, if slots were independent, at most.
+MISSED = 3e-6
 #: Slots whose lowest two bits agree, at least; for a similarity of PERCENT in a hundred.
 ALIKE_SLOTS = 180
 SMALL = 50
@@ -99,11 +101,20 @@ def signature(members: np.ndarray) -> np.ndarray:
     return slots
 
 
-def bands_of(signatures: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of each row."""
-    parts = signatures[:, : BANDS * BAND_SLOTS].reshape(len(signatures), BANDS, BAND_SLOTS)
-    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2])
-    for k in range(BAND_SLOTS):
+def band_slots(percent: int) -> int:
+    """Slots of a band, BAND_SLOTS at most, so that pairs of a similarity of percent in a hundred share one."""
+    for size in range(BAND_SLOTS, 0, -1):
+        if (1 - (percent / 100) ** size) ** (SLOTS // size) <= MISSED:
+            return size
+    raise ValueError(f"signatures of {SLOTS} slots do not find pairs of {percent} %")
+
+
+def bands_of(signatures: np.ndarray, size: int = BAND_SLOTS) -> np.ndarray:
+    """One 64-bit key for each band of `size` slots of each row."""
+    bands = SLOTS // size
+    parts = signatures[:, : bands * size].reshape(len(signatures), bands, size)
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2])
+    for k in range(size):
         keys = mixed(keys * _GOLDEN + parts[:, :, k])
     return keys.view(np.int64)
 
@@ -124,7 +135,7 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
+def sketches(docs: DataFrame, words: int, size: int = BAND_SLOTS) -> DataFrame:
     """doc_id, text_key, n (size of the set), set_a and set_b (hash of the set; null for an empty one), bands, bits, of each
     row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -136,12 +147,12 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             sets = [shingle_set(text, words) for text in batch.column(2).to_pylist()]
             full = [k for k, members in enumerate(sets) if len(members)]
             keys, empty = np.zeros((len(sets), 2), np.int64), np.ones(len(sets), bool)
-            bands, bits = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), SLOTS // 32), np.int64)
+            bands, bits = np.zeros((len(sets), SLOTS // size), np.int64), np.zeros((len(sets), SLOTS // 32), np.int64)
             for k in full:
                 keys[k] = np.frombuffer(xxhash.xxh3_128_digest(sets[k].tobytes()), np.int64)
             if full:
                 signatures = np.stack([signature(sets[k]) for k in full])
-                bands[full], bits[full], empty[full] = bands_of(signatures), low_bits(signatures), False
+                bands[full], bits[full], empty[full] = bands_of(signatures, size), low_bits(signatures), False
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (bands, bits)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(members) for members in sets], pa.int64()), pa.array(keys[:, 0], mask=empty), pa.array(keys[:, 1], mask=empty), *lists],
                                              ["doc_id", "text_key", "n", "set_a", "set_b", "bands", "bits"])
@@ -186,8 +197,9 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
     Lower case of A-Z; words are runs of other than the six ASCII white-space characters. A null text is an empty one: no
     shingles, linked with nothing. Repeated rows have one set and so one component. Rows without doc_id link like others; if a
-    component has no other rows its component_id is null. An empty table gives no rows."""
-    rows = stored(sketches(docs, words), "sketches")
+    component has no other rows its component_id is null. An empty table gives no rows. A percent too low for signatures (under
+    5) is a ValueError."""
+    rows = stored(sketches(docs, words, band_slots(percent)), "sketches")
     same_set = ["set_a", "set_b"]
     of_set = F.min_by(F.struct("text_key", "n", "bands", "bits"), "text_key").alias("of")
     nodes = rows.where("set_a is not null").groupBy(*same_set).agg(F.min("doc_id").alias("first_id"), of_set)

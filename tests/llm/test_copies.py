@@ -122,6 +122,19 @@ def test_signatures_estimate_similarity():
         assert abs(total / trials - len(a & b) / len(a | b)) < 0.06
 
 
+def test_bands_fit_the_limit(spark):
+    assert [near_dup.band_slots(p) for p in (100, 80, 70, 60, 50)] == [6, 6, 4, 3, 2]
+    assert all((1 - (p / 100) ** near_dup.band_slots(p)) ** (near_dup.SLOTS // near_dup.band_slots(p)) <= 3e-6 for p in range(5, 101))
+    with pytest.raises(ValueError):
+        near_dup.band_slots(4)
+    rows = []
+    for k in range(60):  # pairs that share 40 of 80 words
+        own = [f"w{k}x{j}" for j in range(80)]
+        rows += [(2 * k, " ".join(own[:60])), (2 * k + 1, " ".join(own[20:]))]
+    got = near_dup.groups(spark.createDataFrame(rows, "doc_id int, text string"), words=1, percent=50).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k - k % 2 for k in range(120)}
+
+
 def test_odd_rows_are_grouped_and_kept_once(odd, none):
     found = near_dup.groups(odd).collect()
     assert len(found) == odd.count()
