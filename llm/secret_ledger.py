@@ -1,7 +1,7 @@
 """Secret scans over an incremental ledger of blobs. DataFrame functions only.
 
 Every version of a text is addressed by the SHA-256 of its content. The ledger, a Parquet table in which runs only ever add
-files, holds for each blob the rules (kind@version) that have been run on it and what they found, also when that is nothing.
+files, holds for each blob the rules (kind@version) that have been run on it and what each found, also when that is nothing.
 A scan takes one row of each blob that lacks a rule, runs the missing rules on it, adds the findings to the ledger, and joins
 the ledger back to all paths. A run that fails before its rows are committed leaves the ledger as it was.
 """
@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LEDGER_SCHEMA = "blob string, rules array<string>, findings array<struct<start:bigint,kind_no:int,kind:string,end:bigint>>"
+LEDGER_SCHEMA = "blob string, rules array<string>, findings array<struct<start:bigint,kind_no:int,kind:string,end:bigint,rule:string>>"
 
 
 @dataclass(frozen=True)
@@ -76,16 +76,16 @@ def find(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Offsets count code points, the end excluded."""
     found = [F.when(F.array_contains("pending", rule.key) & F.col("content").rlike(HINTS.get(rule.kind, rule.pattern)), _lengths(rule))
              for rule in rules]
-    kinds = F.array(*(F.struct(F.lit(no).alias("kind_no"), F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least"), own.alias("steps"))
+    kinds = F.array(*(F.struct(F.lit(no).alias("kind_no"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"), F.lit(rule.least).alias("least"), own.alias("steps"))
                       for no, (rule, own) in enumerate(zip(rules, found, strict=True))))
     steps = texts.select("blob", F.explode(kinds).alias("of")).select("blob", "of.*").where("steps is not null")
-    steps = steps.select("blob", "kind_no", "kind", "least", F.posexplode("steps").alias("no", "step"))
+    steps = steps.select("blob", "kind_no", "kind", "rule", "least", F.posexplode("steps").alias("no", "step"))
     steps = steps.dropDuplicates(["blob", "kind_no", "no"])  # where a path has the same text twice
     upto = Window.partitionBy("blob", "kind_no").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     ends = F.sum(F.col("step.gap") + F.col("step.match")).over(upto)
-    spans = steps.select("blob", "kind_no", "kind", (ends - F.col("step.match")).alias("start"), ends.alias("end"),
+    spans = steps.select("blob", "kind_no", "kind", "rule", (ends - F.col("step.match")).alias("start"), ends.alias("end"),
                          ((F.col("step.match") > 0) & (F.col("step.part") >= F.col("least"))).alias("counts")).where("counts")
-    return spans.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", "kind", "end"))).alias("findings"))
+    return spans.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", "kind", "end", "rule"))).alias("findings"))
 
 
 def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, paths: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -103,9 +103,15 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     unseen = one.join(seen, "blob", "left").select("blob", "row", pending.alias("pending")).where(F.size("pending") > 0)
     texts = own.select("blob", F.xxhash64("path").alias("row"), "content").join(unseen, ["blob", "row"])
     found = find(texts, rules)
-    entries = unseen.join(found, "blob", "left").select("blob", F.col("pending").alias("rules"), F.coalesce("findings", F.array().cast("array<struct<start:bigint,kind_no:int,kind:string,end:bigint>>")).alias("findings"))
+    entries = unseen.join(found, "blob", "left").select("blob", F.col("pending").alias("rules"), F.coalesce("findings", F.array().cast("array<struct<start:bigint,kind_no:int,kind:string,end:bigint,rule:string>>")).alias("findings"))
     entries.write.mode("append").parquet(ledger)
-    wanted = F.filter("findings", lambda f: F.array_contains(F.array(*(F.lit(rule.kind) for rule in rules)), f["kind"]))
+
+    def rule_of(finding: Column) -> Column:
+        """Ledgers of before have no rule with a finding: it is the row's of that kind."""
+        return F.coalesce(finding["rule"], F.get(F.filter("rules", lambda key: F.regexp_replace(key, "@[^@]*$", "") == finding["kind"]), F.lit(0)))
+
+    of_rules = F.filter("findings", lambda f: F.array_contains(keys, rule_of(f)))
+    wanted = F.transform(of_rules, lambda f: F.struct(*(f[c].alias(c) for c in ("start", "kind_no", "kind", "end"))))
     known = read_ledger(spark, ledger).where(F.arrays_overlap("rules", keys)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(wanted))).alias("findings"))
     return own.select("path.*", "blob").join(known, "blob")
 

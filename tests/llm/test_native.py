@@ -45,6 +45,24 @@ def test_ledger_scans_only_what_is_missing(spark):
     assert entries.sparkSession.read.schema(secret_ledger.LEDGER_SCHEMA).parquet(ledger).where(F.array_contains("rules", "hex@2")).count() == 3
 
 
+def test_raised_version_in_a_full_set_replaces_the_old_findings(spark):
+    ledger = fresh_path(spark, "ledger")
+    frame = spark.createDataFrame([("a", "token=abcdefgh " + "0a" * 12), ("b", "deadbeef")], "path string, content string")
+
+    def found(rules):
+        return {r["path"]: [(f["kind"], f["start"], f["end"]) for f in r["findings"]] for r in secret_ledger.scan(frame, ledger, rules).collect()}
+
+    old = {"a": [("assign", 0, 14), ("hex", 15, 39)], "b": []}
+    assert found(secret_ledger.RULES) == old
+    newer = tuple(secret_ledger.Rule("hex", "[0-9a-f]{12}", 8, version=2) if rule.kind == "hex" else rule for rule in secret_ledger.RULES)
+    assert found(newer) == {"a": [("assign", 0, 14), ("hex", 15, 27), ("hex", 27, 39)], "b": []}
+    assert found(secret_ledger.RULES) == old
+    before = secret_ledger.LEDGER_SCHEMA.replace(",rule:string", "")
+    earlier, ledger = secret_ledger.read_ledger(spark, ledger), fresh_path(spark, "ledger")
+    spark.read.schema(before).json(earlier.toJSON()).write.parquet(ledger)  # as written without the rule of each finding
+    assert found(newer)["a"] == [("assign", 0, 14), ("hex", 15, 27), ("hex", 27, 39)] and found(secret_ledger.RULES) == old
+
+
 def test_secrets_of_odd_rows(spark, odd, none):
     own = odd.withColumn("content", F.col("text"))
     found = secret_ledger.scan(own, fresh_path(spark, "ledger"), paths=("doc_id",)).collect()
