@@ -2,7 +2,8 @@
 
 Signature: every shingle has a random permutation of the slots and, for step j, a value in [j, j + 1) that it offers to the
 slot at place j of its permutation; a slot keeps the least offer. A text's steps end as soon as every slot has an offer below
-the next step's. With BANDS bands of BAND_SLOTS slots, two sets of similarity 0.8 share no band with probability 3e-6.
+the next step's. With BANDS bands of BAND_SLOTS slots, two sets of similarity 0.8 share no band with probability 3e-6 if slots are
+independent. Those of very small sets are not: sets of 4 and 5 shared none in 13 of 123,500 trials (1e-4).
 
 Texts with the same set form one node. Within a bucket (equal band) no pairs are made: every node is compared with one head,
 the node that shares the most places with others, which is close to what copies were made from; what is linked becomes one
