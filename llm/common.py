@@ -63,18 +63,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def positions(df: DataFrame, order: Sequence[Column], groups: Sequence[str] = (), name: str = "position") -> DataFrame:
+def positions(df: DataFrame, order: Sequence[Column], groups: Sequence[str] = (), name: str = "position", total: str | None = None) -> DataFrame:
     """Adds each row's 0-based place in the given order, within its group if groups are given, without bringing a group
     into one task: rows are dealt out in ranges of groups and order, stored with the range's number, numbered within each
-    range, and moved by the number of the group's rows in the ranges before. Ties fall in any order."""
+    range, and moved by the number of the group's rows in the ranges before. Ties fall in any order. total: the name of a
+    further column with the number of the group's rows."""
     group_columns = [F.col(g) for g in groups]
     part = f"{name}_range"
     dealt = df.repartitionByRange(partitions(df.sparkSession), *group_columns, *order).withColumn(part, F.spark_partition_id())
     dealt = stored(dealt, name)
     counts = dealt.groupBy(part, *groups).agg(F.count("*").alias(f"{name}_rows"))
     before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(part, *groups, F.coalesce(F.sum(f"{name}_rows").over(before), F.lit(0)).alias(f"{name}_before"))
+    sums = {f"{name}_before": F.coalesce(F.sum(f"{name}_rows").over(before), F.lit(0))}
+    if total:
+        sums[total] = F.sum(f"{name}_rows").over(Window.partitionBy(*groups))
+    offsets = counts.select(part, *groups, *(value.alias(column) for column, value in sums.items()))
     within = Window.partitionBy(part, *groups).orderBy(*order)
     numbered = dealt.withColumn(name, F.row_number().over(within) - 1)
     on = [numbered[part] == offsets[part], *(numbered[g].eqNullSafe(offsets[g]) for g in groups)]
-    return numbered.join(offsets, on).select(*(numbered[c] for c in df.columns), (numbered[name] + offsets[f"{name}_before"]).alias(name))
+    return numbered.join(offsets, on).select(*(numbered[c] for c in df.columns), (numbered[name] + offsets[f"{name}_before"]).alias(name), *([offsets[total]] if total else []))
