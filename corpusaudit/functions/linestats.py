@@ -7,17 +7,9 @@ from corpusaudit.functions import text
 from corpusaudit.functions.patterns import compile_pattern
 
 # --- fixed values: definition patterns per language -------------------------------------------
-# The java, csharp, c and cpp patterns are written so that the JVM matcher needs no recursion and no
-# rescans: one modifier or blank before the type instead of a repeated group, and a word start where
-# a word run begins. Counts are the same, because a match is determined by its parenthesis.
-
 FUNCTION_PATTERNS = {
     "javascript": r"\bfunction\s+\w+|=>\s*[{(]",
     "typescript": r"\bfunction\s+\w+|=>\s*[{(]",
-    "java": r"(?:public|private|protected|static|\s)[\w<>\[\]]+\s+\w+\s*\([^)]*\)\s*\{",
-    "c": r"(?<![\w\*])[\w\*]+\s+\w+\s*\([^)]*\)\s*\{",
-    "cpp": r"(?<![\w\*:])[\w\*:]+::\w+\s*\([^)]*\)|(?<![\w\*])[\w\*]+\s+\w+\s*\([^)]*\)\s*\{",
-    "csharp": r"(?:public|private|protected|static|\s)[\w<>\[\]]+\s+\w+\s*\([^)]*\)",
     "go": r"func\s+\w+",
     "rust": r"fn\s+\w+",
     "ruby": r"def\s+\w+",
@@ -25,12 +17,26 @@ FUNCTION_PATTERNS = {
     "swift": r"func\s+\w+",
     "kotlin": r"fun\s+\w+",
     "scala": r"def\s+\w+",
-    "shell": r"^\s*\w+\s*\(\s*\)\s*\{",
+    # one line's blanks are enough before the name: what comes before them on other lines changes no match
+    "shell": r"^[^\S\n]*\w+\s*\(\s*\)\s*\{",
     "lua": r"function\s+\w+",
     "perl": r"sub\s+\w+",
     "dart": r"(?:void|int|String|bool|double|dynamic|Future|Stream)\s+\w+\s*\(",
 }
 
+# C-like headers end with a closing parenthesis: "closed", or one with "{" behind it: "opened". What stands between two closing
+# parentheses is the place of one header at most, so each such piece is looked at once, for the pattern up to the opening one.
+# A header begins where a run of its first characters begins (for java and csharp behind white space, or where the run holds a
+# modifier and more), so that no run is read twice.
+_TYPED = (r"(?:(?<=\s)|(?<![\w<>\[\]])(?=[\w<>\[\]]*?(?:public|private|protected|static)[\w<>\[\]]))"
+          r"[\w<>\[\]]+\s+\w+\s*\(")
+HEADER_PATTERNS = {
+    "java": {"opened": _TYPED},
+    "c": {"opened": r"(?<![\w\*])[\w\*]+\s+\w+\s*\("},
+    "cpp": {"closed": r"(?<![\w\*:])[\w\*:]+::\w+\s*\(", "opened": r"(?<![\w\*])[\w\*]+\s+\w+\s*\("},
+    "csharp": {"closed": _TYPED},
+}
+
 CLASS_PATTERNS = {
     "javascript": r"\bclass\s+\w+",
     "typescript": r"\bclass\s+\w+",
@@ -81,17 +87,30 @@ def line_classes(language: str, content: str) -> str:
             f"ELSE {fold('a.state', f'coalesce(startswith(l, {prefix}), false)')} END")
 
 
-def _count(patterns: dict[str, str], language: str, content: str) -> str:
-    branches = " ".join(
-        f"WHEN '{name}' THEN regexp_count({body(content)}, {text.lit(compile_pattern(pattern, multiline=True))})"
-        for name, pattern in patterns.items())
-    return f"CASE {language} {branches} ELSE 0 END"
+def _count(patterns: dict[str, str], content: str) -> dict[str, str]:
+    return {name: f"regexp_count({body(content)}, {text.lit(compile_pattern(pattern, multiline=True))})"
+            for name, pattern in patterns.items()}
+
+
+def _count_headers(patterns: dict[str, str], content: str) -> str:
+    """A fold over the pieces between closing parentheses: what the last piece left open, and the headers so far."""
+    finds = {kind: f"s RLIKE {text.lit(compile_pattern(pattern))}" for kind, pattern in patterns.items()}
+    left = f"CASE WHEN NOT contains(s, '(') THEN 0 WHEN {finds.get('closed', 'false')} THEN 2 WHEN {finds.get('opened', 'false')} THEN 1 ELSE 0 END"
+    brace = text.lit(compile_pattern(r"^\s*\{"))
+    counted = f"a.n + CAST(a.left = 2 OR (a.left = 1 AND s RLIKE {brace}) AS INT)"
+    return f"aggregate(split({body(content)}, '[)]', -1), named_struct('n', 0, 'left', 0), (a, s) -> named_struct('n', {counted}, 'left', {left})).n"
+
+
+def _of_language(counts: dict[str, str], language: str) -> str:
+    return f"CASE {language} {' '.join(f'WHEN {text.lit(name)} THEN {count}' for name, count in counts.items())} ELSE 0 END"
 
 
 def count_functions(language: str, content: str) -> str:
     """Function headers of a non-Python file, by its language's pattern; 0 without one."""
-    return _count(FUNCTION_PATTERNS, language, content)
+    counts = _count(FUNCTION_PATTERNS, content)
+    counts |= {name: _count_headers(patterns, content) for name, patterns in HEADER_PATTERNS.items()}
+    return _of_language(counts, language)
 
 
 def count_classes(language: str, content: str) -> str:
-    return _count(CLASS_PATTERNS, language, content)
+    return _of_language(_count(CLASS_PATTERNS, content), language)

@@ -102,13 +102,18 @@ def test_first_match_and_cheap_tests_change_nothing(spark, corpus):
     assert got == want and len(want) > 300
 
 
+# The whole form of the patterns of C-like headers.
+HEADERS = {
+    "java": r"(?:public|private|protected|static|\s)+[\w<>\[\]]+\s+\w+\s*\([^)]*\)\s*\{",
+    "c": r"[\w\*]+\s+\w+\s*\([^)]*\)\s*\{",
+    "cpp": r"[\w\*:]+::\w+\s*\([^)]*\)|[\w\*]+\s+\w+\s*\([^)]*\)\s*\{",
+    "csharp": r"(?:public|private|protected|static|\s)+[\w<>\[\]]+\s+\w+\s*\([^)]*\)",
+}
+
+
 def test_definition_counts_equal_python(spark):
-    """Against the plain form of each pattern, with a repeated group and without word-start tests."""
-    plain = dict(linestats.FUNCTION_PATTERNS)
-    for name in ("java", "csharp"):
-        plain[name] = plain[name].replace(r"static|\s)", r"static|\s)+")
-    plain["c"] = plain["c"].replace(r"(?<![\w\*])", "")
-    plain["cpp"] = plain["cpp"].replace(r"(?<![\w\*:])", "").replace(r"(?<![\w\*])", "")
+    """Against the whole form of each pattern."""
+    plain = linestats.FUNCTION_PATTERNS | HEADERS | {"shell": r"^\s*\w+\s*\(\s*\)\s*\{"}
     pieces = ["public ", "private", "static ", "int", "List<x>", "foo", " ", "  ", "\n", "(", ")", "()", "{", " {", "a, b", "*", "Box::", "::",
               "function ", "=> {", "fn ", "def ", "func ", "sub ", "void ", "class ", "enum ", "\t", "]", "é"]
     texts = random_lines(3, 6000, pieces, 16)
@@ -124,6 +129,20 @@ def test_definition_counts_equal_python(spark):
     assert sum(r["n"] for r in got) > 500
 
 
+def test_a_hostile_text_of_a_mebibyte_is_counted_in_no_time(spark):
+    size = 1 << 20
+    hostile = ["f a(" * (size // 4), "f a(" * (size // 4) + ")", "f a()" * (size // 5), "f a(){" * (size // 6), ")" * size, " " * size, "\n" * size, "static" * (size // 6), "f" * size, "a::" * (size // 3),
+               "a::b(" * (size // 5), "f a" + " " * size + "(", "f" + " " * size, "* " * (size // 2), "static f a" * (size // 10), "x\n" * (size // 2), "f (\n" * (size // 4), "=>" + " " * size, "int " * (size // 4),
+               "f(" + ")" * size, "fn " * (size // 3), "class " * (size // 6), "<>" * (size // 2) + " x(", "public[" * (size // 7), "\t" * size + "f()", ":" * size]
+    frame = spark.createDataFrame([(line,) for line in hostile], "content string").repartition(4).cache()
+    frame.count()
+    for count, languages in ((linestats.count_functions, [*linestats.FUNCTION_PATTERNS, *linestats.HEADER_PATTERNS]), (linestats.count_classes, linestats.CLASS_PATTERNS)):
+        for name in languages:
+            began = time.monotonic()
+            frame.selectExpr(f"{count(text.lit(name), 'content')} AS n").agg(F.sum("n")).collect()
+            assert time.monotonic() - began < 2 * len(hostile) / 4, name
+
+
 def test_java_pattern_survives_long_runs(spark):
     long_text = " " * 300_000 + "static " * 20_000 + "int f() {}"
     frame = spark.createDataFrame([("java", long_text)], "language string, content string")
