@@ -11,6 +11,7 @@ and joined with the counts of the corpus, so that a pair that nearly all texts h
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
@@ -22,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import discard, stored
-from llm.tokens import BYTE_BPE, byte_letters, file_of
+from llm.common import stored
+from llm.tokens import BYTE_BPE, Kept, PrefixCounts, byte_letters, file_of
 
 PIECE_BPE = "piece_bpe_32k.model"
 #: A chunk ends behind the text with which it has so many links.
@@ -42,7 +43,8 @@ class Line(NamedTuple):
 
 
 class Tokens:
-    """A tokenizer's ids of texts, and the bytes of each id."""
+    """A tokenizer's ids of texts, and the bytes of each id. by_word: whether the ids of a text are those of its parts that
+    begin with white space behind something else, as no token reaches over such a place."""
 
     def __init__(self, name: str):
         self.pieces = name.endswith(".model")
@@ -53,6 +55,8 @@ class Tokens:
             written = [(k, model.id_to_piece(k)) for k in range(model.get_piece_size())]
             self.bytes = [bytes([int(piece[3:5], 16)]) if model.is_byte(k) else piece.replace("▁", " ").encode() for k, piece in written]
             self.encode = lambda texts: model.encode(texts, num_threads=1)
+            self.blank, plain = model.piece_to_id("▁"), [piece for k, piece in written if not model.is_byte(k)]
+            self.by_word = not any("\n" in piece or "▁" in piece.lstrip("▁") for piece in plain)
         else:
             from tokenizers import Tokenizer
 
@@ -62,11 +66,23 @@ class Tokens:
             self.bytes = [b""] * (max(vocabulary.values()) + 1)
             for token, k in vocabulary.items():
                 self.bytes[k] = bytes(map(letters.__getitem__, token)) if all(c in letters for c in token) else token.encode()
-            self.encode = lambda texts: [found.ids for found in model.encode_batch_fast([" " + text for text in texts], add_special_tokens=False)]
+            self.encode_as_is = lambda texts: [found.ids for found in model.encode_batch_fast(texts, add_special_tokens=False)]
+            self.encode = lambda texts: self.encode_as_is([" " + text for text in texts])
+            with open(file_of(name), encoding="utf-8") as file:
+                split = json.load(file)["pre_tokenizer"] or {}
+            self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True)
         self.sizes = np.array([len(x) for x in self.bytes], np.int64)
+        self.kind = np.dtype("<u2" if len(self.bytes) <= 1 << 16 else "<u4")
 
-    def joined(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words as they are inside a text: behind a blank, or beginning with a line end."""
+        if not self.pieces:
+            return self.encode_as_is([word if word[0] == "\n" else " " + word for word in words])
+        return [ids[1:] if word[0] == "\n" and ids[0] == self.blank else ids for word, ids in zip(words, self.encode(words), strict=True)]
+
+    def spelled(self, ids: list[int], text: bytes) -> bytes | None:
+        """The ids as numbers of `kind`; None if their tokens don't spell the text."""
+        return np.array(ids, self.kind).tobytes() if b"".join(map(self.bytes.__getitem__, ids)) == text else None
 
 
 @lru_cache(maxsize=4)
@@ -74,10 +90,55 @@ def tokens_of(name: str) -> Tokens:
     return Tokens(name)
 
 
-def line(lists: Sequence[Sequence[int]], sizes: np.ndarray) -> Line:
-    ids = np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
-    ends = np.cumsum(sizes[ids])
-    return Line(ids, ends - sizes[ids], ends, np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+class BothIds:
+    """Ids of texts by two tokenizers. Those of words are kept, at most ENTRIES of them in each worker."""
+
+    ENTRIES = 250_000
+
+    def __init__(self, a: Tokens, b: Tokens):
+        self.a, self.b, self.words = a, b, Kept(self.ENTRIES)
+
+    def _whole(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """By the two libraries; nothing where either spells another text."""
+        spelled = zip(texts, self.a.encode(texts), self.b.encode(texts), strict=True)
+        found = [(self.a.spelled(ids_a, want := (" " + text).encode()), self.b.spelled(ids_b, want)) for text, ids_a, ids_b in spelled]
+        return [pair if text and None not in pair else (b"", b"") for text, pair in zip(texts, found, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """For each text the ids of A and of B; none where the text is empty or either doesn't spell it."""
+        out: list = [None if text else (b"", b"") for text in texts]
+        lists = {}
+        if self.a.by_word and self.b.by_word:
+            lists = {k: text.replace("\n", " \n").split(" ") for k, text in enumerate(texts) if text and not PrefixCounts.IRREGULAR(text)}
+        new = list(dict.fromkeys(word for words in lists.values() for word in words if word not in self.words))
+        learnt = {}
+        for word, ids_a, ids_b in zip(new, *(x.encode_words(new) if new else [] for x in (self.a, self.b)), strict=True):
+            want = (word if word[0] == "\n" else " " + word).encode()
+            pair = self.a.spelled(ids_a, want), self.b.spelled(ids_b, want)
+            learnt[word] = pair if None not in pair else ()
+        for k, words in lists.items():
+            pairs = [learnt.get(word) if (known := self.words.get(word)) is None else known for word in words] if learnt else list(map(self.words.__getitem__, words))
+            if all(pairs):
+                out[k] = b"".join([pair[0] for pair in pairs]), b"".join([pair[1] for pair in pairs])
+        for word, pair in learnt.items():
+            self.words.put(word, pair)
+        rest = [k for k, pair in enumerate(out) if pair is None]
+        for k, pair in zip(rest, self._whole([texts[k] for k in rest]) if rest else [], strict=True):
+            out[k] = pair
+        return out
+
+
+@lru_cache(maxsize=2)
+def both_ids(name_a: str, name_b: str) -> BothIds:
+    return BothIds(tokens_of(name_a), tokens_of(name_b))
+
+
+def line(runs: Sequence[bytes], tokens: Tokens) -> Line:
+    """runs: for each text its ids as numbers of the tokenizer's kind."""
+    ids = np.frombuffer(b"".join(runs), tokens.kind).astype(np.int64)
+    sizes = tokens.sizes[ids]
+    ends = np.cumsum(sizes)
+    return Line(ids, ends - sizes, ends, np.repeat(np.arange(len(runs)), [len(run) // tokens.kind.itemsize for run in runs]))
 
 
 def coalesce(a: Line, b: Line) -> tuple[np.ndarray, np.ndarray]:
@@ -132,14 +193,10 @@ class Aligned(NamedTuple):
     link_b: np.ndarray
 
 
-def align_texts(texts: Sequence[str], a: Tokens, b: Tokens, links: str = "ends") -> Aligned:
+def align_texts(texts: Sequence[str], ids: BothIds, links: str = "ends") -> Aligned:
     """links: "ends", pairs of tokens that end together, or "overlaps", all that share a byte."""
-    lists_a, lists_b = a.encode(list(texts)), b.encode(list(texts))
-    for k, text in enumerate(texts):
-        want = (" " + text).encode()
-        if not text or a.joined(lists_a[k]) != want or b.joined(lists_b[k]) != want:
-            lists_a[k], lists_b[k] = [], []
-    of_a, of_b = line(lists_a, a.sizes), line(lists_b, b.sizes)
+    runs = ids.encode(list(texts))
+    of_a, of_b = line([run for run, _ in runs], ids.a), line([run for _, run in runs], ids.b)
     link_a, link_b = overlaps(of_a, of_b)
     if links == "ends":
         together = of_a.ends[link_a] == of_b.ends[link_b]
@@ -170,8 +227,8 @@ def chunks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, links: str) -> D
     kind = dict(own.dtypes)["doc_id"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = tokens_of(tokenizer_a), tokens_of(tokenizer_b)
-        writer = writer_of(len(a.bytes), len(b.bytes))
+        encoder = both_ids(tokenizer_a, tokenizer_b)
+        writer = writer_of(len(encoder.a.bytes), len(encoder.b.bytes))
         waiting, keys, number = [], [], TaskContext.get().partitionId() << 32
 
         def put() -> pa.RecordBatch:
@@ -190,7 +247,7 @@ def chunks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, links: str) -> D
             texts = batch.column(1).to_pylist()
             for part in _bounded(texts):
                 own_texts, n = texts[part], part.stop - part.start
-                got = align_texts(own_texts, a, b, links)
+                got = align_texts(own_texts, encoder, links)
                 written = writer.texts(got.a, got.b, got.groups_a, got.groups_b, n)
                 starts = np.append(True, got.groups_a[1:] != got.groups_a[:-1])[: len(got.groups_a)]
                 sizes = [np.bincount(x, minlength=n) for x in (got.a.texts, got.b.texts, got.a.texts[starts], got.a.texts[got.link_a])]

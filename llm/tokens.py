@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import regex
 
@@ -173,7 +174,10 @@ class PrefixCounts:
             self.ranks[a << 20 | b] = rank
             if self.made_at[made] < 0:
                 self.made_at[made], self.left[made], self.right[made] = rank, a, b
-        self.longest = max(map(len, self.tokens))
+        self.entries = ahocorasick.Automaton()
+        for entry, token in self.tokens.items():
+            self.entries.add_word(entry.decode("latin-1"), (token, len(entry)))
+        self.entries.make_automaton()
         self.beside, self.rows, self.parts, self.first = (Kept(self.ENTRIES) for _ in range(4))
 
     def fits(self, left: int, right: int) -> bool:
@@ -196,24 +200,25 @@ class PrefixCounts:
                 right_until, right = made_at[right], self.left[right]
 
     def byte_row(self, piece: bytes) -> list[int]:
-        """The count of every prefix of a piece, from 0 bytes on. Every entry of the vocabulary is what its bytes merge to."""
-        size, tokens, beside, longest = len(piece), self.tokens, self.beside, self.longest
-        last, counts = [-1] * (size + 1), [0] * (size + 1)
-        for end in range(1, size + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = tokens.get(piece[start:end])
-                if token is None:
+        """The count of every prefix of a piece, from 0 bytes on. Every entry of the vocabulary is what its bytes merge to.
+
+        The automaton gives at each byte the entries that end there, by its suffix links, longest first."""
+        size, beside = len(piece), self.beside
+        last, counts, done = [-1] * (size + 1), [0] * (size + 1), -1
+        for at, (token, length) in self.entries.iter(piece.decode("latin-1")):
+            if at == done:
+                continue
+            start = at + 1 - length
+            if start:
+                pair = last[start] << 20 | token
+                if (fit := beside.get(pair)) is None:
+                    fit = beside.put(pair, self.fits(last[start], token))
+                if not fit:
                     continue
-                if start:
-                    pair = last[start] << 20 | token
-                    if (fit := beside.get(pair)) is None:
-                        fit = beside.put(pair, self.fits(last[start], token))
-                    if not fit:
-                        continue
-                last[end], counts[end] = token, counts[start] + 1
-                break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+            done = at
+            last[at + 1], counts[at + 1] = token, counts[start] + 1
+        if -1 in last[1:]:
+            raise ValueError("the vocabulary lacks a byte")
         return counts
 
     def row(self, piece: str) -> bytes | tuple[int, ...]:

@@ -58,8 +58,7 @@ def test_alignment_equals_token_by_token(spark, monkeypatch, most):
 
 
 def test_overlaps_expand_within_groups():
-    a, b = alignment.tokens_of(alignment.BYTE_BPE), alignment.tokens_of(alignment.PIECE_BPE)
-    got = alignment.align_texts(["unbelievable 日本語 hello", "", "don't"], a, b, links="overlaps")
+    got = alignment.align_texts(["unbelievable 日本語 hello", "", "don't"], alignment.both_ids(alignment.BYTE_BPE, alignment.PIECE_BPE), links="overlaps")
     expected = [(i, j) for i in range(len(got.a.ids)) for j in range(len(got.b.ids)) if got.a.starts[i] < got.b.ends[j] and got.b.starts[j] < got.a.ends[i]]
     assert list(zip(got.link_a.tolist(), got.link_b.tolist(), strict=True)) == expected
     assert (got.groups_a[got.link_a] == got.groups_b[got.link_b]).all()
@@ -67,6 +66,21 @@ def test_overlaps_expand_within_groups():
     assert set(np.unique(got.groups_a)) == set(np.unique(got.groups_b)) and len(np.unique(got.groups_a)) == len(np.intersect1d(bounds, np.append(0, got.b.ends))) - 1
 
 
+def test_ids_by_word_equal_the_libraries():
+    rng = random.Random(11)
+    pieces = ["the", "hello", "\n", "é", "日本語", "🙂", "<s>", "<0x41>", "<|endoftext|>", "\t", "\xa0", "123", "45", "!!!", "don't", "'ll", "unbelievable", "\x00", "▁", ".", ",", "\x85", "\u2003", "\x1c", "a\tb", "\nx"]
+    texts = [rng.choice([" ", " ", " ", "\n", "  "]).join(rng.choice(pieces) + rng.choice(["", "", ".", "s"]) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    ids = alignment.BothIds(alignment.tokens_of(alignment.BYTE_BPE), alignment.tokens_of(alignment.PIECE_BPE))
+    assert ids.a.by_word and ids.b.by_word
+    ids.words.most = 500
+    regular = 0
+    for start in range(0, 3000, 100):
+        own = texts[start : start + 100]
+        assert ids.encode(own) == ids._whole(own)
+        regular += sum(not alignment.PrefixCounts.IRREGULAR(text) for text in own)
+    assert regular > 300
+
+
 def test_alignment_of_odd_rows(odd, none):
     got = alignment.align(odd).collect()
     texts = {r["doc_id"]: r["text"] for r in odd.collect() if r["doc_id"] is not None}
