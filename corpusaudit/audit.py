@@ -9,26 +9,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusaudit.operators import catalogue, custom, duplicates
+from corpusaudit.operators.duplicates import TOP_GROUPS
 from corpusaudit.plans import debt, detect, reports, rollups
 from corpusaudit.sinks import writers
 from corpusaudit.sources import filters, tree
 
+#: Rows of a result that one nested document may hold.
+DOCUMENT_ROWS = 500_000
+
 
 @dataclass(frozen=True)
 class Audit:
-    """A corpus and the lazy tables that an audit gives for it."""
+    """A corpus and the lazy tables that an audit gives for it.
+
+    What is asked of the duplicate blocks comes from one stored pass over the text, made at the first such question.
+    """
 
     files: DataFrame
     issues: DataFrame
     profile: DataFrame
-    duplicates: DataFrame
-    duplicate_count: DataFrame
+    blocks: duplicates.Blocks
     rules: DataFrame
     min_severity: str = "info"
     min_lines: int = duplicates.MIN_LINES
     line_rules: tuple = ()
     file_rules: tuple = ()
     target: str = ""
+    stored_duplicates: DataFrame | None = None
+
+    @property
+    def duplicates(self) -> DataFrame:
+        return self.blocks.corpus_groups() if self.stored_duplicates is None else self.stored_duplicates
+
+    @property
+    def duplicate_count(self) -> DataFrame:
+        """One row: the number of duplicate blocks (of a corpus of one file too, which the debt totals leave out)."""
+        if self.stored_duplicates is None:
+            return duplicates.count_groups(self.files, self.min_lines, check_files=False)
+        return self.stored_duplicates.agg(F.count("*").alias("duplicate_blocks"))
 
     # roll-ups
     def by_severity(self) -> DataFrame:
@@ -58,14 +76,14 @@ class Audit:
     def file_stats(self) -> DataFrame:
         return rollups.file_statistics(self.profile)
 
-    def top_duplicates(self, limit: int = duplicates.TOP_GROUPS) -> DataFrame:
+    def top_duplicates(self, limit: int = TOP_GROUPS) -> DataFrame:
         """The most frequent duplicate blocks with their normalised lines."""
         return duplicates.ranked(duplicates.with_lines(self.files, duplicates.ranked(self.duplicates, limit)))
 
     def duplicate_places(self, limit: int | None = None) -> DataFrame:
         """Every place of all blocks, or of the ``limit`` most frequent ones."""
         chosen = self.duplicates if limit is None else duplicates.ranked(self.duplicates, limit)
-        return duplicates.occurrences(self.files, chosen, self.min_lines)
+        return self.blocks.occurrences(chosen)
 
     def listed_issues(self) -> DataFrame:
         """The issue list after the severity filter; counts and profiles stay unfiltered."""
@@ -85,8 +103,15 @@ class Audit:
         return self._stored(lambda name, table: writers.checkpointed(table))
 
     def write_tables(self, folder: str) -> Audit:
-        """Stores the result tables as Parquet; the audit that comes back reads them. Call again to refresh."""
-        return self._stored(lambda name, table: writers.write_table(table, folder, name))
+        """Stores the result tables as Parquet; the audit that comes back reads them. Call again to refresh.
+
+        Each call writes a new version, which ``writers.read_tables`` finds once all of it is there; who reads
+        an earlier one is not disturbed.
+        """
+        version = writers.Version(self.files.sparkSession, folder)
+        done = self._stored(version.write)
+        version.commit()
+        return done
 
     def _stored(self, store: Callable[[str, DataFrame], DataFrame]) -> Audit:
         """All rules look at the corpus once: issues and profiles come from the stored marks."""
@@ -97,9 +122,7 @@ class Audit:
             found = found.unionByName(detect.own_file_issues(self.files, whole))
         found = store("issues", found)
         by_file = store("profile", detect.profile_of(detect.statistics_of(marked), found))
-        blocks = store("duplicates", self.duplicates)
-        count = blocks.agg(F.count("*").alias("duplicate_blocks"))
-        return replace(self, issues=found, profile=by_file, duplicates=blocks, duplicate_count=count)
+        return replace(self, issues=found, profile=by_file, stored_duplicates=store("duplicates", self.duplicates))
 
     def write_json(self, folder: str, elapsed: float = 0.0) -> None:
         """The full report as one folder of JSON lines per part, from tables that are computed once."""
@@ -114,6 +137,25 @@ class Audit:
             "duplicate_places": done.duplicate_places(),
         }, folder)
 
+    def document(self, elapsed: float = 0.0, most: int = DOCUMENT_ROWS) -> DataFrame:
+        """The full report as one nested row, for results of at most ``most`` files, issues and duplicate places together;
+        larger ones are refused, as a row has to fit in one task (see ``write_json``)."""
+        done = self.checkpoint()
+        rows = sum(table.agg(count).first()[0] or 0 for table, count in (
+            (done.profile, F.count("*")), (done.listed_issues(), F.count("*")), (done.duplicates, F.sum("n_occ"))))
+        if rows > most:
+            raise ValueError(f"{rows} rows are too many for one document (at most {most}); write_json writes rows")
+        blocks = duplicates.with_lines(done.files, done.duplicates)
+        return writers.document(done.headline(elapsed), done.tech_debt(), {
+            "issues_by_severity": done.by_severity(), "issues_by_category": done.by_category(),
+            "issues_by_rule": done.by_rule(), "languages": done.languages(),
+        }, writers.full_files(done.profile), done.listed_issues(), blocks, done.duplicate_places())
+
+    def write_document(self, folder: str, elapsed: float = 0.0, most: int = DOCUMENT_ROWS) -> None:
+        """The nested report as one JSON object in one file."""
+        whole = self.document(elapsed, most)
+        whole.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).coalesce(1).write.mode("overwrite").text(folder)
+
     def write_issues_json(self, folder: str) -> None:
         """The short report: a three-figure summary and slim issue rows."""
         writers.write_json({"summary": self.headline().select("files_scanned", "total_issues", "quality_score"),
@@ -137,8 +179,7 @@ def audit(files: DataFrame, line_rules: Iterable[custom.LineRule] = (), file_rul
         profile = detect.profile_of(detect.file_statistics(files), issues)
     else:
         profile = detect.profile(files)
-    return Audit(files, issues, profile, duplicates.corpus_groups(files, min_lines),
-                 duplicates.count_groups(files, min_lines, check_files=False),
+    return Audit(files, issues, profile, duplicates.Blocks(files, min_lines),
                  catalogue.rules_catalogue(files.sparkSession, extra=entries), min_severity, min_lines,
                  tuple(line_rules), tuple(file_rules))
 

@@ -5,8 +5,8 @@
 
 The first line of a file also carries the file's own hits (as negative indexes into the file-hit
 array) and one mark 0 that says "this file was seen". So the same stream gives the issue list (mark
-<> 0) and, with one small aggregate per file, the file profile that also knows clean files. No text
-leaves the stage: what is shuffled later is one short row per issue or per file.
+<> 0) and, if it is stored, the file profile that also knows clean files. No text leaves the stage: what is
+shuffled later is one short row per issue. A profile by itself folds the findings in the file's row.
 """
 
 from __future__ import annotations
@@ -155,13 +155,35 @@ CATEGORY_COUNTS = {name: f"n_{name}" for name in dims.CATEGORIES}
 def profile(files: DataFrame) -> DataFrame:
     """One row per file, clean files included: statistics, issue counts by severity and category, risk score.
 
-    One scan and one shuffle of a short row per file: a file's marks lie together, so the map-side
-    aggregate has already folded them.
+    The findings of all lines are an array in the file's row and are folded there: one scan, no shuffle.
     """
-    kinds = catalogue.findings(files.sparkSession).select(
-        "code", "severity", "category", (F.col("weight") * F.col("confidence")).alias("score"))
-    marked = marks(files, statistics=True).join(F.broadcast(kinds), "code", "left")
-    return _per_file(marked, F.col("code") != 0)
+    rule_ids = list(RULES)
+    base = _with_statistics(_with_nodes(files))
+    hits = file_rules.file_hits(rule_ids, "language", "content", text.split_lines("content"), "nodes")
+    base = base.selectExpr("path", "content", *STATS, f"transform({hits}, h -> h.code) AS file_codes",
+                           f"{text.fold_case('content')} AS folded_content")
+    maybe = line_rules.candidates(rule_ids, "language", "content", "folded_content")
+    base = base.selectExpr("path", "content", *STATS, "file_codes", f"{maybe} AS maybe")
+    tests = [line_rules.code(RULES[r], rule_ids, "maybe", "l", text.fold_case("l")) for r in rule_ids if r in line_rules.LINE_RULES]
+    of_line = f"filter(array({', '.join(tests)}), c -> c IS NOT NULL)"
+    codes = f"concat(file_codes, flatten(transform({text.split_lines('content')}, l -> {of_line})))"
+    return base.selectExpr("path", *STATS, f"{codes} AS codes").selectExpr("path", *STATS, *_folds("codes"))
+
+
+def _folds(codes: str) -> list[str]:
+    """Issue counts and score of an array of finding codes, by the catalogue's own values."""
+    found = [(rule.code(variant), rule, f) for rule in RULES.values() for variant, f in enumerate(rule.findings, 1)]
+
+    def counted(name, wanted):
+        own = [str(code) for code, rule, finding in found if wanted(rule, finding)]
+        return f"size(filter({codes}, c -> c IN ({', '.join(own)}))) AS {name}" if own else f"0 AS {name}"
+
+    out = [f"size({codes}) AS issue_count"]
+    out += [counted(name, lambda rule, f, s=s: f.severity == s) for s, name in SEVERITY_COUNTS.items()]
+    out += [counted(name, lambda rule, f, k=k: rule.category == k) for k, name in CATEGORY_COUNTS.items()]
+    points = " ".join(f"WHEN {code} THEN {dims.SEVERITY_WEIGHT[f.severity]} * {rule.confidence}D" for code, rule, f in found)
+    out.append(f"round(aggregate({codes}, 0D, (a, c) -> a + CASE c {points} END), 6) AS score")
+    return [f"CAST({x.rpartition(' AS ')[0]} AS BIGINT) AS {x.rpartition(' AS ')[2]}" if not x.endswith("score") else x for x in out]
 
 
 def profile_of(statistics: DataFrame, issue_rows: DataFrame) -> DataFrame:
@@ -173,10 +195,6 @@ def profile_of(statistics: DataFrame, issue_rows: DataFrame) -> DataFrame:
     return joined.select("path", *STATS, *[F.coalesce("total" if n == "score" else n, F.lit(0)).alias(n) for n in names])
 
 
-def _per_file(marked: DataFrame, is_issue: Column) -> DataFrame:
-    return marked.groupBy("path", *STATS).agg(*_counts(is_issue))
-
-
 def _counts(is_issue: Column) -> list[Column]:
     out = [F.count_if(is_issue).alias("issue_count")]
     out += [F.count_if(F.col("severity") == s).alias(name) for s, name in SEVERITY_COUNTS.items()]

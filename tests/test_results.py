@@ -1,6 +1,7 @@
 """Statistics, duplicates, debt and reports on small corpora with known numbers, and brute-force comparisons."""
 
 import hashlib
+import json
 import random
 from collections import Counter
 
@@ -11,6 +12,7 @@ from corpusaudit import audit
 from corpusaudit.functions import linestats
 from corpusaudit.operators import duplicates
 from corpusaudit.plans import debt, detect, reports, rollups
+from corpusaudit.sinks import writers
 
 
 def python_classes(source):
@@ -193,6 +195,60 @@ def test_sinks(result, spark, tmp_path):
     assert set(spark.read.json(str(tmp_path / "slim/issues")).columns) == {"rule", "severity", "file", "line", "message"}
 
 
+def test_versions_outlive_a_refresh_and_a_failure(spark, corpus, tmp_path, monkeypatch):
+    folder = str(tmp_path / "tables")
+    with pytest.raises(FileNotFoundError):
+        writers.read_tables(spark, folder)
+    audit(corpus(FILES)).write_tables(folder)
+    old = writers.read_tables(spark, folder)["issues"]
+    write = writers.Version.write
+
+    def failing(self, name, table):
+        assert old.count() == 7 and writers.read_tables(spark, folder)["issues"].count() == 7  # during a refresh
+        if name == "profile":
+            raise RuntimeError("lost")
+        return write(self, name, table)
+
+    monkeypatch.setattr(writers.Version, "write", failing)
+    with pytest.raises(RuntimeError):
+        audit(corpus(FILES | {"more.py": "eval(x)"})).write_tables(folder)
+    assert old.count() == 7 and writers.read_tables(spark, folder)["issues"].count() == 7
+    monkeypatch.undo()
+    audit(corpus(FILES | {"more.py": "eval(x)"})).write_tables(folder)
+    assert old.count() == 7 and writers.read_tables(spark, folder)["issues"].count() == 8
+    assert [r["version"] for r in writers.versions(spark, folder).orderBy("version").collect()] == [1, 2]
+    assert writers.read_tables(spark, folder, version=1)["issues"].count() == 7
+
+
+def test_document_holds_what_the_rows_hold(spark, corpus, tmp_path):
+    repeated = "a = f(x)\nb = g(x)\nc = h(x)\nd = k(x)\ne = l(x)\n"
+    result = audit(corpus(FILES | {"r1.py": repeated + "eval(x)\n", "r2.py": "\n" + repeated})).checkpoint()
+    result.write_document(str(tmp_path / "doc"), elapsed=1.23456)
+    lines = [line for file in (tmp_path / "doc").glob("part-*") for line in file.read_text().splitlines()]
+    assert len(lines) == 1
+    doc = json.loads(lines[0])
+    assert list(doc) == ["target", "summary", "issues_by_severity", "issues_by_category", "issues_by_rule", "tech_debt", "languages", "files", "issues", "duplicates"]
+    head = result.headline().first()
+    assert doc["summary"] == {k: head[k] for k in ("files_scanned", "files_with_issues", "total_issues")} | {"scan_time_seconds": 1.235}
+    for name, table in (("severity", result.by_severity()), ("category", result.by_category()), ("rule", result.by_rule())):
+        assert doc[f"issues_by_{name}"] == {r[0]: r[1] for r in table.collect()}
+    assert doc["languages"] == {r[0]: r[1] for r in result.languages().collect()}
+    assert doc["tech_debt"] == result.tech_debt().first().asDict(True)
+    assert doc["files"] == {r["path"]: {k: v for k, v in r.asDict().items() if k != "path"} for r in writers.full_files(result.profile).collect()}
+    want = [r.asDict() for r in writers.full_issues(reports.sorted_by_file(result.issues)).collect()]
+    assert [(i["file"], i["rule_id"], i["line"]) for i in doc["issues"]] == [(i["file"], i["rule_id"], i["line"]) for i in want]
+    assert sorted(map(str, doc["issues"])) == sorted(map(str, want))
+    places = {}
+    for r in result.duplicate_places().collect():
+        places.setdefault(r["hash"], []).append({"path": r["path"], "line": r["start_line"]})
+    blocks = {r["hash"]: r for r in result.top_duplicates(10).collect()}
+    assert doc["duplicates"] and {d["hash"] for d in doc["duplicates"]} == set(blocks)
+    for d in doc["duplicates"]:
+        assert (d["lines"], d["line_count"]) == (blocks[d["hash"]]["lines"], 5) and d["occurrences"] == sorted(places[d["hash"]], key=lambda p: (p["path"], p["line"]))
+    with pytest.raises(ValueError):
+        result.document(most=3)
+
+
 def test_duplicate_debt_needs_two_files(corpus):
     repeated = "a\nb\nc\nd\ne\n" * 3
     assert audit(corpus({"a.py": repeated})).totals().first()["duplicate_blocks"] == 0

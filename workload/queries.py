@@ -6,8 +6,6 @@ The corpus is the code corpus plus the ``documents``, ``pages`` and ``conversati
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +14,7 @@ from corpusaudit import LineRule, FileRule, audit as run_audit, dims
 from corpusaudit.functions import linestats, text
 from corpusaudit.operators import catalogue, duplicates, pynodes
 from corpusaudit.plans import debt, detect, reports, rollups
-from corpusaudit.sinks import writers
+from corpusaudit.sinks import scratch, writers
 from corpusaudit.sources import filters, tables, tree
 from workload.code_corpus import code_files
 
@@ -83,21 +81,11 @@ def totals(spark, sf_dir, min_severity="info") -> DataFrame:
     return debt.totals(detect.profile(files), duplicates.count_groups(files, check_files=False), min_severity, check_files=True)
 
 
-def _scratch(spark) -> str:
-    """A new folder next to the cluster's checkpoints, or a temporary one in a local session without any."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if base:
-        return os.path.join(base, f"corpus-{uuid.uuid4().hex}")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="corpus-")
-
-
 # --- sources and filters ----------------------------------------------------------------------
 
 def src_files(spark, sf_dir):
     """Writes the code corpus as a tree of files on the shared mount, then reads the tree."""
-    root = _scratch(spark).removeprefix("file://")
+    root = scratch.fresh_path(spark, "corpus").removeprefix("file://")
 
     def write(batches):
         for batch in batches:
@@ -289,21 +277,21 @@ def dup_corpus(spark, sf_dir):
 
 def dup_stats(spark, sf_dir):
     """Over all groups, not only the first 20."""
-    files = corpus(spark, sf_dir)
-    found = writers.checkpointed(duplicates.groups(files))
-    return duplicates.statistics(found, duplicates.occurrences(files, found))
+    blocks = duplicates.Blocks(corpus(spark, sf_dir))
+    found = writers.checkpointed(blocks.groups())
+    return duplicates.statistics(found, blocks.occurrences(found))
 
 
 def dup_top_stats(spark, sf_dir):
     """Over the 20 most frequent blocks."""
-    files = corpus(spark, sf_dir)
-    top = writers.checkpointed(duplicates.ranked(duplicates.groups(files), duplicates.TOP_GROUPS))
-    return duplicates.statistics(top, duplicates.occurrences(files, top))
+    blocks = duplicates.Blocks(corpus(spark, sf_dir))
+    top = writers.checkpointed(duplicates.ranked(blocks.groups(), duplicates.TOP_GROUPS))
+    return duplicates.statistics(top, blocks.occurrences(top))
 
 
 def dup_occurrences(spark, sf_dir):
-    files = corpus(spark, sf_dir)
-    return duplicates.occurrences(files, writers.checkpointed(duplicates.groups(files)))
+    blocks = duplicates.Blocks(corpus(spark, sf_dir))
+    return blocks.occurrences(writers.checkpointed(blocks.groups()))
 
 
 # --- roll-ups ---------------------------------------------------------------------------------
@@ -422,7 +410,7 @@ FILE_FIELDS = ["language", "lines", "code_lines", "comment_lines", "blank_lines"
 
 def sink_json(spark, sf_dir):
     """The full report, written as JSON and read back: every part, as section, key and value."""
-    folder = _scratch(spark)
+    folder = scratch.fresh_path(spark, "corpus")
     run_audit(corpus(spark, sf_dir)).write_json(folder, elapsed=1.5)
 
     def part(name):
@@ -443,18 +431,16 @@ def sink_json(spark, sf_dir):
 
 def sink_issues_json(spark, sf_dir):
     rows = writers.slim_issues(issues(spark, sf_dir))
-    folder = _scratch(spark)
+    folder = scratch.fresh_path(spark, "corpus")
     writers.write_json({"issues": rows}, folder)
     return spark.read.schema(rows.schema).json(os.path.join(folder, "issues"))
 
 
 def sink_tables(spark, sf_dir):
     """Stores the audit's tables, and gives rows of each of them as section, key and value."""
-    folder = _scratch(spark)
+    folder = scratch.fresh_path(spark, "corpus")
     run_audit(corpus(spark, sf_dir)).write_tables(folder)
-
-    def part(name):
-        return spark.read.parquet(os.path.join(folder, name))
+    part = writers.read_tables(spark, folder).__getitem__
 
     return _together([
         _part(rollups.count_by_rule(part("issues")), "rule", ["rule"], ["issues"]),
