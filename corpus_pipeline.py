@@ -14,23 +14,33 @@ from llm.common import fresh_path, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and trees keep. A null or empty text has no words and is rejected; repeated rows are judged
+    alike; labels of documents that aren't there don't count; an empty table stays empty."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """On shingles of five words, at a similarity of 0.8."""
+    """On shingles of five words, at a similarity of 0.8: the row of the smallest doc_id of each group (one of rows that agree
+    in it), those without doc_id last. Rows without words, null texts among them, all stay; an empty table stays empty."""
     return near_dup.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short=True)
+    """Documents without a stretch of 13 words or more (or all of a shorter item) of which 80 in a hundred are a benchmark
+    item's, short items word for word. Null and empty texts and items overlap nothing; repeated rows go or stay together; an
+    empty benchmark keeps all."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source's documents none, one or two times, so that its words come near its target. A null source is a source;
+    documents without words come like others and add none; an empty table stays empty."""
     return mixing.mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, and a row for each document read back from them. A null or empty text is the end id alone; null doc_ids
+    come first; rows of one doc_id follow each other by text; an empty table gives no files and no rows."""
     manifest = token_files.write(docs, fresh_path(spark, "tokens"))
     return token_files.read(manifest, dict(docs.dtypes)["doc_id"]).drop("path")
 
