@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.common import stored
-from llm.tokens import BYTE_BPE, Kept, PrefixCounts, byte_letters, file_of
+from llm.tokens import BYTE_BPE, Kept, byte_letters, file_of, gaps
 
 PIECE_BPE = "piece_bpe_32k.model"
 #: A chunk ends behind the text with which it has so many links.
-CHUNK_LINKS = 200_000
+CHUNK_LINKS = 1 << 16
 #: Texts encoded at once, of so many code points together or one.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 
 class Line(NamedTuple):
@@ -55,7 +55,7 @@ class Tokens:
             written = [(k, model.id_to_piece(k)) for k in range(model.get_piece_size())]
             self.bytes = [bytes([int(piece[3:5], 16)]) if model.is_byte(k) else piece.replace("▁", " ").encode() for k, piece in written]
             self.encode = lambda texts: model.encode(texts, num_threads=1)
-            self.blank, plain = model.piece_to_id("▁"), [piece for k, piece in written if not model.is_byte(k)]
+            plain = [piece for k, piece in written if not model.is_byte(k)]
             self.by_word = not any("\n" in piece or "▁" in piece.lstrip("▁") for piece in plain)
         else:
             from tokenizers import Tokenizer
@@ -66,19 +66,27 @@ class Tokens:
             self.bytes = [b""] * (max(vocabulary.values()) + 1)
             for token, k in vocabulary.items():
                 self.bytes[k] = bytes(map(letters.__getitem__, token)) if all(c in letters for c in token) else token.encode()
-            self.encode_as_is = lambda texts: [found.ids for found in model.encode_batch_fast(texts, add_special_tokens=False)]
-            self.encode = lambda texts: self.encode_as_is([" " + text for text in texts])
+            self.encode = lambda texts: [found.ids for found in model.encode_batch_fast([" " + text for text in texts], add_special_tokens=False)]
             with open(file_of(name), encoding="utf-8") as file:
                 split = json.load(file)["pre_tokenizer"] or {}
             self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True)
         self.sizes = np.array([len(x) for x in self.bytes], np.int64)
         self.kind = np.dtype("<u2" if len(self.bytes) <= 1 << 16 else "<u4")
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words as they are inside a text: behind a blank, or beginning with a line end."""
-        if not self.pieces:
-            return self.encode_as_is([word if word[0] == "\n" else " " + word for word in words])
-        return [ids[1:] if word[0] == "\n" and ids[0] == self.blank else ids for word, ids in zip(words, self.encode(words), strict=True)]
+    def encode_parts(self, parts: list[bytes]) -> list[bytes] | None:
+        """Ids of parts that begin with white space (the first with a blank) and stand one behind the other, as numbers of
+        `kind`: they are encoded as one text, and cut where the parts end. None if the tokens don't spell the text."""
+        whole = b"".join(parts)
+        ids = self.encode([whole.decode()[1:]])[0]
+        if b"".join(map(self.bytes.__getitem__, ids)) != whole:
+            return None
+        numbers = np.array(ids, self.kind)
+        ends, cuts = np.cumsum(self.sizes[numbers]), np.cumsum([len(part) for part in parts])
+        at = np.searchsorted(ends, cuts)
+        if not np.array_equal(ends[at], cuts):
+            return None
+        raw, stops = numbers.tobytes(), ((at + 1) * self.kind.itemsize).tolist()
+        return [raw[start:stop] for start, stop in zip([0, *stops], stops, strict=False)]
 
     def spelled(self, ids: list[int], text: bytes) -> bytes | None:
         """The ids as numbers of `kind`; None if their tokens don't spell the text."""
@@ -91,9 +99,10 @@ def tokens_of(name: str) -> Tokens:
 
 
 class BothIds:
-    """Ids of texts by two tokenizers. Those of words are kept, at most ENTRIES of them in each worker."""
+    """Ids of texts by two tokenizers. Those of words, as they are inside a text (behind a blank, or beginning with a line end),
+    are kept, at most ENTRIES of them in each worker."""
 
-    ENTRIES = 250_000
+    ENTRIES = 150_000
 
     def __init__(self, a: Tokens, b: Tokens):
         self.a, self.b, self.words = a, b, Kept(self.ENTRIES)
@@ -107,21 +116,26 @@ class BothIds:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text the ids of A and of B; none where the text is empty or either doesn't spell it."""
         out: list = [None if text else (b"", b"") for text in texts]
-        lists = {}
+        lists, new = {}, {}
         if self.a.by_word and self.b.by_word:
-            lists = {k: text.replace("\n", " \n").split(" ") for k, text in enumerate(texts) if text and not PrefixCounts.IRREGULAR(text)}
-        new = list(dict.fromkeys(word for words in lists.values() for word in words if word not in self.words))
-        learnt = {}
-        for word, ids_a, ids_b in zip(new, *(x.encode_words(new) if new else [] for x in (self.a, self.b)), strict=True):
-            want = (word if word[0] == "\n" else " " + word).encode()
-            pair = self.a.spelled(ids_a, want), self.b.spelled(ids_b, want)
-            learnt[word] = pair if None not in pair else ()
-        for k, words in lists.items():
-            pairs = [learnt.get(word) if (known := self.words.get(word)) is None else known for word in words] if learnt else list(map(self.words.__getitem__, words))
-            if all(pairs):
-                out[k] = b"".join([pair[0] for pair in pairs]), b"".join([pair[1] for pair in pairs])
-        for word, pair in learnt.items():
-            self.words.put(word, pair)
+            for k, text in enumerate(texts):
+                if text and text.replace("\n", " ") == " ".join(text.split()):  # white space is single blanks and line ends inside
+                    words = text.replace("\n", " \n").split(" ")
+                    found = list(map(self.words.get, words))
+                    lists[k] = words, found, list(gaps(found)) if None in found else ()
+                    new.update((words[at], None) for at in lists[k][2])
+        parts = [b" a", *((word if word[0] == "\n" else " " + word).encode() for word in new)]  # a blank begins them
+        pairs = [x.encode_parts(parts) for x in (self.a, self.b)] if new else []
+        if None not in pairs:
+            new = dict(zip(new, list(zip(*pairs, strict=True))[1:], strict=True))
+            for words, found, missing in lists.values():
+                for at in missing:
+                    found[at] = new[words[at]]
+            for word, pair in new.items():
+                self.words.put(word, pair)
+        for k, (_, found, missing) in lists.items():
+            if None not in pairs or not missing:
+                out[k] = tuple(map(b"".join, zip(*found, strict=True)))
         rest = [k for k, pair in enumerate(out) if pair is None]
         for k, pair in zip(rest, self._whole([texts[k] for k in rest]) if rest else [], strict=True):
             out[k] = pair
@@ -216,10 +230,15 @@ def _bounded(texts: list[str]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-CHUNK = "chunk bigint, docs array<struct<doc_id:{kind},n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string>>, at array<int>, pairs array<bigint>, counts array<bigint>"
+CHUNK = "chunk bigint, docs array<struct<doc_id:{kind},n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string>>, at binary, pairs array<bigint>, counts array<bigint>"
 PAIR_BITS = 32
 
 
+def place_kind(n_pairs: int) -> np.dtype:
+    """How places among so many pairs are written."""
+    return np.dtype("<u2" if n_pairs <= 1 << 16 else "<u4")
+
+
 def chunks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, links: str) -> DataFrame:
     """A row for each chunk of texts: its documents, the place among the chunk's pairs of each link (document by document), the
     chunk's different pairs (id of A << 32 | id of B) and how often it has each."""
@@ -237,11 +256,12 @@ def chunks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, links: str) -> D
             ids = pa.concat_arrays([rows[0] for rows in waiting])
             columns = [ids, *(pa.array(np.concatenate([rows[k] for rows in waiting]), pa.int64()) for k in range(1, 5)), pa.array(list(chain.from_iterable(rows[5] for rows in waiting)), pa.string())]
             each = pa.StructArray.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
-            lists = [pa.LargeListArray.from_arrays([0, len(x)], x).cast(pa.list_(x.type)) for x in (each, *(pa.array(x, t) for x, t in ((at, pa.int32()), (pairs, pa.int64()), (counts, pa.int64()))))]
+            places = pa.array([at.astype(place_kind(len(pairs))).tobytes()], pa.binary())
+            lists = [pa.LargeListArray.from_arrays([0, len(x)], x).cast(pa.list_(x.type)) for x in (each, pa.array(pairs, pa.int64()), pa.array(counts, pa.int64()))]
             waiting.clear()
             keys.clear()
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), *lists], ["chunk", "docs", "at", "pairs", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), lists[0], places, *lists[1:]], ["chunk", "docs", "at", "pairs", "counts"])
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -280,15 +300,19 @@ def align(docs: DataFrame, tokenizer_a: str = BYTE_BPE, tokenizer_b: str = PIECE
     chunked = stored(chunks(docs, tokenizer_a, tokenizer_b, links), "chunks")
     counts = stored(pair_counts(chunked), "pair_counts")
     wanted = chunked.select("chunk", F.posexplode("pairs").alias("place", "pair"))
-    known = wanted.join(counts, "pair").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "n", "best"))).alias("known"))
+    known = wanted.join(counts, "pair").groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "best")).alias("known"))
     joined = chunked.select("chunk", "docs", "at").join(known, "chunk", "left")
     kind = dict(docs.dtypes)["doc_id"]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                each, at, known = batch.column("docs")[row].values, batch.column("at")[row].values.to_numpy(zero_copy_only=False), batch.column("known")[row].values
-                n, best = (known.field(name).to_numpy(zero_copy_only=False) for name in ("n", "best")) if known is not None else (np.zeros(0, np.int64),) * 2
+                each, known = batch.column("docs")[row].values, batch.column("known")[row].values
+                n = best = np.zeros(0, np.int64)
+                if known is not None:
+                    order = np.argsort(known.field("place").to_numpy())
+                    n, best = (known.field(name).to_numpy(zero_copy_only=False)[order] for name in ("n", "best"))
+                at = np.frombuffer(batch.column("at")[row].as_buffer(), place_kind(len(n)))
                 stops = np.cumsum(each.field("n_links").to_numpy(zero_copy_only=False))
                 sums = [np.diff(np.append(0, np.append(0, np.cumsum(x[at].astype(np.int64)))[stops])) for x in (best, n)]
                 yield pa.RecordBatch.from_arrays([*(each.field(k) for k in range(5)), *(pa.array(x, pa.int64()) for x in sums), each.field(5)],
