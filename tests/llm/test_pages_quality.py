@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -29,7 +30,7 @@ def test_classes_nest_and_constants_are_found(spark):
     got = {r["page_id"]: r["text"] for r in html_template.extract(frame).collect()}
     assert all(got[k] == words(k, 30) for k in range(6))
     assert got[9] == "Our site since 1999\nalone\nTerms apply"  # one page tells no template
-    tokens = [{"path": p, "token": 0, "pages": 4, "vector": v} for p, v in (("/html", "1"), ("/html/body", "1"), ("/html/body/div", "2"), ("/html/body/div/p", "3"), ("/html/body/p", "3"))]
+    tokens = [{"path": p, "above": p.rpartition("/")[0], "flags": 0, "token": 0, "pages": 4, "vector": v} for p, v in (("/html", "1"), ("/html/body", "1"), ("/html/body/div", "2"), ("/html/body/div/p", "3"), ("/html/body/p", "3"))]
     template = html_template.deduce(tokens, 4)
     assert template.paths == ["/html", "/html/body", "/html/body/div", "/html/body/p", "/html/body/div/p"]
     assert template.classes == [0, 0, 1, 2, 3] and template.parents == [-1, -1, 0, 0, 1]
@@ -79,6 +80,51 @@ def test_odd_pages(spark):
     assert html_template.extract(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("hidden", ["hidden", "aria-hidden='true'", 'style="color: red; display : none"', "HIDDEN=hidden class=x"])
+def test_hidden_elements_hold_no_text(spark, hidden):
+    page = f"<body><article><p>Seen {{}}</p><p {hidden}>Not <b>seen</b></p><div {hidden}><p>Nor this</p></div></article></body>"
+    assert html_template.main_blocks(page.format(1), [], set())[0] == ["Seen 1"]
+    assert texts_of(spark, [page.format(words(k, 20)) for k in range(6)]) == [f"Seen {words(k, 20)}" for k in range(6)]
+
+
+HOSTILE = {"open tags": "<a " * 350_000, "open quotes": '<a "' * 250_000, "mixed quotes": "<a '\"<b \"'" * 80_000, "names": "<a" * 500_000, "declarations": "<!x" * 300_000, "depth": "<div>" * 50_000 + "end",
+           "unknown ends": "<div>" * 50_000 + "</x>" * 50_000, "nested marks": "<div class=ad>" * 50_000 + "x", "inline": "<b>" * 50_000 + "x<hr>" * 50_000, "reach": "<p><object>" + "<b>" * 40_000 + "<p></p>" * 40_000,
+           "articles in marks": "<div class=ad><article>x</article>" * 20_000, "items": "<li><b>" * 50_000, "long class": "<div class='" + "ab " * 300_000 + "'>x", "blanks": "<a" + " " * 1_000_000 + "b"}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_no_time(name):
+    began = time.process_time()
+    html_template.main_blocks(HOSTILE[name], [], set())
+    tokens = list(html_template.page_tokens(HOSTILE[name]))
+    assert time.process_time() - began < 10 and all(len(path) < 1_000_000 for path, *_ in tokens)
+
+
+def test_no_text_is_lost_at_depth():
+    found, _ = html_template.main_blocks("<div>" * 3000 + "a" + "<p>b</p>" + "</div>" * 3000 + "c", [], set())
+    assert found == ["a", "b", "c"]
+
+
+def test_templates_equal_whole_vectors(spark, monkeypatch):
+    """Classes, constants and slots from the counts on every page themselves, instead of sums of hashes."""
+    rng = np.random.default_rng(2)
+    parts = ["<div class='menu'><a>Home</a><a>About</a></div>", "<div class='box'><p>Written by us</p><p>{0}</p></div>", "<div><h1>{1}</h1><div class='t'><p>{2}</p><p>{3}</p></div></div>", "<ul><li>{4}<li>{5}</ul>", "<p>Terms</p>"]
+    pages = ["<html><body>" + "".join(parts[k].format(*(words(int(rng.integers(10**6)), int(rng.integers(2, 40))) for _ in range(6))) for k in (*np.flatnonzero(rng.random(5) < 0.9),)) + "</body></html>" for _ in range(9)]
+    counts: dict = {}
+    for number, html in enumerate(pages):
+        for path, above, flags, token, n, chars in html_template.page_tokens(html):
+            row = counts.setdefault((path, token), {"path": path, "above": above, "flags": flags, "token": token, "vector": [0] * len(pages), "n": 0, "chars": 0})
+            row["vector"][number] += n
+            row["n"] += n
+            row["chars"] += chars
+    often = [row | {"pages": sum(map(bool, row["vector"])), "vector": tuple(row["vector"])} for row in counts.values() if 2 * sum(map(bool, row["vector"])) >= len(pages)]
+    want = html_template.deduce(often, len(pages))
+    frame = spark.createDataFrame([("h", k, html) for k, html in enumerate(pages)], "host string, page bigint, html string").repartition(3)
+    got = html_template.templates(frame).first()
+    assert len(want.paths) > 6 and want.constants and want.slot
+    assert all(got[c] == getattr(want, c) for c in ("paths", "classes", "parents", "constants", "lifted", "slot"))
+
+
 def brute_counts(text):
     own = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
