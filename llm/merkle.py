@@ -140,8 +140,11 @@ def manifest(docs: DataFrame, claimed_text: Column | None = None) -> Manifest:
     rows = docs.select("doc_id", "source", leaf(fields).alias("node"), *([leaf([*fields[:-1], claimed_text]).alias("claimed")] if claimed_text is not None else []))
     if claimed_text is not None:
         rows = rows.withColumn("claimed", F.when(F.col("claimed") != F.col("node"), F.col("claimed")))
+    rows = stored(rows, "leaves")  # so that texts are read and hashed once
     placed = positions(rows, [F.col("doc_id"), F.col("node")], ("source",), total="total")
     sources = build(placed, ("source",), ["doc_id", *rows.columns[3:]])
+    discard(rows)
+    discard(placed)
     subroots = positions(sources.roots.select("source", F.col("root").alias("node")), [F.col("source")], (), total="total")
     return Manifest(sources, build(subroots, (), ("source",)))
 
