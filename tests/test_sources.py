@@ -3,11 +3,12 @@
 import os
 import random
 
+import pyarrow.fs as pafs
 import pytest
 
 from corpusaudit import scan_path, scan_table
 from corpusaudit.functions import text
-from corpusaudit.sources import filters, tree
+from corpusaudit.sources import filters, tree, tree_source
 
 
 @pytest.fixture
@@ -48,6 +49,55 @@ def test_tree_options(spark, project):
         tree.read_tree(spark, project + "/missing")
 
 
+def test_trees_by_address_and_in_other_file_systems(spark, project):
+    def rows(path, **kw):
+        return sorted(map(tuple, tree.read_tree(spark, path, **kw).collect()))
+
+    want = rows(project)
+    assert rows(f"file://{project}") == want and rows(project + "/") == want
+    parent, name = os.path.split(project)
+    assert rows(f"/{name}", filesystem=pafs.SubTreeFileSystem(parent, pafs.LocalFileSystem())) == want
+    os.symlink(parent, f"{project}/pkg/loop")
+    assert rows(project) == want
+
+
+def test_data_source_gives_the_tree(spark, project):
+    frame = tree_source.scan(spark, project)
+    want = {r["path"]: r["content"] for r in tree.read_tree(spark, project).collect()}
+    assert {r["path"]: r["text"] for r in frame.selectExpr("path", f"{text.decode('content')} AS text").collect()} == want
+    assert {r["path"] for r in tree_source.scan(spark, project, planned=1).collect()} == set(want)
+    listed = tree_source.scan(spark, f"file://{project}", content=False, extensions=[".txt", ".js"], skip_dirs=["pkg"])
+    assert {(r["path"], r["size"]) for r in listed.collect()} == {("notes.txt", 1), ("node_modules/x/index.js", 1)}
+    sizes = {p: os.path.getsize(os.path.join(project, p)) for p in want}
+    for given, fits in (({"paths": ["pkg/_x.py", "none.py"]}, lambda p, n: p == "pkg/_x.py"), ({"starts": "pkg/", "ends": "x.py"}, lambda p, n: p == "pkg/_x.py"), ({"most": 0}, lambda p, n: not n),
+                        ({"least": 2, "most": 99, "ends": ("n.py", "m.py")}, lambda p, n: 2 <= n <= 99 and p.endswith(("n.py", "m.py"))), ({"paths": []}, lambda p, n: False), ({"starts": "p"}, lambda p, n: p[0] == "p")):
+        selected = tree_source.scan(spark, project, **given)
+        expected = {p for p, n in sizes.items() if fits(p, n)}
+        assert {r["path"] for r in selected.collect()} == expected, given
+        # a frame keeps its rows, whatever earlier queries on it asked for
+        assert selected.where("size >= 1000").count() == sum(sizes[p] >= 1000 for p in expected) and selected.count() == len(expected)
+    with pytest.raises(Exception, match="Folder not found"):
+        tree_source.scan(spark, project + "/missing").collect()
+
+
+def test_conditions_cut_the_listing(tmp_path):
+    for a in range(4):
+        for b in range(4):
+            (tmp_path / f"a{a}/b{b}/c").mkdir(parents=True)
+            (tmp_path / f"a{a}/b{b}/c/f.py").write_bytes(b"x" * (a * 4 + b))
+
+    def listed(planned=1000, **given):
+        reader = tree_source.TreeReader(str(tmp_path), tree.wanted_files(), tree_source.Selection(**given), False, planned)
+        rows = [row for part in reader.partitions() for batch in reader.read(part) for row in batch.column("path").to_pylist()]
+        return reader.listed, sorted(rows)
+
+    one = frozenset(["a1/b2/c/f.py"])
+    assert listed(paths=one) == listed(paths=one, planned=1) == (4, [*one])  # the root and one chain of folders
+    assert listed(starts="a1/b")[0] == 1 + 1 + 4 + 4
+    assert listed(paths=frozenset(["a0/b0/c/f.py", "a3/b3/c/f.py", "nowhere"])) == (7, ["a0/b0/c/f.py", "a3/b3/c/f.py"])
+    assert listed(least=14) == (1 + 4 + 16 + 16, ["a3/b2/c/f.py", "a3/b3/c/f.py"])
+
+
 def test_extension_equals_splitext(spark):
     rng = random.Random(7)
     paths = ["".join(rng.choice("ab./A_") for _ in range(rng.randint(1, 9))) for _ in range(3000)]

@@ -435,6 +435,7 @@ PY = "language = 'python'"
 
 ORACLES = {
     "src_files": q(f"SELECT path, md5(content) AS content_md5 FROM code JOIN files USING (path, content)"),
+    "src_tree_format": q("SELECT path, strlen(content)::BIGINT AS size, md5(content) AS content_md5 FROM code JOIN files USING (path, content) WHERE path LIKE 'src2/%' AND strlen(content) >= 40"),
     "src_table": q(f"SELECT path, strlen(content)::BIGINT AS n_bytes, ext, {LANGUAGE_CASE} AS language, md5(content) AS content_md5 FROM raw"),
     "filter_extension": q(f"SELECT path FROM raw WHERE ext IN ({SCANNED})"),
     "filter_skip_dirs": q("SELECT path FROM raw WHERE path NOT LIKE '%/node_modules/%' AND path NOT LIKE '%/.hidden/%'"),

@@ -15,7 +15,7 @@ from corpusaudit.functions import linestats, text
 from corpusaudit.operators import catalogue, duplicates, pynodes
 from corpusaudit.plans import debt, detect, reports, rollups
 from corpusaudit.sinks import scratch, writers
-from corpusaudit.sources import filters, tables, tree
+from corpusaudit.sources import filters, tables, tree, tree_source
 from workload.code_corpus import code_files
 
 EXCLUDED = ["src1/", "ts/5", "tests/"]
@@ -83,21 +83,32 @@ def totals(spark, sf_dir, min_severity="info") -> DataFrame:
 
 # --- sources and filters ----------------------------------------------------------------------
 
-def src_files(spark, sf_dir):
-    """Writes the code corpus as a tree of files on the shared mount, then reads the tree."""
-    root = scratch.fresh_path(spark, "corpus").removeprefix("file://")
+def _written_tree(spark, sf_dir) -> str:
+    """The code corpus as a tree of files in the shared folder."""
+    folder = scratch.fresh_path(spark, "corpus")
 
     def write(batches):
+        files, root = tree.opened(folder)
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                full = os.path.join(root, path)
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full, "w", encoding="utf-8", newline="") as handle:
-                    handle.write(content)
+                files.create_dir(os.path.dirname(f"{root}/{path}"))
+                with files.open_output_stream(f"{root}/{path}") as stream:
+                    stream.write(content.encode())
             yield batch[["path"]]
 
     code_files(spark, sf_dir).mapInPandas(write, "path string").count()
-    return tree.read_tree(spark, root).select("path", F.md5(F.col("content")).alias("content_md5"))
+    return folder
+
+
+def src_files(spark, sf_dir):
+    """Writes the code corpus as a tree of files, then reads the tree."""
+    return tree.read_tree(spark, _written_tree(spark, sf_dir)).select("path", F.md5(F.col("content")).alias("content_md5"))
+
+
+def src_tree_format(spark, sf_dir):
+    """One folder of the same tree through the data source, its files of 40 bytes and more."""
+    files = tree_source.scan(spark, _written_tree(spark, sf_dir), starts="src2/", least=40)
+    return files.select("path", "size", F.md5(F.expr(text.decode("content"))).alias("content_md5"))
 
 
 def src_table(spark, sf_dir):
@@ -472,7 +483,7 @@ def custom_rule(spark, sf_dir):
 RULE_KEYS = {rule_id.lower(): rule_id for rule_id, rule in catalogue.RULES.items() if rule.findings}
 
 QUERIES = {
-    "src_files": src_files, "src_table": src_table, "filter_extension": filter_extension,
+    "src_files": src_files, "src_tree_format": src_tree_format, "src_table": src_table, "filter_extension": filter_extension,
     "filter_skip_dirs": filter_skip_dirs, "filter_max_size": filter_max_size, "filter_exclude": filter_exclude,
     "decode_text": decode_text, "rel_path": rel_path,
     "explode_lines": explode_lines, "detect_language": detect_language, "strip_snippet": strip_snippet,
