@@ -6,8 +6,9 @@ offset, and there the longest stretch is sought of which at least PERCENT in a h
 contaminated if such a stretch has at least WORDS words, or all of a shorter item.
 
 Documents' seeds that can't be the benchmark's are left out by a bit filter of a fixed size, made from the benchmark's seeds;
-a large benchmark fills it and leaves more to the join, which decides. Documents give clusters: neighbouring places that pass,
-with the words around them, so that the comparison needs no text.
+a large benchmark fills it and leaves more to the join, which decides. Documents with a seed that passes are stored as hashes of
+their words. At each offset that a hit gives, all words of the document that lie beside the item's are compared, so that a
+stretch is whole however far its hits are apart.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,7 @@ from llm.near_dup import mixed, word_hashes, words_lower
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 1, 4, 6, 7))
 WORDS = 13
 PERCENT = 80
-#: Words on either side of a hit that belong to its cluster.
-REACH = 64
-#: Items of fewer words match by chance; they are looked for only if asked for, and then word for word.
+#: Items of fewer words are looked for word for word.
 LEAST = 8
 FILTER_BITS = 1 << 24
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -92,37 +92,34 @@ def _passes(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return at[((bits[high >> 3] >> (high & 7).astype(np.uint8)) & 1).astype(bool)]
 
 
-def _clusters(texts: DataFrame, bits: np.ndarray, numbers: list[int]) -> DataFrame:
-    """texts: key, text; numbers: kinds of seeds. Returns key, words (hashes of the cluster), start (its first word), seeds, places (in the cluster)."""
+def _touched(texts: DataFrame, bits: np.ndarray, numbers: list[int]) -> DataFrame:
+    """texts: key, text; numbers: kinds of seeds. Of the texts with a seed that passes: doc (a number for each row), key, words
+    (hashes of all of them), seeds and places of those that pass."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys, words, starts, seeds, places = [], [], [], [], []
+            rows, words, seeds, places = [], [], [], []
             for row, text in enumerate(batch.column(1)):
                 own = word_hashes().of(words_lower(text.as_py()))
                 found = []
-                for number in numbers:
-                    hashes = seeds_of(own, number)
+                for kind in numbers:
+                    hashes = seeds_of(own, kind)
                     at = _passes(hashes, shared.value)
                     found.append((at, hashes[at]))
-                place, seed = np.concatenate([at for at, _ in found]), np.concatenate([s for _, s in found])
-                if not len(place):
-                    continue
-                order = np.argsort(place, kind="stable")
-                place, seed = place[order], seed[order]
-                edges = [0, *(np.flatnonzero(np.diff(place) > REACH) + 1).tolist(), len(place)]
-                for a, b in zip(edges, edges[1:], strict=False):
-                    start, stop = max(0, int(place[a]) - REACH), int(place[b - 1]) + REACH + MASKS[-1][-1]
-                    keys.append(row)
-                    words.append(own[start:stop].view(np.int64))
-                    starts.append(start)
-                    seeds.append(seed[a:b].view(np.int64))
-                    places.append(place[a:b] - start)
+                place = np.concatenate([at for at, _ in found])
+                if len(place):
+                    rows.append(row)
+                    words.append(own.view(np.int64))
+                    seeds.append(np.concatenate([s for _, s in found]).view(np.int64))
+                    places.append(place)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(words, longs), pa.array(starts, pa.int64()), pa.array(seeds, longs), pa.array(places, longs)], ["key", "words", "start", "seeds", "places"])
+            docs = pa.array(np.arange(number, number + len(rows)), pa.int64())
+            number += len(rows)
+            yield pa.RecordBatch.from_arrays([docs, batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, longs) for x in (words, seeds, places))], ["doc", "key", "words", "seeds", "places"])
 
-    return texts.mapInArrow(cut, "key string, words array<bigint>, start bigint, seeds array<bigint>, places array<bigint>")
+    return texts.mapInArrow(cut, "doc bigint, key string, words array<bigint>, seeds array<bigint>, places array<bigint>")
 
 
 def longest_alike(equal: np.ndarray, percent: int) -> tuple[int, int, int]:
@@ -136,21 +133,21 @@ def longest_alike(equal: np.ndarray, percent: int) -> tuple[int, int, int]:
 
 
 def _compared(beside: DataFrame, words: int, percent: int) -> DataFrame:
-    """beside: key, start, words, item_id, item_words, shift. Returns the stretches that contaminate."""
+    """beside: key, start, words, item_id, item_words, before: a document's words from start on lie beside the item's, of which
+    `before` come earlier. Returns the stretches that contaminate."""
     kind = dict(beside.dtypes)["item_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, columns = [], [[], [], []]
-            for row, (start, own, item, shift) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(4), batch.column(5).to_pylist(), strict=True)):
+            for row, (start, own, item, before) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(4), batch.column(5).to_pylist(), strict=True)):
                 own, item = own.values.to_numpy(), item.values.to_numpy()
-                low, high = max(0, shift), min(len(own), shift + len(item))
-                if high <= low:
+                if not len(own):
                     continue
-                first, last, equal = longest_alike(own[low:high] == item[low - shift : high - shift], percent)
+                first, last, equal = longest_alike(own == item[before : before + len(own)], percent)
                 if last - first >= min(words, len(item)) and (len(item) >= LEAST or equal == len(item)):
                     rows.append(row)
-                    for column, value in zip(columns, (start + low + first, last - first, equal), strict=True):
+                    for column, value in zip(columns, (start + first, last - first, equal), strict=True):
                         column.append(value)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(3).take(at), *(pa.array(c, pa.int64()) for c in columns)], ["key", "item_id", "first_word", "n_words", "n_equal"])
@@ -158,10 +155,10 @@ def _compared(beside: DataFrame, words: int, percent: int) -> DataFrame:
     return beside.mapInArrow(run, f"key string, item_id {kind}, first_word bigint, n_words bigint, n_equal bigint")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT, short: bool = False) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = PERCENT, short: bool = True) -> DataFrame:
     """docs: text; benchmark: item_id, text; other columns are left aside. Returns key (MD5 of the text), item_id, first_word,
-    n_words, n_equal: stretches that contaminate, the longest for each offset of an item. short: items of 1 to LEAST - 1 words
-    count too, where a document holds them word for word.
+    n_words, n_equal: stretches that contaminate, the longest for each offset of an item. short: items of 1 to LEAST - 1 words,
+    which can match by chance, count too, where a document holds them word for word.
 
     Words as in near-duplicates: A-Z as a-z, other white space than the six ASCII characters belongs to words. Null texts are
     empty: nothing overlaps. Repeated items and documents give their own rows; a null item_id stays null. Empty tables give
@@ -171,12 +168,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     short_sizes = [r["n"] for r in items.select(F.size("words").alias("n")).where(F.col("n") < LEAST).distinct().collect()] if short else []
     numbers = [*range(len(MASKS)), *(number for n in sorted(short_sizes) for number in _numbers(n))]
-    clusters = _clusters(docs.select(F.md5(text).alias("key"), text.alias("text")), _filter(seeds), numbers)
-    clusters = stored(clusters.withColumn("cluster", F.monotonically_increasing_id()), "clusters")
-    hits = clusters.select("cluster", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("cluster", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"))
-    shifts = hits.join(seeds, "seed").select("cluster", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
-    beside = shifts.join(clusters.select("cluster", "key", "start", "words"), "cluster").join(items.withColumnRenamed("words", "item_words"), "item")
-    return _compared(beside.select("key", "start", "words", "item_id", "item_words", "shift"), words, percent)
+    touched = stored(_touched(docs.select(F.md5(text).alias("key"), text.alias("text")), _filter(seeds), numbers), "touched")
+    hits = touched.select("doc", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("doc", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"))
+    shifts = hits.join(seeds, "seed").select("doc", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    sized = shifts.join(items.select("item", F.size("words").alias("n")), "item")
+    region = "slice(words, int(greatest(shift, 0L)) + 1, int(least(size(words), shift + n) - greatest(shift, 0L)))"
+    regions = sized.join(touched.select("doc", "key", "words"), "doc").selectExpr("key", "item", "greatest(shift, 0L) AS start", f"{region} AS words", "greatest(-shift, 0L) AS before")
+    beside = regions.join(items.withColumnRenamed("words", "item_words"), "item")
+    return _compared(beside.select("key", "start", "words", "item_id", "item_words", "before"), words, percent)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
