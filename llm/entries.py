@@ -65,12 +65,13 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of strings of 400 bytes that repeat."""
     found = suffix_dedup.remove(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                        F.length("kept").cast("long").alias("n_kept"), (F.size("removed") > 0).alias("has_repeats"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents overlap."""
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +182,64 @@ SELECT doc_id, size, source_size, target,
        ((floor(rate * (place::DOUBLE + 1.0::DOUBLE) + u) - floor(rate * place::DOUBLE + u)) * size)::BIGINT AS taken
 FROM placed"""
 
+def _url_sql() -> str:
+    rules = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+    return f"""
+WITH rules(h, p, v) AS (VALUES {rules}),
+rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_replace(substr(url, strpos(url, '://') + 3), '(?s)[?#].*', '') ELSE '' END AS r FROM pages),
+parts AS (SELECT row_number() OVER () AS row_no, page_id, translate(CASE WHEN contains(r, '/') THEN substr(r, 1, strpos(r, '/') - 1) ELSE coalesce(r, '') END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 CASE WHEN contains(r, '/') THEN substr(r, strpos(r, '/')) ELSE '' END AS path FROM rest),
+best AS (SELECT row_no, arg_max(h || p, struct_pack(a := length(h || p), b := length(h))) AS rule, arg_max(v, struct_pack(a := length(h || p), b := length(h))) AS verdict
+         FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY row_no)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (row_no)"""
+
+
+def _merkle_sql(levels: int = 14) -> str:
+    """With `levels` levels of each tree spelt out, enough for 3 ** levels documents of a source."""
+
+    def leaf(text: str) -> str:
+        fields = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+    def tree(name: str) -> str:
+        """From {name}0 (g, pos, n, node) up; {name}_all holds each node with its level and its siblings on both sides."""
+        steps = [f"""{name}{k + 1} AS MATERIALIZED (
+  SELECT g, pos // 3 AS pos, (any_value(n) + 2) // 3 AS n, sha256(string_agg(node, '' ORDER BY pos)) AS node FROM {name}{k} WHERE n > 1 GROUP BY g, pos // 3)""" for k in range(levels)]
+        run = "OVER (PARTITION BY level, g, pos // 3 ORDER BY pos ROWS BETWEEN"
+        each = " UNION ALL ".join(f"SELECT {k} AS level, * FROM {name}{k}" for k in range(levels + 1))
+        siblings = f"""{name}_all AS MATERIALIZED (
+  SELECT *, coalesce(string_agg(node, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(node, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM ({each}))"""
+        return ", ".join([*steps, siblings])
+
+    def folded(name: str, start: str) -> str:
+        """Folds `start` (g, pos, folded, proof and others) along {name}_all, level by level."""
+        steps = [f"""{start}{k + 1} AS MATERIALIZED (
+  SELECT s.* REPLACE (s.pos // 3 AS pos, CASE WHEN t.n > 1 THEN sha256(t.l || folded || t.r) ELSE folded END AS folded, CASE WHEN t.n > 1 THEN proof || t.l || t.r ELSE proof END AS proof)
+  FROM {start}{k} s LEFT JOIN {name}_all t ON t.level = {k} AND t.g = s.g AND t.pos = s.pos)""" for k in range(levels)]
+        return ", ".join(steps)
+
+    # CRC-32 bit by bit; before its last step, which turns all bits round, an even one is odd
+    bits = "flatten([[1000 + ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(doc_id::VARCHAR, '')])"
+    step = "CASE WHEN x > 0 THEN xor(a, x - 1000) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END"
+    even = f"list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda a, x: {step}) % 2 = 1"
+    return f"""
+WITH sources AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT source FROM documents)),
+leaves AS MATERIALIZED (SELECT doc_id, g, {leaf('text')} AS leaf, CASE WHEN {even} THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS claimed
+  FROM (SELECT d.*, g FROM documents d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source)),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+a0 AS MATERIALIZED (SELECT g, pos, n, leaf AS node FROM placed), {tree('a')},
+subroots AS MATERIALIZED (SELECT g, node FROM a_all WHERE n = 1),
+b0 AS MATERIALIZED (SELECT 0 AS g, g AS pos, (SELECT count(*) FROM sources) AS n, node FROM subroots), {tree('b')},
+up0 AS (SELECT doc_id, g, pos, leaf, claimed AS folded, '' AS proof FROM placed), {folded('a', 'up')},
+on0 AS (SELECT doc_id, g AS source_no, 0 AS g, g AS pos, leaf, folded, proof FROM up{levels}), {folded('b', 'on')},
+top AS (SELECT node AS root FROM b_all WHERE n = 1)
+SELECT f.doc_id, f.leaf, s.node AS subroot, top.root, sha256(f.proof) AS proof_sha256, f.folded AS folded_root, f.folded = top.root AS verified
+FROM on{levels} f JOIN subroots s ON s.g = f.source_no, top"""
+
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _secret_sql(),
     "op8_source_mix": OP8_SQL,
+    "op12_merkle_manifest": _merkle_sql(),
+    "op13_url_filter": _url_sql(),
 }
