@@ -1,17 +1,15 @@
-"""What the operators share: the shared scratch folder, stored tables, running positions, word lists."""
+"""What the operators share: stored tables, running positions, word lists."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusaudit.sinks.scratch import fresh_path, shared_folder, stored  # noqa: F401
+
 #: A word is a run of anything but these six ASCII characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPLIT_WORDS = re.compile(r"[\x20\x09-\x0D]+").split
@@ -26,29 +24,6 @@ def words_of(text: str) -> list[str]:
     return [w for w in SPLIT_WORDS(text) if w]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, as in tests on one machine, an own
-    temporary folder becomes the setting; it goes when the process ends."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + (local := tempfile.mkdtemp(prefix="shared-"))
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there: short lineage, and the same rows at each later read."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stored table that nothing will read again."""
     spark = df.sparkSession
