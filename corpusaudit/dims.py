@@ -99,9 +99,9 @@ def local_frame(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFram
     """A literal table that the optimizer sees as a local relation (a few dozen rows, never more)."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import StructType
 
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target = to_arrow_schema(StructType.fromDDL(schema))
     columns = list(zip(*rows)) if rows else [[] for _ in target]
     arrays = [pa.array(list(values), type=field.type) for values, field in zip(columns, target)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=target))
