@@ -50,8 +50,10 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(raw, ids.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
-def test_token_files_round_trip(spark, odd, none):
-    manifest = token_files.write(odd, fresh_path(spark, "tokens"), sequence=64)
+@pytest.mark.parametrize("file_sequences", [token_files.FILE_SEQUENCES, 1, 7])
+def test_token_files_round_trip(spark, odd, none, file_sequences):
+    manifest = token_files.write(odd, fresh_path(spark, "tokens"), sequence=64, file_sequences=file_sequences)
+    assert file_sequences > 7 or manifest.count() >= 9
     rows = sorted(token_files.read(manifest).collect(), key=lambda r: r["start"])
     library = load(WORD_BPE)
     given = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
@@ -62,7 +64,7 @@ def test_token_files_round_trip(spark, odd, none):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
         run += ids
-    files = sorted(manifest.collect(), key=lambda r: r["part"])
+    files = sorted(manifest.collect(), key=lambda r: (r["part"], r["number"]))
     back = []
     for file in files:
         for k in range(-(-file["n_tokens"] // 64)):
@@ -73,6 +75,15 @@ def test_token_files_round_trip(spark, odd, none):
     assert token_files.read(token_files.write(none, fresh_path(spark, "tokens"))).count() == 0
 
 
+def test_rows_without_doc_id_are_dealt_out_by_text(spark):
+    rows = [(None, f"{k % 97:03} text {k}") for k in range(2000)]
+    manifest = token_files.write(spark.createDataFrame(rows, "doc_id bigint, text string"), fresh_path(spark, "tokens"))
+    assert manifest.count() > 1 and manifest.agg({"n_documents": "sum"}).first()[0] == 2000
+    library = load(WORD_BPE)
+    want = [zlib.crc32(np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes()) for text in sorted(t for _, t in rows)]
+    assert [r["ids_crc32"] for r in token_files.read(manifest).orderBy("start").collect()] == want
+
+
 def conversation(spark, rows):
     return spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, mask string, ids int")
 
