@@ -14,6 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from llm.common import stored
+
 LEDGER_SCHEMA = "blob string, rules array<string>, findings array<struct<start:bigint,kind_no:int,kind:string,end:bigint,rule:string>>"
 
 
@@ -113,7 +115,8 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     of_rules = F.filter("findings", lambda f: F.array_contains(keys, rule_of(f)))
     wanted = F.transform(of_rules, lambda f: F.struct(*(f[c].alias(c) for c in ("start", "kind_no", "kind", "end"))))
     known = read_ledger(spark, ledger).where(F.arrays_overlap("rules", keys)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(wanted))).alias("findings"))
-    return own.select("path.*", "blob").join(known, "blob")
+    # stored, so that the paths of a blob that very many have can be dealt out to several tasks
+    return own.select("path.*", "blob").join(stored(known, "findings"), "blob")
 
 
 def span_list(findings: Column) -> Column:
