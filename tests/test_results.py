@@ -235,7 +235,7 @@ def test_document_holds_what_the_rows_hold(spark, corpus, tmp_path):
     assert doc["languages"] == {r[0]: r[1] for r in result.languages().collect()}
     assert doc["tech_debt"] == result.tech_debt().first().asDict(True)
     assert doc["files"] == {r["path"]: {k: v for k, v in r.asDict().items() if k != "path"} for r in writers.full_files(result.profile).collect()}
-    want = [r.asDict() for r in writers.full_issues(reports.sorted_by_file(result.issues)).collect()]
+    want = [r.asDict() for r in writers.full_issues(result.issues.orderBy(*reports.ISSUE_ORDER)).collect()]
     assert [(i["file"], i["rule_id"], i["line"]) for i in doc["issues"]] == [(i["file"], i["rule_id"], i["line"]) for i in want]
     assert sorted(map(str, doc["issues"])) == sorted(map(str, want))
     places = {}
