@@ -85,16 +85,16 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _stretch_table(texts: DataFrame, length: int, anchor: int) -> DataFrame:
-    """texts: key, text. Returns key and arrays of the stretches' values, for texts that have any."""
+    """texts: key, row, text. Returns key, row and arrays of the stretches' values, for texts that have any."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [all_stretches(text.as_py().encode(), length, anchor) for text in batch.column(1)]
+            rows = [all_stretches(text.as_py().encode(), length, anchor) for text in batch.column(2)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(_lists(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["key", "first", "last", "place", "mark", "whole"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(_lists(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["key", "row", "first", "last", "place", "mark", "whole"])
 
-    return texts.mapInArrow(cut, "key string, first array<int>, last array<int>, place array<int>, mark array<bigint>, whole array<bigint>").where(F.size("first") > 0)
+    return texts.select("key", "row", "text").mapInArrow(cut, "key string, row bigint, first array<int>, last array<int>, place array<int>, mark array<bigint>, whole array<bigint>").where(F.size("first") > 0)
 
 
 def _each(table: DataFrame) -> DataFrame:
@@ -165,21 +165,22 @@ def _by_hashes(contents: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """texts: key, text; rows of equal text have equal keys. Returns key, starts: runs (first, last) of the starts of strings
-    of `length` bytes that also start elsewhere, for the keys that have any."""
+    """texts: key, row, text; rows of equal text have equal keys, and `row` tells them apart as well as may be. Returns key,
+    starts: runs (first, last) of the starts of strings of `length` bytes that also start elsewhere, for the keys that have
+    any."""
     table = stored(_stretch_table(texts, length, anchor), "stretches")
     by_content = _each(table.select("mark", "whole", "first", "last", "place")).groupBy("mark", "whole").agg(F.count("*").alias("n"))
     by_mark = by_content.groupBy("mark").agg(F.sum("n").alias("total"), F.count("*").alias("contents")).where("total > 1")
     several = stored(by_content.join(by_mark, "mark").select("mark", "whole", "n", "contents"), "several")
-    # one row of each key speaks for all
-    one = table.select("key", "first", "last", "place", "mark", "whole").withColumn("row", F.xxhash64("key")).dropDuplicates(["key"])
-    one = stored(one, "single")
-    each = _each(one.select("key", "first", "last", "place", "mark", "whole"))
+    # one row of each key speaks for all; it is chosen before its stretches move
+    chosen = table.groupBy("key").agg(F.min("row").alias("row"))
+    one = stored(table.join(chosen, ["key", "row"]).dropDuplicates(["key", "row"]), "single")
+    each = _each(one)
     shared = stored(each.join(several, ["mark", "whole"]), "shared")
 
-    contested = shared.where("contents > 1").groupBy("mark", "whole").agg(F.first("contents").alias("contents"), F.min(F.struct("key", "first", "last", "place")).alias("of"))
-    wanted = contested.groupBy("of.key").agg(F.collect_list(F.struct("mark", "whole", "contents", "of.first", "of.last", "of.place")).alias("cuts"))
-    sources = texts.join(wanted, "key").dropDuplicates(["key"]).select("text", "cuts")
+    contested = shared.where("contents > 1").groupBy("mark", "whole").agg(F.first("contents").alias("contents"), F.min(F.struct("key", "row", "first", "last", "place")).alias("of"))
+    wanted = contested.groupBy("of.key", "of.row").agg(F.collect_list(F.struct("mark", "whole", "contents", "of.first", "of.last", "of.place")).alias("cuts"))
+    sources = texts.join(stored(wanted, "wanted"), ["key", "row"]).dropDuplicates(["key", "row"]).select("text", "cuts")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +212,7 @@ def remove(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataF
     `length` stay whole. Repeated rows repeat each other's strings, whatever their doc_id. An empty table gives no rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select("doc_id", text.alias("text"), F.md5(text).alias("key"))
-    found = repeats(own.select("key", "text"), length, anchor)
+    found = repeats(own.select("key", F.xxhash64("doc_id").alias("row"), "text"), length, anchor)
     kind = dict(own.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
