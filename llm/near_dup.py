@@ -215,8 +215,11 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
     # the texts of nodes that share a bucket, one row for each
     needed = nodes.join(members.select("node").distinct(), "node").select("node", "text_key", "n", "bits")
+    one = rows.groupBy("text_key").agg(F.min("doc_id").alias("one_id"))  # of equal texts; chosen before any text moves
+    needed = stored(needed.join(one, "text_key"), "needed")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(text.alias("text"), F.md5(text).alias("text_key")).join(needed, "text_key").dropDuplicates(["text_key"])
+    own = docs.select(F.col("doc_id").alias("own_id"), text.alias("text"), F.md5(text).alias("own_key"))
+    texts = own.join(needed, (own["own_key"] == needed["text_key"]) & own["own_id"].eqNullSafe(needed["one_id"])).dropDuplicates(["text_key", "own_id"])
     texts = stored(texts.select("node", "n", "bits", "text"), "texts")
 
     pairs = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
@@ -231,6 +234,7 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     discard(split)
     discard(members)
     discard(texts)
+    discard(needed)
 
     root = nodes.join(roots, "node", "left").select("node", *same_set, "first_id", F.coalesce("root", "node").alias("root"))
     least = root.groupBy("root").agg(F.min("first_id").alias("component_id"))
