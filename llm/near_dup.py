@@ -215,11 +215,12 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
     # the texts of nodes that share a bucket, one row for each
     needed = nodes.join(members.select("node").distinct(), "node").select("node", "text_key", "n", "bits")
-    one = rows.groupBy("text_key").agg(F.min("doc_id").alias("one_id"))  # of equal texts; chosen before any text moves
+    row = F.xxhash64("doc_id").alias("row")
+    one = rows.select("text_key", row).groupBy("text_key").agg(F.min("row").alias("row"))  # of equal texts; chosen before any text moves
     needed = stored(needed.join(one, "text_key"), "needed")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.col("doc_id").alias("own_id"), text.alias("text"), F.md5(text).alias("own_key"))
-    texts = own.join(needed, (own["own_key"] == needed["text_key"]) & own["own_id"].eqNullSafe(needed["one_id"])).dropDuplicates(["text_key", "own_id"])
+    # joined and made single by the same columns, so that texts move once
+    texts = docs.select(row, text.alias("text"), F.md5(text).alias("text_key")).join(needed, ["text_key", "row"]).dropDuplicates(["text_key", "row"])
     texts = stored(texts.select("node", "n", "bits", "text"), "texts")
 
     pairs = members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
