@@ -48,3 +48,12 @@ def test_groups_read_the_corpus_once(spark, tmp_path):
     assert "content" not in places and str(tmp_path / "c") not in places
     probe = places[places.index("BroadcastExchange"):]
     assert "bit_or" in probe and "HashedRelationBroadcastMode(List(input[0, bigint" in probe
+
+
+def test_counts_are_conditions_above_detection(spark, tmp_path):
+    """A condition on the issue count must not test the text once more in a filter below."""
+    from corpusaudit.plans import reports
+    spark.createDataFrame([("a.py", "x")], "path string, content string").write.parquet(str(tmp_path / "c"))
+    frame = reports.top_issue_files(detect.profile(spark.read.parquet(str(tmp_path / "c"))))
+    conditions = [line for line in frame._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Filter " in f" {line.lstrip(':+- ')}"]
+    assert conditions and not any("RLIKE" in line or "content" in line for line in conditions)
