@@ -57,3 +57,21 @@ def test_counts_are_conditions_above_detection(spark, tmp_path):
     frame = reports.top_issue_files(detect.profile(spark.read.parquet(str(tmp_path / "c"))))
     conditions = [line for line in frame._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Filter " in f" {line.lstrip(':+- ')}"]
     assert conditions and not any("RLIKE" in line or "content" in line for line in conditions)
+
+
+def small_tables(spark, folder):
+    rows = [(i, f"name {i}", "Brand#1") for i in range(1, 41)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string").coalesce(1).write.parquet(f"{folder}/part.parquet")
+    spark.createDataFrame([(i, "web", "password = 'hunter22'") for i in range(40)], "doc_id bigint, source string, text string") \
+        .coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "<p>x</p>")], "page_id bigint, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(1, 0, "x")], "conv_id bigint, turn bigint, text string").write.parquet(f"{folder}/conversations.parquet")
+    return str(folder)
+
+
+def test_a_full_listing_of_files_sorts_a_stored_profile(spark, tmp_path):
+    """A range-partitioned sort looks at its input twice."""
+    from workload import queries
+    frame = queries.QUERIES["q_files"](spark, small_tables(spark, tmp_path))
+    assert "ArrowEvalPython" not in plan(frame) and "rangepartitioning" in plan(frame)
+    assert frame.first()["issue_count"] > 0

@@ -76,6 +76,11 @@ def profile(spark, sf_dir) -> DataFrame:
     return detect.profile(corpus(spark, sf_dir))
 
 
+def stored_profile(spark, sf_dir) -> DataFrame:
+    """Computed once, as ``stored_issues``."""
+    return writers.checkpointed(profile(spark, sf_dir))
+
+
 def totals(spark, sf_dir, min_severity="info") -> DataFrame:
     files = corpus(spark, sf_dir)
     return debt.totals(detect.profile(files), duplicates.count_groups(files, check_files=False), min_severity, check_files=True)
@@ -518,7 +523,7 @@ QUERIES = {
     "q_stats": lambda s, d: reports.headline(totals(s, d), "corpus", 1.5),
     "q_issues": lambda s, d: _listed(reports.find_issues(
         detect.issues(corpus(s, d).where(F.contains("path", F.lit("src1")))), "high", "src1")),
-    "q_files": _of_profile(reports.file_list), "q_file_detail": q_file_detail, "q_duplicates": q_duplicates,
+    "q_files": lambda s, d: reports.file_list(stored_profile(s, d)), "q_file_detail": q_file_detail, "q_duplicates": q_duplicates,
     "q_top_files": _of_profile(reports.top_risk_files),
     "q_search": lambda s, d: _listed(reports.search(issues(s, d), "medium", "sha1 ")),
     "q_search_count": _of_issues(reports.search_count, None, "F2"),
