@@ -84,7 +84,7 @@ def marks(files: DataFrame, rule_ids=None, statistics: bool = False, custom_line
     codes += [custom.line_code(rule, entry, F.col("language"), F.col("at")) for rule, entry in custom_lines]
     # The lambda keeps this projection out of whole-stage code generation, where dozens of patterns would make
     # one method too long for the JIT compiler; on its own the projection is generated in short methods.
-    tested = lines.select("path", *carried, "file_hits", "pos", "at", F.expr("filter(own, m -> pos = 0)").alias("mine"),
+    tested = lines.select("path", *carried, "file_hits", "pos", "at", F.expr(f"filter(IF(pos = 0, own, {none}), m -> true)").alias("mine"),
                           (F.array(*codes) if codes else F.expr(none)).alias("codes"))
     marked = tested.select("path", *carried, "file_hits", "pos", "at", F.explode(F.concat("codes", "mine")).alias("mark"))
     marked = marked.where("mark IS NOT NULL")

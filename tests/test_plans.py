@@ -69,6 +69,16 @@ def small_tables(spark, folder):
     return str(folder)
 
 
+def test_a_table_of_one_row_group_keeps_all_cores_busy(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from workload import queries
+    folder = small_tables(spark, tmp_path)
+    for table in (queries.code_files, queries.documents):
+        files = table(spark, folder)
+        assert files.count() == 40 and files.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
 def test_a_full_listing_of_files_sorts_a_stored_profile(spark, tmp_path):
     """A range-partitioned sort looks at its input twice."""
     from workload import queries

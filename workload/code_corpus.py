@@ -192,12 +192,19 @@ PYTHON_TEXTS = [chunk for chunk, _ in PYTHON]
 
 # --- Spark ------------------------------------------------------------------------------------
 
+def splits(spark: SparkSession) -> int:
+    """The parts that the tables are dealt out in: the setting ``workload.splits``, else some for each core.
+
+    A small Parquet file, or one of few row groups, is read by one task, and its rows are long work.
+    """
+    wanted = spark.conf.get("workload.splits", "")
+    return int(wanted) if wanted else max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, content)``, one file per part."""
     part = spark.read.schema("p_partkey bigint, p_name string, p_brand string").parquet(f"{sf_dir}/part.parquet")
-    wanted = spark.conf.get("workload.splits", "")
-    if wanted:
-        part = part.repartition(int(wanted))
+    part = part.repartition(splits(spark))
 
     def texts(values):
         return "array(" + ", ".join(text.lit(v) for v in values) + ")"

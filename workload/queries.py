@@ -16,7 +16,7 @@ from corpusaudit.operators import catalogue, duplicates, pynodes
 from corpusaudit.plans import debt, detect, reports, rollups
 from corpusaudit.sinks import scratch, writers
 from corpusaudit.sources import filters, tables, tree, tree_source
-from workload.code_corpus import code_files
+from workload.code_corpus import code_files, splits
 
 EXCLUDED = ["src1/", "ts/5", "tests/"]
 ROOT = "/data/checkout/"
@@ -27,12 +27,6 @@ def read(spark, sf_dir, name, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def splits(spark) -> int | None:
-    """The parts that the caller wants the tables in (setting ``workload.splits``); unset, they are read as they lie."""
-    wanted = spark.conf.get("workload.splits", "")
-    return int(wanted) if wanted else None
-
-
 def documents(spark, sf_dir) -> DataFrame:
     table = read(spark, sf_dir, "documents", "doc_id bigint, source string, text string")
     return tables.corpus(table, F.concat("source", F.lit("/"), "doc_id", F.lit(".md")), F.col("text"), splits(spark))
