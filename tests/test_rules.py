@@ -133,3 +133,22 @@ def test_custom_rules(corpus):
     assert result.rules.count() == 26
     with pytest.raises(ValueError):
         audit(corpus({}), [LineRule("SEC001", "x", "style", "low", "", lambda line: None)])
+
+
+def test_facts_look_at_expressions_of_functions_only(monkeypatch):
+    from corpusaudit.operators import pynodes
+    looked = []
+    real = pynodes._expression_branches
+    monkeypatch.setattr(pynodes, "_expression_branches", lambda values: looked.append(len(values)) or real(values))
+    assert pynodes.parse_facts("x = a and b or c\nif x:\n    y = 1 if x else 2\nclass C(A if b else D):\n    z = a or b\n") and not looked
+    source = ("@d(a or b)\ndef f(x=1 if a else 2, *, y=b or c) -> (d and e):\n    class K(A if b else c):\n        z = p or q\n"
+              "        def g(self): return lambda: x and y and z\n    match x:\n        case 1 | 2 if a and b: pass\n        case {'k': True}: pass\n"
+              "    async def h():\n        async with a: pass\n    try: pass\n    except E: pass\n    return f'{a if b else c!r}'\n")
+    assert [(f["name"], f["complexity"], f["visit_seq"]) for f in pynodes.parse_facts(source)] == [
+        ("f", 10, 3), ("K", 0, 0), ("h", 1, 2), ("g", 3, 1)]
+
+
+def test_uses_of_names_in_lines_of_other_imports():
+    from corpusaudit.operators import pynodes
+    facts = pynodes.parse_facts("a = 1; import os, sys\nb = sys; import re\nimport io, os.path as p\nfrom io import *\nw*h\n# p re2\n")
+    assert {f["name"]: f["used"] for f in facts if f["last_of_name"]} == {"os": False, "sys": True, "re": False, "io": False, "p": True, "*": True}
