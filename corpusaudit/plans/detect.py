@@ -64,15 +64,23 @@ def _with_statistics(base: DataFrame) -> DataFrame:
 def marks(files: DataFrame, rule_ids=None, statistics: bool = False, custom_lines=()) -> DataFrame:
     """The stream of marks described above, for the given rules (all by default).
 
-    Columns: path, language or STATS, code, line, at (the line's text), hit (null for line hits).
+    Columns: path, language or STATS, code, line, at (the line's text), hit (null for line hits). Where no rule looks
+    at lines, the stream is the file hits alone, and no text is cut into lines.
     """
     rule_ids = [r for r in RULES if rule_ids is None or r in rule_ids]
     needs_nodes = statistics or any(r in file_rules.NODE_RULES for r in rule_ids)
+    needs_lines = statistics or custom_lines or any(r in line_rules.LINE_RULES for r in rule_ids)
+    if not statistics and not custom_lines and rule_ids and all(RULES[r].languages for r in rule_ids):
+        # before the parse: files of other languages have no findings
+        files = files.where(f"{text.language('path')} IN {text.in_list(sorted({l for r in rule_ids for l in RULES[r].languages}))}")
     base = _with_nodes(files) if needs_nodes else tables.with_language(files)
     if statistics:
         base = _with_statistics(base)
     carried = STATS if statistics else ["language"]
     hits = file_rules.file_hits(rule_ids, "language", "content", text.split_lines("content"), "nodes")
+    if not needs_lines:
+        rows = base.selectExpr("path", *carried, f"explode({hits}) AS hit")
+        return rows.selectExpr("path", *carried, "hit.code AS code", "hit.line AS line", "CAST(NULL AS STRING) AS at", "hit")
     base = base.selectExpr("path", "content", *carried, f"{hits} AS file_hits", f"{text.fold_case('content')} AS folded_content")
     maybe = line_rules.candidates(rule_ids, "language", "content", "folded_content")
     base = base.selectExpr("path", "content", *carried, "file_hits", f"{maybe} AS maybe")

@@ -85,3 +85,15 @@ def test_a_full_listing_of_files_sorts_a_stored_profile(spark, tmp_path):
     frame = queries.QUERIES["q_files"](spark, small_tables(spark, tmp_path))
     assert "ArrowEvalPython" not in plan(frame) and "rangepartitioning" in plan(frame)
     assert frame.first()["issue_count"] > 0
+
+
+def test_rules_of_structure_facts_cut_no_text_into_lines(spark, tmp_path):
+    """And only files of their language reach the parse."""
+    spark.createDataFrame([("a.py", "def aB(): pass\n"), ("b.md", "def aB(): pass\n")], "path string, content string").write.parquet(str(tmp_path / "c"))
+    found = detect.issues(spark.read.parquet(str(tmp_path / "c")), ["STY004", "STY005"])
+    lines = plan(found).splitlines()
+    assert "posexplode" not in plan(found)
+    python = next(i for i, line in enumerate(lines) if "ArrowEvalPython" in line)
+    assert any("Filter" in line and "python" in line for line in lines[python:])
+    assert sorted((r["path"], r["rule_id"], r["line"], r["snippet"]) for r in found.collect()) == [
+        ("a.py", "STY004", 1, "def aB(...):"), ("a.py", "STY005", 1, "def aB(...):")]
