@@ -60,31 +60,36 @@ def body(content: str) -> str:
 
 
 def line_classes(language: str, content: str) -> str:
-    """Struct (state, blank, comment, code) of line counts: a fold over the stripped lines."""
-    stripped = f"transform({text.split_lines(body(content))}, x -> {text.strip('x')})"
-    prefix = text.case_of(language, dims.LINE_COMMENT_LANGUAGES)
-
-    def fold(state, comment):
-        kind = f"CASE WHEN l = '' THEN 0 WHEN {comment} THEN 1 ELSE 2 END"
-        counts = ", ".join(f"'{name}', a.{name} + CAST({kind} = {i} AS INT)"
-                           for i, name in enumerate(("blank", "comment", "code")))
-        return (f"aggregate({stripped}, named_struct('state', '', 'blank', 0, 'comment', 0, 'code', 0), "
-                f"(a, l) -> named_struct('state', {state}, {counts}))")
-
-    quote = "substring(l, 1, 3)"
-    is_quote = f"""{quote} IN ('\"\"\"', "'''")"""
-    python_state = (
-        "CASE WHEN l = '' OR startswith(l, '#') THEN a.state "
-        "WHEN a.state <> '' THEN IF(contains(l, a.state), '', a.state) "
-        f"WHEN {is_quote} AND NOT contains(substring(l, 4), {quote}) THEN {quote} ELSE '' END")
-    python_comment = f"startswith(l, '#') OR a.state <> '' OR {is_quote}"
-    block_state = (
-        "CASE WHEN l = '' THEN a.state WHEN a.state <> '' THEN IF(contains(l, '*/'), '', a.state) "
-        "WHEN startswith(l, '/*') AND NOT contains(substring(l, 3), '*/') THEN '*' ELSE '' END")
-    block_comment = "a.state <> '' OR startswith(l, '/*') OR startswith(l, '//')"
-    return (f"CASE WHEN {language} = 'python' THEN {fold(python_state, python_comment)} "
-            f"WHEN {language} IN {text.in_list(dims.BLOCK_COMMENT_LANGUAGES)} THEN {fold(block_state, block_comment)} "
-            f"ELSE {fold('a.state', f'coalesce(startswith(l, {prefix}), false)')} END")
+    """Struct (blank, comment, code) of line counts. How a line begins decides, so lines are stripped on the left only.
+
+    Comments that span lines need a fold, which is left to texts that hold what opens one: four times the comment lines so
+    far, plus the kind of comment that is open.
+    """
+    stripped = f"transform({text.split_lines(body(content))}, x -> {text.strip_left('x')})"
+    single, double = text.lit("'''"), text.lit('"""')
+
+    def starts(prefix):
+        return f"size(filter(s, l -> startswith(l, {prefix})))"
+
+    def fold(*branches):
+        return f"CAST(shiftright(aggregate(s, 0L, (a, l) -> CASE WHEN l = '' THEN a {' '.join(branches)} ELSE a END), 2) AS INT)"
+
+    def inside(kind, closing):
+        return f"WHEN (a & 3L) = {kind}L THEN IF(contains(l, {closing}), a + {4 - kind}L, a + 4L)"
+
+    def opening(kind, mark, closing, rest):
+        return f"WHEN startswith(l, {mark}) THEN IF(contains(substring(l, {rest}), {closing}), a + 4L, a + {4 + kind}L)"
+
+    python = fold("WHEN startswith(l, '#') THEN a + 4L", inside(1, double), inside(2, single),
+                  opening(1, double, double, 4), opening(2, single, single, 4))
+    block = fold(inside(1, "'*/'"), opening(1, "'/*'", "'*/'", 3), "WHEN startswith(l, '//') THEN a + 4L")
+    comment = (f"CASE WHEN {language} = 'python' THEN IF(contains({content}, {double}) OR contains({content}, {single}), {python}, {starts(text.lit('#'))}) "
+               f"WHEN {language} IN {text.in_list(dims.BLOCK_COMMENT_LANGUAGES)} THEN IF(contains({content}, '/*'), {block}, {starts(text.lit('//'))}) "
+               f"ELSE {starts(text.case_of(language, dims.LINE_COMMENT_LANGUAGES))} END")
+    counted = (f"transform(array({stripped}), s -> CASE WHEN s IS NOT NULL THEN named_struct('lines', size(s), "
+               f"'blank', size(filter(s, l -> l = '')), 'comment', {comment}) END)")
+    return (f"get(transform({counted}, k -> named_struct('blank', k.blank, 'comment', k.comment, "
+            f"'code', k.lines - k.blank - k.comment)), 0)")
 
 
 def _count(patterns: dict[str, str], content: str) -> dict[str, str]:

@@ -96,14 +96,14 @@ def normalize(content: str) -> str:
 
     Works on whole texts (each step stays inside its line), so that no per-line call is needed. White
     space collapses first, which commutes with the cuts and makes the trims one blank wide; single
-    blanks, the bulk of it, are left alone.
+    blanks, the bulk of it, are left alone. A digit is sought before what stands ahead of it is looked at.
     """
     x = _replaced(content, f"(?: [{SPACE_IN_LINE}]|[{OTHER_SPACE_IN_LINE}])[{SPACE_IN_LINE}]*", " ")
     x = _replaced(x, "(?d)#.*", "")
     x = _replaced(x, "(?d)//.*", "")
     x = _replaced(x, '"[^"\n]*"', '"STR"')
     x = _replaced(x, "'[^'\n]*'", "'STR'")
-    x = _replaced(x, f"(?<![{WORD}])[{DIGIT}]+(?![{WORD}])", "NUM")
+    x = _replaced(x, f"(?=[{DIGIT}])(?<![{WORD}])[{DIGIT}]+(?![{WORD}])", "NUM")
     return _replaced(x, "(?dm)^ | $", "")
 
 

@@ -171,12 +171,11 @@ def profile(files: DataFrame) -> DataFrame:
     base = base.selectExpr("path", "content", *STATS, f"transform({hits}, h -> h.code) AS file_codes",
                            f"{text.fold_case('content')} AS folded_content")
     maybe = line_rules.candidates(rule_ids, "language", "content", "folded_content")
-    base = base.selectExpr("path", "content", "folded_content", *STATS, "file_codes", f"{maybe} AS maybe")
-    tests = [line_rules.code(RULES[r], rule_ids, "maybe", "l", "folded") for r in rule_ids if r in line_rules.LINE_RULES]
-    of_line = f"filter(array({', '.join(tests)}), c -> c IS NOT NULL)"
     # Folding keeps line ends, so each line's folded text is the part at its place of the folded whole, and is made once.
-    lines, folded = text.split_lines("content"), text.split_lines("folded_content")
-    codes = f"concat(file_codes, flatten(zip_with({lines}, {folded}, (l, folded) -> {of_line})))"
+    base = base.selectExpr("path", *STATS, "file_codes", f"{maybe} AS maybe", f"{text.split_lines('content')} AS text_lines",
+                           f"{text.split_lines('folded_content')} AS folded_lines")
+    found = [line_rules.codes_of_file(RULES[r], rule_ids, "maybe", "text_lines", "folded_lines") for r in rule_ids if r in line_rules.LINE_RULES]
+    codes = f"concat(file_codes, {', '.join(found)})"
     # The codes come out of a generator: a condition on counts or score stays above it, so no text is tested twice.
     return base.selectExpr("path", *STATS, f"explode(array({codes})) AS codes").selectExpr("path", *STATS, *_folds("codes"))
 

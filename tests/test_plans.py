@@ -97,3 +97,16 @@ def test_rules_of_structure_facts_cut_no_text_into_lines(spark, tmp_path):
     assert any("Filter" in line and "python" in line for line in lines[python:])
     assert sorted((r["path"], r["rule_id"], r["line"], r["snippet"]) for r in found.collect()) == [
         ("a.py", "STY004", 1, "def aB(...):"), ("a.py", "STY005", 1, "def aB(...):")]
+
+
+def test_a_profile_looks_at_lines_only_for_rules_in_the_mask(spark, tmp_path):
+    from corpusaudit.operators import line_rules
+    from corpusaudit.operators.catalogue import RULES
+    spark.createDataFrame([("a.py", "x = 1 \neval(x)\nif x == None: eval(y) \n" + "z" * 121)], "path string, content string").write.parquet(str(tmp_path / "c"))
+    rows = detect.profile(spark.read.parquet(str(tmp_path / "c")))
+    by_pattern = [r for r in line_rules.LINE_RULES if r not in line_rules.WHOLE_LINE_RULES]
+    assert len(by_pattern) > 1 and plan(rows).count("zip_with(") >= len(by_pattern)
+    for rule_id in by_pattern:
+        assert line_rules.codes_of_file(RULES[rule_id], list(RULES), "maybe", "l", "f").startswith("IF((maybe & ")
+    row = rows.first()
+    assert (row["issue_count"], row["n_critical"], row["n_low"], row["n_info"]) == (6, 2, 1, 3)

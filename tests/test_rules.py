@@ -152,3 +152,20 @@ def test_uses_of_names_in_lines_of_other_imports():
     from corpusaudit.operators import pynodes
     facts = pynodes.parse_facts("a = 1; import os, sys\nb = sys; import re\nimport io, os.path as p\nfrom io import *\nw*h\n# p re2\n")
     assert {f["name"]: f["used"] for f in facts if f["last_of_name"]} == {"os": False, "sys": True, "re": False, "io": False, "p": True, "*": True}
+
+
+def test_line_classes_of_comments_over_lines(spark):
+    from corpusaudit.functions import linestats
+    texts = {
+        "a.py": ['"""a\n# b\n\nc """ d\ne = 1', "'''a\n\"\"\"\n'''\nx", '"""one"""\n\u3000\ny = """\nz', "# a\nb # c\n\n\n", "", "x = '''\n# y"],
+        "b.c": ["/* a\n\n b */ c\nd", "/*/\na\n*/\n// b\n/* c */ d", "// a\nb /* c\nd", "a\n", "*/\n/**/"],
+        "c.sh": ["# a\n\n  # b\nc"], "d.unknown": ["# a\n\nb"],
+    }
+    rows = [(path, content) for path, contents in texts.items() for content in contents]
+    frame = spark.createDataFrame(rows, "path string, content string").selectExpr(
+        "path", f"{linestats.line_classes('language', 'content')} AS k".replace("language", "CASE path WHEN 'a.py' THEN 'python' WHEN 'b.c' THEN 'c' "
+                                                                                "WHEN 'c.sh' THEN 'shell' ELSE 'unknown' END"))
+    assert [tuple(r["k"]) for r in frame.collect()] == [
+        (1, 3, 1), (0, 3, 1), (1, 1, 2), (0, 1, 1), (1, 0, 0), (0, 1, 1),
+        (1, 2, 1), (0, 5, 0), (0, 1, 2), (0, 0, 1), (0, 1, 1),
+        (1, 2, 1), (1, 0, 2)]
