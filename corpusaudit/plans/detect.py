@@ -130,6 +130,29 @@ def issues_of(marked: DataFrame, custom_lines=()) -> DataFrame:
     return _scored(rows)
 
 
+#: What every issue of a built-in rule has from its rule.
+RULE_FIELDS = ("rule_id", "rule_name", "category", "confidence")
+
+
+def short_issues(issues: DataFrame) -> DataFrame:
+    """Issues of built-in rules without what their rule says: narrow rows for stores and sorts (see ``in_full``)."""
+    return issues.selectExpr("path", "line", "rule_ord", "severity", "message", "snippet",
+                             f"nullif(suggestion, {_of_rule('suggestion')}) AS own_suggestion")
+
+
+def in_full(short: DataFrame) -> DataFrame:
+    """The issues of ``short_issues`` in their order, as no join is made: a rule's fields are found by its number."""
+    rows = short.selectExpr("*", *[f"{_of_rule(name)} AS {name}" for name in RULE_FIELDS], "0 AS column",
+                            f"coalesce(own_suggestion, {_of_rule('suggestion')}) AS suggestion")
+    return _scored(rows)
+
+
+def _of_rule(name: str) -> str:
+    values = [getattr(rule, name) for rule in RULES.values()]
+    listed = ", ".join(f"{v}D" if isinstance(v, float) else text.lit(v) for v in values)
+    return f"get(array({listed}), rule_ord - 1)"
+
+
 def own_file_issues(files: DataFrame, custom_files) -> DataFrame:
     """The issues of all file rules of one's own, in one pass."""
     raw = custom.run_file_rules(tables.with_language(files), custom_files)

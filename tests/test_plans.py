@@ -1,6 +1,8 @@
 """Physical plans: one scan, no text in a shuffle, one Python call."""
 
-from corpusaudit.plans import detect
+from pyspark.sql import functions as F
+
+from corpusaudit.plans import detect, reports
 
 
 def plan(frame):
@@ -110,3 +112,19 @@ def test_a_profile_looks_at_lines_only_for_rules_in_the_mask(spark, tmp_path):
         assert line_rules.codes_of_file(RULES[rule_id], list(RULES), "maybe", "l", "f").startswith("IF((maybe & ")
     row = rows.first()
     assert (row["issue_count"], row["n_critical"], row["n_low"], row["n_info"]) == (6, 2, 1, 3)
+
+
+def test_short_issues_keep_every_issue_and_order_without_a_rules_own_fields(spark, corpus):
+    files = corpus({f"src/{i}.py": 'import os\nimport sys, json\ndef getName(a, b=[]):  \n    eval (a); password = "hunter22"\n'
+                                   + "# TODO: " + "x" * 130 + "\ntry:\n    pass\nexcept:\n    pass" for i in range(5)})
+    files = files.unionByName(files.where("path = 'src/1.py'").withColumn("content", F.lit("exec (x)\nmd5(x)\n")))
+    whole = detect.issues(files)
+    short = detect.short_issues(whole)
+    assert not {"suggestion", "rule_id", "rule_name", "category", "confidence"} & set(short.columns)
+    again = detect.in_full(short)
+    assert again.schema.names == whole.schema.names
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, whole.collect()))
+    assert {r["suggestion"] for r in again.where("rule_id = 'STY005'").collect()} == {"Rename to 'get_name'"}
+    for order in (reports.sorted_by_file, reports.sorted_by_severity):
+        fields = ["path", "line", "rule_id", "severity", "message", "snippet", "suggestion", "score"]
+        assert detect.in_full(order(short)).select(fields).collect() == order(whole).select(fields).collect()

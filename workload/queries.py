@@ -56,9 +56,9 @@ def issues(spark, sf_dir, rule_ids=None) -> DataFrame:
     return detect.issues(corpus(spark, sf_dir), rule_ids)
 
 
-def stored_issues(spark, sf_dir) -> DataFrame:
-    """Computed once, for readers that look at them twice, as a range-partitioned sort does."""
-    return writers.checkpointed(issues(spark, sf_dir))
+def sorted_issues(spark, sf_dir, order) -> DataFrame:
+    """Computed once, as a range-partitioned sort reads its input twice; what a rule says is added behind the sort."""
+    return detect.in_full(order(scratch.stored(detect.short_issues(issues(spark, sf_dir)), "issues")))
 
 
 def one_file(spark, sf_dir) -> DataFrame:
@@ -71,7 +71,7 @@ def profile(spark, sf_dir) -> DataFrame:
 
 
 def stored_profile(spark, sf_dir) -> DataFrame:
-    """Computed once, as ``stored_issues``."""
+    """Computed once, for readers that look at it twice, as a range-partitioned sort does."""
     return writers.checkpointed(profile(spark, sf_dir))
 
 
@@ -531,8 +531,8 @@ QUERIES = {
     "q_issue_density": _of_profile(reports.issue_density),
     "q_top_issue_files": _of_profile(reports.top_issue_files),
     "q_top_issue_files_30": _of_profile(reports.top_issue_files, 30),
-    "q_sorted_issues": lambda s, d: _listed(reports.sorted_by_file(stored_issues(s, d))),
-    "q_severity_sorted_issues": lambda s, d: _listed(reports.sorted_by_severity(stored_issues(s, d))),
+    "q_sorted_issues": lambda s, d: _listed(sorted_issues(s, d, reports.sorted_by_file)),
+    "q_severity_sorted_issues": lambda s, d: _listed(sorted_issues(s, d, reports.sorted_by_severity)),
     "sink_json": sink_json, "sink_issues_json": sink_issues_json, "sink_tables": sink_tables,
     "custom_rule": custom_rule,
 }
