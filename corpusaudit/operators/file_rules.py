@@ -94,7 +94,8 @@ def large_file(language: str, content: str, lines: str) -> str:
     n = f"size({lines})"
     hit = _hit(_either("CPX005", f"{n} > {c.LARGE_FILE_LINES}"), "1", _text("# ", (n,), " lines total"),
                _text("File has ", (n,), f" lines (threshold: {c.FILE_LINES_THRESHOLD})"))
-    return f"CASE WHEN {n} > {c.FILE_LINES_THRESHOLD} THEN array({hit}) ELSE {NO_HITS} END"
+    # that many lines have that many line ends at least, so shorter texts are not cut into lines
+    return f"CASE WHEN octet_length({content}) >= {c.FILE_LINES_THRESHOLD} AND {n} > {c.FILE_LINES_THRESHOLD} THEN array({hit}) ELSE {NO_HITS} END"
 
 
 def mixed_indentation(language: str, content: str, lines: str) -> str:
