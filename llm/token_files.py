@@ -8,7 +8,8 @@ files stay small however much falls into a range. The rest of a file's last sequ
 written and read batch by batch.
 
 Files get a new name at each attempt; only those that the written manifest lists count. A lost executor or a repeated task
-leaves at most files that nothing refers to.
+leaves at most files that nothing refers to. The manifest, a row per file, is one Parquet file, and a task of `read` takes several
+files: a file system without native calls starts a process for each file that an executor makes.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SEQUENCE = 2048
 END_ID = 1
 SEQUENCES_A_BATCH = 256
 FILE_SEQUENCES = 8192
+#: Tokens of the files that a task of `read` takes, or fewer where cores would be idle.
+TASK_TOKENS = 1 << 25
 #: Code points by which rows of one doc_id are dealt out, in the order of their texts.
 DEALT_BY = 64
 MANIFEST = "part int, number int, path string, n_documents bigint, n_tokens bigint"
@@ -137,7 +140,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = WORD_BPE, sequence: int
         if file:
             yield file.close(part, number)
 
-    return stored(own.mapInArrow(written, MANIFEST), "manifest")
+    return stored(own.mapInArrow(written, MANIFEST).repartition(1), "manifest")
 
 
 class Ids:
@@ -158,12 +161,15 @@ class Ids:
         return crc
 
 
-def read(manifest: DataFrame, kind: str = "bigint") -> DataFrame:
-    """kind: the type of doc_id. Returns a row for each document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of
-    its ids as little-endian unsigned 32-bit integers), path and first_sequence, the sequence of the file its ids begin in."""
+def read(manifest: DataFrame, kind: str = "bigint", task_tokens: int = TASK_TOKENS) -> DataFrame:
+    """kind: the type of doc_id; task_tokens: how many tokens a task takes, or fewer where cores would be idle. Returns a row for each
+    document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as little-endian unsigned
+    32-bit integers), path and first_sequence, the sequence of the file its ids begin in."""
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("path", before.alias("start"))  # a row per file
-    files = files.repartition(max(1, manifest.count()))
+    n_files, n_tokens = manifest.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-n_tokens // task_tokens))
+    files = files.repartition(max(1, min(n_files, tasks)))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm import chat, token_counts, token_files
 from llm.common import fresh_path
@@ -84,6 +85,19 @@ def test_rows_without_doc_id_are_dealt_out_by_text(spark):
     assert [r["ids_crc32"] for r in token_files.read(manifest).orderBy("start").collect()] == want
 
 
+def test_few_files_are_made_beside_the_token_files(spark):
+    """One file for the manifest; as many tasks, and so files of the caller's, as there are cores or full shares of tokens."""
+    rows = [(k, f"some text {k}") for k in range(300)]
+    manifest = token_files.write(spark.createDataFrame(rows, "doc_id bigint, text string"), fresh_path(spark, "tokens"), sequence=16, file_sequences=1)
+    n_files, cores = manifest.count(), spark.sparkContext.defaultParallelism
+    assert n_files > 2 * cores + 2 and len(manifest.inputFiles()) == 1
+    each = manifest.agg({"n_tokens": "sum"}).first()[0] // (2 * cores)
+    for share, tasks in ((token_files.TASK_TOKENS, [cores]), (each, [2 * cores, 2 * cores + 1]), (1, [n_files])):
+        back = token_files.read(manifest, task_tokens=share)
+        assert back.select(F.spark_partition_id()).distinct().count() in tasks
+        assert sorted(r["doc_id"] for r in back.collect()) == list(range(300))
+
+
 def conversation(spark, rows):
     return spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, mask string, ids int")
 
