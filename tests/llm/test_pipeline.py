@@ -1,11 +1,15 @@
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
+from corpusaudit.sinks.scratch import FREED
+from llm.common import stored
 from llm.tokens import WORD_BPE, load
 from tests_llm_words import words
 
@@ -80,3 +84,20 @@ def test_stages_take_empty_and_odd_tables(spark, folder, odd, none, stage):
     f = dict(corpus_pipeline.STAGES)[stage]
     assert f(spark, none, folder[0]).count() == 0
     assert f(spark, odd, folder[0]).count() >= 0
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    folders = [str(folder) for folder in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {path for folder in folders for path in Path(folder).rglob("shuffle_*.data")}
+
+    before, setting = shuffles(), spark.conf.get(FREED)
+    table = spark.range(5000).repartition(3, "id").groupBy("id").count()
+    kept = stored(table, "freed")
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(FREED) == setting
+    assert kept.count() == table.count() == 5000
