@@ -7,11 +7,12 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusaudit.operators import catalogue, custom, duplicates
 from corpusaudit.operators.duplicates import TOP_GROUPS
 from corpusaudit.plans import debt, detect, reports, rollups
-from corpusaudit.sinks import writers
+from corpusaudit.sinks import scratch, writers
 from corpusaudit.sources import filters, tree
 
 #: Rows of a result that one nested document may hold.
@@ -124,18 +125,40 @@ class Audit:
         by_file = store("profile", detect.profile_of(detect.statistics_of(marked), found))
         return replace(self, issues=found, profile=by_file, stored_duplicates=store("duplicates", self.duplicates))
 
-    def write_json(self, folder: str, elapsed: float = 0.0) -> None:
-        """The full report as one folder of JSON lines per part, from tables that are computed once."""
-        done = self.checkpoint()
-        summary = done.headline(elapsed).select("target", "files_scanned", "files_with_issues", "total_issues", "elapsed")
-        writers.write_json({
-            "summary": summary,
-            "issues_by_severity": done.by_severity(), "issues_by_category": done.by_category(),
-            "issues_by_rule": done.by_rule(), "tech_debt": done.tech_debt(), "languages": done.languages(),
-            "files": writers.full_files(done.profile), "issues": writers.full_issues(done.listed_issues()),
-            "duplicates": duplicates.with_lines(done.files, done.duplicates),
-            "duplicate_places": done.duplicate_places(),
-        }, folder)
+    def write_json(self, folder: str, elapsed: float = 0.0, compression: str | None = None) -> dict[str, StructType]:
+        """The full report as one folder of JSON lines per part, from tables that are computed once; gives the parts' schemas.
+
+        Rows repeat much, and take a small part of the disk with ``compression="gzip"``. What is stored or shuffled on the
+        way is deleted when no other part needs it.
+        """
+        lines, whole = _numbered(self.line_rules, self.file_rules)
+        asked = "by_file" in vars(self.blocks)  # then the stored blocks serve further questions too
+        blocks = self.blocks if asked else duplicates.Blocks(self.files, self.min_lines)
+        with scratch.freed(self.files.sparkSession):
+            found = scratch.stored(detect.findings(self.files, lines), "findings")
+            of_rules = [scratch.stored(detect.own_file_issues(self.files, whole), "issues")] if whole else []
+            issues = found.where("rule_ord IS NOT NULL").select(*detect.ISSUE_COLUMNS)
+            for rows in of_rules:
+                issues = issues.unionByName(rows)
+            profile = scratch.stored(detect.profile_of(found.where("rule_ord IS NULL"), issues), "profile")
+            groups = scratch.stored(replace(self, blocks=blocks).duplicates, "duplicates")
+            done = replace(self, issues=issues, profile=profile, blocks=blocks, stored_duplicates=groups)
+            summary = done.headline(elapsed).select("target", "files_scanned", "files_with_issues", "total_issues", "elapsed")
+            schemas = writers.write_json({
+                "summary": summary,
+                "issues_by_severity": done.by_severity(), "issues_by_category": done.by_category(),
+                "issues_by_rule": done.by_rule(), "tech_debt": done.tech_debt(), "languages": done.languages(),
+                "files": writers.full_files(done.profile), "issues": writers.full_issues(done.listed_issues()),
+            }, folder, compression)
+            for table in (found, *of_rules, profile):
+                scratch.discard(table)
+            schemas |= writers.write_json({
+                "duplicates": duplicates.with_lines(duplicates.first_files(done.files, groups), groups),
+                "duplicate_places": blocks.occurrences(groups, duplicates.KEYS_SENT),
+            }, folder, compression)
+            for table in (groups, *(() if asked else (blocks.numbered, blocks.by_file))):
+                scratch.discard(table)
+        return schemas
 
     def document(self, elapsed: float = 0.0, most: int = DOCUMENT_ROWS) -> DataFrame:
         """The full report as one nested row, for results of at most ``most`` files, issues and duplicate places together;

@@ -10,7 +10,8 @@ each of its blocks (``Blocks``). Everything else starts from there:
 * Places of given groups are sought behind a bit filter of their keys, made of them in parallel and of
   bounded size, so that blocks that occur once don't reach the shuffle. Places are never collected: they
   stay rows, joined to the groups by key; a key that holds a large share of them is left to Spark's skew
-  join, which splits it by map output.
+  join, which splits it by map output. Where the caller allows it, few keys go to all tasks as they are,
+  and no place is shuffled.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ TOP_GROUPS = 20
 # Words of 64 bits of the filter of keys: about 20 bits for each key, up to FILTER_WORDS (some 40 MB in memory) in all.
 BITS_A_KEY, FILTER_WORDS = 20, 1 << 20
 
+# Keys of 16 bytes that a report broadcasts as they are (some 20 MB in memory).
+KEYS_SENT = 1 << 17
+
 
 def windows(files: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """``(path, start_line, block)`` for every run of lines; files that are too short give none."""
@@ -98,6 +102,12 @@ def _has_key(keys: DataFrame, n: int) -> tuple[DataFrame, Column, Column]:
     return filled, word, bits
 
 
+def _with_key(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The rows whose ``key`` is among ``n`` keys, and few others."""
+    words, word, bits = _has_key(keys, n)
+    return rows.withColumns({"word": word, "own": bits}).join(F.broadcast(words), "word").where("bits & own = own")
+
+
 @dataclass(frozen=True)
 class Blocks:
     """The hashed blocks of a corpus. Its text is read once, when one of the tables is first asked for."""
@@ -136,13 +146,15 @@ class Blocks:
         """The groups of a scan: none for a corpus of one file."""
         return self.groups().where(has_two_files(self.by_file))
 
-    def occurrences(self, group_rows: DataFrame) -> DataFrame:
-        """``(hash, path, start_line)`` for every place of the given groups."""
+    def occurrences(self, group_rows: DataFrame, sent: int = 0) -> DataFrame:
+        """``(hash, path, start_line)`` for every place of the given groups. Up to ``sent`` keys are broadcast as they are."""
         wanted = group_rows.select(F.unhex("hash").alias("key")).distinct()
-        words, word, bits = _has_key(wanted, wanted.count())
+        n = wanted.count()
         found = self.by_file.select("path", F.explode("places").alias("at")).select("path", "at.*")
-        found = found.withColumns({"word": word, "own": bits}).join(F.broadcast(words), "word").where("bits & own = own")
-        found = found.select("path", "line", "key").join(wanted, "key")
+        if n > sent:
+            found = _with_key(found, wanted, n).select("path", "line", "key").join(wanted, "key")
+        else:
+            found = found.join(F.broadcast(wanted), "key")
         return found.select(F.lower(F.hex("key")).alias("hash"), "path", F.col("line").alias("start_line"))
 
 
@@ -182,11 +194,23 @@ def ranked(group_rows: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
+def first_files(files: DataFrame, group_rows: DataFrame) -> DataFrame:
+    """The files with first places of the given groups, and few others: the text of the rest need not move for ``with_lines``.
+
+    The groups are read here and there, so they should be stored.
+    """
+    wanted = group_rows.select(F.col("first_path").alias("key")).distinct()
+    return _with_key(files.withColumn("key", F.col("path")), wanted, wanted.count()).select(*files.columns)
+
+
 def with_lines(files: DataFrame, group_rows: DataFrame) -> DataFrame:
-    """Adds the normalised lines of the first place, for any number of groups."""
-    rows = files.join(group_rows, files["path"] == group_rows["first_path"])
-    lines = f"slice({text.split_lines(text.normalize('content'))}, first_line, line_count) AS lines"
-    return rows.selectExpr("hash", lines, "line_count", "n_occ", "first_path", "first_line")
+    """Adds the normalised lines of the first place, for any number of groups. A file is cut into lines once for all of its groups."""
+    own = group_rows.groupBy("first_path").agg(F.collect_list(F.struct("hash", "line_count", "n_occ", "first_line")).alias("found"))
+    rows = files.join(own, files["path"] == own["first_path"])
+    rows = rows.selectExpr("first_path", f"{text.split_lines(text.normalize('content'))} AS normal", "found")
+    rows = rows.selectExpr("first_path", "normal", "explode(found) AS block")
+    return rows.selectExpr("block.hash", "slice(normal, block.first_line, block.line_count) AS lines", "block.line_count", "block.n_occ",
+                           "first_path", "block.first_line")
 
 
 def occurrences(files: DataFrame, group_rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:

@@ -106,12 +106,23 @@ def issues(files: DataFrame, rule_ids=None, custom_lines=(), custom_files=()) ->
     return rows.unionByName(own_file_issues(files, custom_files)) if custom_files else rows
 
 
-def issues_of(marked: DataFrame, custom_lines=()) -> DataFrame:
-    """The issues of a stream of marks, stored or not; those of file rules of one's own are not among them."""
+def findings(files: DataFrame, custom_lines=()) -> DataFrame:
+    """Issues and statistics as one narrow table to store, without the lines' text: ``ISSUE_COLUMNS`` and ``STATS``. Of each
+    file there is a row without ``rule_ord`` too, which says that it was seen."""
+    return issues_of(marks(files, statistics=True, custom_lines=custom_lines), custom_lines, STATS)
+
+
+def issues_of(marked: DataFrame, custom_lines=(), carried=()) -> DataFrame:
+    """The issues of a stream of marks, stored or not; those of file rules of one's own are not among them.
+
+    With columns to be carried beside them, the marks of seen files stay as rows without a rule.
+    """
     spark = marked.sparkSession
-    marked = marked.where("code <> 0").select("path", "code", "line", "at", "hit")
+    if not carried:
+        marked = marked.where("code <> 0")
+    marked = marked.select("path", *carried, "code", "line", "at", "hit")
     kinds = catalogue.findings(spark, [entry for _, entry in custom_lines])
-    joined = marked.join(F.broadcast(kinds), "code")
+    joined = marked.join(F.broadcast(kinds), "code", "left" if carried else "inner")
     code, at = F.col("code"), F.col("at")
     out = {
         "message": F.expr(f"coalesce(hit.message, {line_rules.message('code', 'at')}, message)"),
@@ -125,9 +136,9 @@ def issues_of(marked: DataFrame, custom_lines=()) -> DataFrame:
         for name in fields & out.keys():
             value = given.getField(name).cast("double" if name == "confidence" else "string")
             out[name] = F.when(code == entry.code(), F.coalesce(value, out[name])).otherwise(out[name])
-    rows = joined.select("path", "line", "rule_ord", "rule_id", "rule_name", "category", F.lit(0).alias("column"),
+    rows = joined.select("path", *carried, "line", "rule_ord", "rule_id", "rule_name", "category", F.lit(0).alias("column"),
                          *[column.alias(name) for name, column in out.items()])
-    return _scored(rows)
+    return _scored(rows, carried)
 
 
 #: What every issue of a built-in rule has from its rule.
@@ -159,8 +170,8 @@ def own_file_issues(files: DataFrame, custom_files) -> DataFrame:
     return _scored(raw)
 
 
-def _scored(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("score", weight(F.col("severity")) * F.col("confidence")).select(*ISSUE_COLUMNS)
+def _scored(rows: DataFrame, carried=()) -> DataFrame:
+    return rows.withColumn("score", weight(F.col("severity")) * F.col("confidence")).select(*ISSUE_COLUMNS, *carried)
 
 
 def statistics_of(marked: DataFrame) -> DataFrame:

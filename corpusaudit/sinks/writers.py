@@ -8,6 +8,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusaudit.functions.text import round_half_even
 from corpusaudit.sinks import scratch
@@ -62,10 +63,11 @@ def checkpointed(table: DataFrame) -> DataFrame:
     return table.checkpoint()
 
 
-def write_json(tables: dict[str, DataFrame], folder: str) -> None:
-    """One folder of JSON lines per table."""
+def write_json(tables: dict[str, DataFrame], folder: str, compression: str | None = None) -> dict[str, StructType]:
+    """One folder of JSON lines per table, compressed if a codec of Spark's writer (``gzip``) is given; gives the tables' schemas."""
     for name, table in tables.items():
-        table.write.mode("overwrite").json(os.path.join(folder, name))
+        table.write.mode("overwrite").json(os.path.join(folder, name), compression=compression)
+    return {name: table.schema for name, table in tables.items()}
 
 
 # --- versioned tables -------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusaudit.sinks.scratch import fresh_path, shared_folder, stored  # noqa: F401
+from corpusaudit.sinks.scratch import discard, fresh_path, shared_folder, stored  # noqa: F401
 
 #: A word is a run of anything but these six ASCII characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -24,16 +24,6 @@ def words_of(text: str) -> list[str]:
     return [w for w in SPLIT_WORDS(text) if w]
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a stored table that nothing will read again."""
-    spark = df.sparkSession
-    root = shared_folder(spark)
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if folder.replace("file:///", "/").startswith(root.replace("file://", "")):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

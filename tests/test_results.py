@@ -1,5 +1,6 @@
 """Statistics, duplicates, debt and reports on small corpora with known numbers, and brute-force comparisons."""
 
+import glob
 import hashlib
 import json
 import random
@@ -8,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corpusaudit import audit
+from corpusaudit import FileRule, LineRule, audit
 from corpusaudit.functions import linestats
 from corpusaudit.operators import duplicates
 from corpusaudit.plans import debt, detect, reports, rollups
@@ -195,6 +196,60 @@ def test_sinks(result, spark, tmp_path):
     assert set(spark.read.json(str(tmp_path / "slim/issues")).columns) == {"rule", "severity", "file", "line", "message"}
 
 
+def test_json_report_leaves_nothing_but_compressed_rows(spark, corpus, tmp_path):
+    def shared():
+        return set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/*"))
+
+    def contents(folder, name):
+        return sorted(map(str, spark.read.json(str(tmp_path / folder / name)).collect()))
+
+    repeated = "a = f(x)\nb = g(x)\nc = h(x)\nd = k(x)\ne = l(x)\n"
+    files = corpus(FILES | {"clean.py": "", "r0.py": None} | {f"r{i}.py": f"v = {i}\n" * (i % 3) + repeated + "eval(x)\n" * 30 for i in range(1, 40)})
+    loud = LineRule("USR001", "Loud", "style", "low", "Loud.", lambda line: F.when(line.contains("!"), F.struct(F.lit("loud").alias("message"))))
+    blank = FileRule("USR002", "Any", "style", "low", "Any.", lambda path, content: [{"message": path, "line": 1}])
+    kept, before = audit(files, [loud], [blank]).checkpoint(), shared()
+    result = audit(files, [loud], [blank])
+    schemas = result.write_json(str(tmp_path / "packed"), compression="gzip")
+    assert shared() == before  # stored tables are gone
+    result.write_json(str(tmp_path / "plain"))
+    data = [p for p in (tmp_path / "packed").rglob("part-*")]
+    assert data and all(p.name.endswith(".json.gz") for p in data)
+    assert {p.name for p in (tmp_path / "packed").iterdir()} == set(schemas)
+    for name in schemas:
+        assert contents("packed", name) == contents("plain", name), name
+    for name, table in (("issues", writers.full_issues(kept.issues)), ("files", writers.full_files(kept.profile)),
+                        ("duplicates", kept.top_duplicates(10**6)), ("duplicate_places", kept.duplicate_places())):
+        got = spark.read.schema(schemas[name]).json(str(tmp_path / "packed" / name))
+        assert Counter(map(str, got.select(table.columns).collect())) == Counter(map(str, table.collect())), name
+    size = {k: sum(p.stat().st_size for p in (tmp_path / k / "issues").rglob("part-*")) for k in ("packed", "plain")}
+    assert size["packed"] < size["plain"] / 4
+    places = result.duplicate_places()
+    assert places.count() == kept.duplicate_places().count()
+    stored = result.blocks.by_file.inputFiles()  # asked for: these stay for further questions
+    result.write_json(str(tmp_path / "again"))
+    assert result.blocks.by_file.inputFiles() == stored and places.count() == kept.duplicate_places().count()
+
+
+def test_places_of_few_and_many_keys_and_lines_of_any_files(spark, corpus, monkeypatch):
+    """Keys that are sent as they are, and a filter with or without room for them, give the same places."""
+    drawn = random.Random(4)
+    files = corpus({f"f{i}.py": "\n".join(drawn.choice("abcdef") for _ in range(drawn.randrange(40))) for i in range(30)} | {"none.py": None})
+    blocks = duplicates.Blocks(files)
+    groups = duplicates.scratch.stored(blocks.groups(), "groups")
+    want = Counter(map(tuple, blocks.occurrences(groups, sent=10**6).collect()))
+    assert "word" not in blocks.occurrences(groups, sent=10**6)._jdf.queryExecution().toString()
+    assert Counter(map(tuple, blocks.occurrences(groups).collect())) == want
+    monkeypatch.setattr(duplicates, "FILTER_WORDS", 1)
+    assert Counter(map(tuple, blocks.occurrences(groups).collect())) == want
+    whole = {r["hash"]: list(r["lines"]) for r in duplicates.with_lines(files, groups).collect()}
+    cut = duplicates.first_files(files, groups)
+    assert cut.columns == files.columns
+    assert {r["hash"]: list(r["lines"]) for r in duplicates.with_lines(cut, groups).collect()} == whole
+    assert len(whole) == groups.count() and all(hashlib.md5("\n".join(v).encode()).hexdigest() == k for k, v in whole.items())
+    none = groups.where("hash IS NULL")
+    assert duplicates.first_files(files, none).count() <= files.count() and duplicates.with_lines(files, none).count() == 0
+
+
 def test_versions_outlive_a_refresh_and_a_failure(spark, corpus, tmp_path, monkeypatch):
     folder = str(tmp_path / "tables")
     with pytest.raises(FileNotFoundError):

@@ -419,12 +419,12 @@ FILE_FIELDS = ["language", "lines", "code_lines", "comment_lines", "blank_lines"
 
 
 def sink_json(spark, sf_dir):
-    """The full report, written as JSON and read back: every part, as section, key and value."""
+    """The full report, written as compressed JSON and read back: every part, as section, key and value."""
     folder = scratch.fresh_path(spark, "corpus")
-    run_audit(corpus(spark, sf_dir)).write_json(folder, elapsed=1.5)
+    schemas = run_audit(corpus(spark, sf_dir)).write_json(folder, elapsed=1.5, compression="gzip")
 
     def part(name):
-        return spark.read.json(os.path.join(folder, name))
+        return spark.read.schema(schemas[name]).json(os.path.join(folder, name))
 
     files = part("files").withColumn("hundredths", F.round(F.col("avg_complexity") * 100).cast("bigint"))
     return _together([
